@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tessella.llm import packing, sstable
+from tessella.llm import packing, seed_extend, sstable, suffix_dedup
 
 QUERIES = {
+    "op2_suffix_dedup": suffix_dedup.query,
     "op3_pack_sequences": packing.query,
+    "op5_seed_extend_dedup": seed_extend.query,
     "op9_sstable_tokens": sstable.query,
 }
 
