@@ -42,18 +42,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, dup, text): a key that is unique without null.
+def keyed(docs: DataFrame, *keep: str) -> DataFrame:
+    """(doc_id, dup, text, keep...): a key that is unique without null.
 
     A null identifier becomes ``NULL_ID`` and sorts first; a null text is empty.
     Rows that share an identifier are told apart by ``dup``, their number in the
     order of their texts; only where there are such rows is the table shuffled.
     """
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *keep)
     if rows.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        number = F.row_number().over(Window.partitionBy("doc_id").orderBy("text")) - 1
-        return rows.select("doc_id", number.alias("dup"), "text")
-    return rows.select("doc_id", F.lit(0).alias("dup"), "text")
+        number = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", *keep)) - 1
+        return rows.select("doc_id", number.alias("dup"), "text", *keep)
+    return rows.select("doc_id", F.lit(0).alias("dup"), "text", *keep)
 
 
 def original_id(column: str = "doc_id"):
