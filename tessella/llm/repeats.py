@@ -31,7 +31,7 @@ from tessella.llm import common, textkit
 
 HOT = 50_000
 BLOCK_BYTES = 4 << 20
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 STRETCH = "anchor long, content long, doc_id long, dup int, pos long, len int, known boolean"
 PAYLOAD = "bucket long, doc_id long, dup int, pos long, len int, head int, payload binary"
 SPANS = "doc_id long, dup int, pos long, len long"
@@ -91,7 +91,7 @@ def runs(doc: np.ndarray, dup: np.ndarray, pos: np.ndarray) -> list[np.ndarray]:
     return [doc[first], dup[first], pos[first], np.diff(np.append(first, len(doc)))]
 
 
-def repeated_windows(docs: DataFrame, length: int, scan: Callable, extract: Callable, resolve: Callable, name: str) -> DataFrame:
+def repeated_windows(docs: DataFrame, length: int, scan: Callable, extract: Callable, resolve: Callable, name: str, chunk: int = CHUNK_BYTES) -> DataFrame:
     """(doc_id, dup, pos, len): the windows of ``common.keyed`` documents, as runs of starts, that also start earlier.
 
     ``scan(batch) -> Stretches``; ``extract(text, starts, lens) -> (payloads,
@@ -99,11 +99,12 @@ def repeated_windows(docs: DataFrame, length: int, scan: Callable, extract: Call
     ``resolve(payloads, lens, heads, buckets, doc, dup, pos) -> (which, window)``
     of the windows that are not the earliest of their contents in the block.
     """
+    docs = docs.select("doc_id", "dup", "text")
     spark = docs.sparkSession
     n = common.shuffle_partitions(spark)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in textkit.regrouped(batches, "text", CHUNK_BYTES, CHUNK_BYTES):
+        for part in textkit.regrouped(batches, "text", chunk, chunk):
             s = scan(part)
             doc, dup = (part.column(c).to_numpy(zero_copy_only=False)[s.row] for c in ("doc_id", "dup"))
             known = ~earliest((s.pos, dup, doc), s.content)
@@ -130,7 +131,7 @@ def repeated_windows(docs: DataFrame, length: int, scan: Callable, extract: Call
     asked = found.where("anchor is not null").groupBy("doc_id", "dup").agg(F.sort_array(F.collect_list(F.struct("pos", "len", "anchor", "many"))).alias("asked"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in textkit.regrouped(batches, "text", CHUNK_BYTES, CHUNK_BYTES):
+        for part in textkit.regrouped(batches, "text", chunk, chunk):
             data, at = textkit.buffers(part.column("text"))
             lists = part.column("asked")
             item = lists.flatten()

@@ -204,19 +204,21 @@ def resolve(payload: pa.Array, len_, head, bucket, doc, dup, pos, length: int =
     return which[found], window[found]
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: tuple[str, ...] | None = None) -> DataFrame:
     """For each of ``docs(doc_id, text)``: bytes, bytes removed, removed runs and the SHA-256 of what is kept.
 
     A byte goes if a string of ``length`` bytes that covers it also starts
     earlier (smaller identifier, or same document and earlier start) in the
-    input.  ``with_text`` adds the kept bytes, decoded with U+FFFD where a cut
-    went through a character.
+    input.  ``keep``, even if empty, adds the kept text, without the halves of
+    characters that a cut went through, and those columns of ``docs``.
     """
     if length < GRAM + 8:
         raise ValueError(f"length must be {GRAM + 8} or more")
-    rows = common.keyed(docs)
+    with_text = keep is not None
+    keep = keep or ()
+    rows = common.keyed(docs, *keep)
     spans = repeats.repeated_windows(
-        rows, length, lambda p: scan(p, length), lambda *a: extract(*a, length=length), lambda *a: resolve(*a, length=length), "suffix"
+        rows, length, lambda p: scan(p, length), lambda *a: extract(*a, length=length), lambda *a: resolve(*a, length=length), "suffix", 3 << 20
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,13 +236,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
                     kept = own[~gone].tobytes()
                 else:
                     kept = own.tobytes()
-                out.append((None if doc == common.NULL_ID else doc, len(own), removed, count, hashlib.sha256(kept).hexdigest(), *([kept.decode(errors="replace")] if with_text else [])))
+                out.append((None if doc == common.NULL_ID else doc, len(own), removed, count, hashlib.sha256(kept).hexdigest(), *([kept.decode(errors="ignore")] if with_text else [])))
             columns = list(zip(*out, strict=True))
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
             arrays = [pa.array(c, pa.int64() if k < 4 else pa.string()) for k, c in enumerate(columns)]
-            yield pa.RecordBatch.from_arrays(arrays, names[: len(arrays)])
+            yield pa.RecordBatch.from_arrays([*arrays, *(part.column(k) for k in keep)], [*names[: len(arrays)], *keep])
 
-    return repeats.with_spans(rows, spans).select("doc_id", "text", "spans").mapInArrow(cut, RESULT + (", text string" if with_text else ""))
+    schema = RESULT + ", text string" * with_text + "".join(f", `{k}` {rows.schema[k].dataType.simpleString()}" for k in keep)
+    return repeats.with_spans(rows, spans).select("doc_id", "text", "spans", *keep).mapInArrow(cut, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
