@@ -37,7 +37,6 @@ MAX_EPOCHS = 2
 #: Shares of the query: a third of the sources is web text.  Paths not named have weight 1.
 WEIGHTS = {"web": 5, "books": 3, "code": 2, "web/en": 4, "books/en": 3, "web/en/src0": 3}
 SHARE = (3, 4)
-BLANK = "[ \\x09-\\x0D]+"
 
 
 def domain_of(source: Column) -> Column:

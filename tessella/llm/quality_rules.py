@@ -97,13 +97,14 @@ def ratio_weights(counted: DataFrame, count: int) -> DataFrame:
 def judge(docs: DataFrame, trusted: DataFrame, count: int = BUCKETS, spreads: float = SPREADS) -> DataFrame:
     """Base counts, score, threshold and verdict for each of ``docs(doc_id, text)``; ``trusted(doc_id)`` names the target documents.
 
-    Two passes over the texts: one counts buckets, one scores.  Only the
-    counts (``count`` rows) and one row of sums are shared between tasks.
+    Two passes over the texts: one counts buckets, one scores.  Only the first
+    shuffles texts, to mark the trusted ones; the counts (``count`` rows) and
+    one row of sums are all that tasks share.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     marks = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("trusted", F.lit(True))
-    marked = rows.join(marks, "doc_id", "left").select("doc_id", "text", F.coalesce("trusted", F.lit(False)).alias("trusted"), word_hashes(F.col("text")).alias("hashes"))
-
+    # one join of whole texts, always by shuffle: the marks grow with the corpus
+    marked = rows.join(marks.hint("shuffle_hash"), "doc_id", "left").select(F.coalesce("trusted", F.lit(False)).alias("trusted"), word_hashes(F.col("text")).alias("hashes"))
     grams = marked.select("trusted", F.explode(gram_buckets(F.col("hashes"), count)).alias("b"))
     counted = grams.groupBy("b").agg(F.count_if("trusted").alias("target"), F.count("*").alias("raw"))
     # ``count`` numbers, whatever the corpus: they become a constant of the second pass
@@ -111,14 +112,13 @@ def judge(docs: DataFrame, trusted: DataFrame, count: int = BUCKETS, spreads: fl
     weight = F.from_json(F.lit(json.dumps(weights)), "array<double>")
 
     hashes, own, placed = F.col("hashes"), F.col("own"), F.col("placed")
-    with_windows = marked.withColumn("own", windows(hashes))
+    with_windows = rows.withColumn("hashes", word_hashes(F.col("text"))).withColumn("own", windows(hashes))
     # most texts repeat no window: nothing is sorted for them
     sorted_windows = F.when(F.size(F.array_distinct(own)) == F.size(own), F.array().cast("array<struct<h:bigint,i:int>>")).otherwise(F.sort_array(F.transform(own, lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
     total = F.aggregate(gram_buckets(hashes, count), F.lit(0.0), lambda acc, b: acc + F.get(weight, b))
     text = F.col("text")
     scored = with_windows.withColumn("placed", sorted_windows).select(
         "doc_id",
-        "trusted",
         F.size(hashes).cast("long").alias("n_words"),
         F.length(F.translate(text, BLANKS, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -128,10 +128,11 @@ def judge(docs: DataFrame, trusted: DataFrame, count: int = BUCKETS, spreads: fl
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     scored = common.materialize(scored.withColumn("base_failed", failed), "scores")
-    good = scored.where("trusted and not base_failed")
+    # scores without texts meet the marks again
+    good = scored.where("not base_failed").join(marks.hint("shuffle_hash"), "doc_id", "left_semi")
     limit = common.materialize(good.agg((F.avg("score") - spreads * F.coalesce(F.stddev_pop("score"), F.lit(0.0))).alias("limit")), "limit").scalar()
     threshold = F.round(F.coalesce(limit, F.lit(float("-inf"))), 9)
-    return scored.drop("trusted").withColumn("threshold", threshold).withColumn("kept", ~F.col("base_failed") & (F.round("score", 9) >= F.col("threshold")))
+    return scored.withColumn("threshold", threshold).withColumn("kept", ~F.col("base_failed") & (F.round("score", 9) >= F.col("threshold")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
