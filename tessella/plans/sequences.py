@@ -9,7 +9,8 @@ from tessella.operators import elementwise as el
 from tessella.operators import search, sequence
 from tessella.plans.registry import events, query, table
 
-CENTS = F.floor(F.col("value") * 100 + 0.5).cast("long")
+def cents():
+    return F.floor(F.col("value") * 100 + 0.5).cast("long")
 
 
 @query("seq_scan", "SELECT count(*) AS n, min(event_id) AS first, max(event_id) AS last FROM events")
@@ -68,7 +69,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("leaf_partials", "SELECT event_id // 1024 AS leaf, count(*) AS n, sum(CAST(floor(value * 100 + 0.5) AS BIGINT))::BIGINT AS cents FROM events GROUP BY 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d).groupBy(sequence.leaf_of(F.col("idx")).alias("leaf")).agg(F.count("*").alias("n"), F.sum(CENTS).alias("cents"))
+    return events(spark, d).groupBy(sequence.leaf_of(F.col("idx")).alias("leaf")).agg(F.count("*").alias("n"), F.sum(cents()).alias("cents"))
 
 
 @query("seq_for_each", "SELECT event_id AS idx, value * 2.0 AS value FROM events")
