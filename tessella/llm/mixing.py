@@ -17,7 +17,7 @@ the cut, and only the one slot of each leaf that holds it is put in order.
 
 A token is a run without space, tab, LF, VT, FF or CR.  Nulls, empties and
 ties: a null text has no tokens and is selected with 0 tokens when its place
-lies before the cut; a null language or source is the language or source
+lies before the cut; a leaf without any token gives nothing; a null language or source is the language or source
 ``unknown``, a null identifier is hashed as empty; ties of md5 go to the
 shorter text, then to the text's md5, so only equal rows can stand in for each
 other; an empty table gives no rows.  Clashing column names do no harm: only
