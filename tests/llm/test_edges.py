@@ -195,7 +195,8 @@ def brute_shingles(t, n):
     return frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
 
 
-def brute_classes(rows, n, num, den):
+def brute_roots(rows, n, num, den):
+    """(documents in order, their sets, the first document of each one's class)."""
     docs = ordered(rows)
     sets = [brute_shingles(t, n) for _, t in docs]
     root = list(range(len(docs)))
@@ -211,7 +212,12 @@ def brute_classes(rows, n, num, den):
             if sets[a] and sets[b] and den * both >= num * (len(sets[a]) + len(sets[b]) - both):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
-    return Counter((docs[k][0], len(sets[k]), docs[find(k)][0]) for k in range(len(docs)))
+    return docs, sets, [find(k) for k in range(len(docs))]
+
+
+def brute_classes(rows, n, num, den):
+    docs, sets, roots = brute_roots(rows, n, num, den)
+    return Counter((docs[k][0], len(sets[k]), docs[roots[k]][0]) for k in range(len(docs)))
 
 
 @pytest.mark.parametrize(("words", "num", "den"), [(3, 9, 10), (5, 4, 5), (2, 1, 2)])

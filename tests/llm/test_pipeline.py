@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 
 import corpus_pipeline
-from tests.llm.test_edges import brute_classes, documents, frame
+from tests.llm.test_edges import brute_roots, documents, frame
 
 DATA = "/root/testdata/sf0.001"
 
@@ -20,10 +20,8 @@ def test_stages_take_and_return_documents(spark):
 def test_one_of_each_group_stays(spark):
     docs = frame(spark).select(*corpus_pipeline.COLUMNS)
     kept = [r["doc_id"] for r in corpus_pipeline.one_of_each_group(spark, docs, DATA).collect()]
-    classes = brute_classes(documents(), corpus_pipeline.WORDS, 4, 5)
-    # documents without words are classes of their own; the others leave one each
-    empty = sum(n for (_, size, _), n in classes.items() if not size)
-    assert len(kept) == empty + len({c for _, size, c in classes if size})
+    documents_, _, roots = brute_roots(documents(), corpus_pipeline.WORDS, 4, 5)
+    assert sorted(map(str, kept)) == sorted(str(documents_[k][0]) for k in set(roots))
     assert {1, 4, 6, 7, 8} <= set(kept) and not {2, 3} & set(kept)
 
 
