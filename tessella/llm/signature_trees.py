@@ -8,8 +8,9 @@ whole numbers).
 2. Blocking without loss: sets fall into size groups; linked sets of a group
    differ in at most H shingles, so of more than H parts of the hash space at
    least one holds the same shingles in both.  Representatives that share a
-   part are candidates, and candidates' components are the buckets of the join.
-   A large bucket is cut into chunks, and each pair of chunks is a task.
+   part are candidates, and candidates' components are the buckets of the join;
+   parts that very many share count only for sets that have little else.  A
+   large bucket is cut into chunks, and each pair of chunks is a task.
 3. In a bucket the sets stand in the leaves of a signature tree, similar ones
    together.  Each node holds the OR and the AND of its sets' token bitmaps and
    its size range.  Two nodes are traversed together only while their greatest
@@ -43,7 +44,10 @@ from tessella.llm.components import components
 WORDS, THRESHOLD = 3, Fraction(9, 10)
 LEAF, FANOUT = 64, 8
 CHUNK_SHINGLES = 2_000_000
-SETS = "doc_id long, dup int, n_shingles long, set_a long, set_b long, parts array<long>"
+#: A part with more members than this is frequent; most sets need not be compared through their frequent parts.
+FREQUENT = 8
+SETS = "doc_id long, dup int, n_shingles long, set_a long, set_b long, parts array<struct<group:int,slack:int,keys:array<long>>>"
+PARTS = pa.list_(pa.struct([("group", pa.int32()), ("slack", pa.int32()), ("keys", pa.list_(pa.int64()))]))
 MEMBERS = "bucket long, side int, doc_id long, dup int, shingles binary"
 LINKS = "a struct<doc_id:long,dup:int>, b struct<doc_id:long,dup:int>"
 
@@ -99,12 +103,13 @@ class Sizes:
         return [g, g - 1] if g and n <= self.reach[g - 1] else [g]
 
 
-def part_keys(shingles: np.ndarray, sizes: Sizes) -> np.ndarray:
-    """One key for each part of the set with shingles, in each of its size groups.
+def part_keys(shingles: np.ndarray, sizes: Sizes) -> list[tuple[int, int, np.ndarray]]:
+    """(group, slack, keys): one key for each part of the set, in each of its size groups.
 
-    Linked sets agree in ``spare + 1`` parts or more.  So one with at most
-    ``spare`` empty parts agrees in one that is not empty; the others also give
-    their empty parts, so that two of them agree too.
+    Linked sets agree in ``spare + 1`` parts or more.  So a set with at most
+    ``spare`` empty parts agrees in at least ``slack``, one or more, that are
+    not empty.  A set with more empty parts gives keys for them too, and its
+    slack is 1.
     """
     out = []
     for g in sizes.groups(len(shingles)):
@@ -116,8 +121,35 @@ def part_keys(shingles: np.ndarray, sizes: Sizes) -> np.ndarray:
         salt = np.arange(count, dtype=np.uint64) + np.uint64(g << 40)
         keys = textkit.mix(value + textkit.mix(salt))
         full = np.diff(bounds) > 0
-        out.append(keys if count - int(full.sum()) > sizes.spare[g] else keys[full])
-    return np.concatenate(out)
+        empty = count - int(full.sum())
+        out.append((g, 1, keys) if empty > sizes.spare[g] else (g, sizes.spare[g] + 1 - empty, keys[full]))
+    return out
+
+
+def candidate_edges(parts: DataFrame) -> DataFrame:
+    """(a, b) that join the representatives which may link, from (rep, parts).
+
+    Parts of at most ``FREQUENT`` members give their few pairs, and a pair must
+    agree in as many of them as its slacks demand, less the frequent parts that
+    either has.  A part of more members, such as one that holds nothing but a
+    passage that many documents share, joins its members to one of them; but a
+    set whose frequent parts are fewer than its slack stays out of these, for
+    with each of its partners it agrees in other parts, too.
+    """
+    exploded = parts.select("rep", F.explode("parts").alias("p")).select("rep", F.col("p.group").alias("group"), F.col("p.slack").alias("slack"), F.explode("p.keys").alias("key"))
+    by_key = Window.partitionBy("key")
+    shared = common.materialize(exploded.withColumn("n", F.count("*").over(by_key)).where("n > 1"), "shared-parts")
+    marked = shared.withColumn("f", F.count_if(F.col("n") > FREQUENT).over(Window.partitionBy("rep", "group")))
+
+    members = marked.where(F.col("n") <= FREQUENT).groupBy("group", "key").agg(F.sort_array(F.collect_list(F.struct("rep", "slack", "f"))).alias("m"))
+    need = lambda x, y: F.greatest(F.lit(1), F.greatest(x["slack"], y["slack"]) - F.least(x["f"], y["f"]))
+    pairs = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda y: F.struct(x["rep"].alias("b"), y["rep"].alias("a"), need(x, y).alias("need")))))
+    agreed = members.select("group", F.explode(pairs).alias("p")).groupBy("group", "p.a", "p.b", "p.need").agg(F.count("*").alias("times"))
+    rare = agreed.where("times >= need").select("a", "b")
+
+    often = marked.where((F.col("n") > FREQUENT) & (F.col("f") >= F.col("slack")))
+    kept = often.withColumn("hub", F.min("rep").over(by_key)).where("hub != rep").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+    return rare.union(kept).distinct()
 
 
 def set_names(shingles: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -263,7 +295,7 @@ def similarity_classes(docs: DataFrame, words: int = WORDS, threshold: Fraction
     sizes = Sizes(threshold)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in textkit.regrouped(batches, "text", 8 << 20, 8 << 20):
+        for part in textkit.regrouped(batches, "text", 4 << 20, 4 << 20):
             shingles, bounds = shingle_sets(part, words)
             a, b = set_names(shingles, bounds)
             seen: set[tuple[int, int]] = set()
@@ -273,17 +305,14 @@ def similarity_classes(docs: DataFrame, words: int = WORDS, threshold: Fraction
                 fresh = len(own) > 0 and name not in seen
                 seen.add(name)
                 keys.append(part_keys(own, sizes) if fresh else None)
-            lists = pa.array([None if k is None else k.view(np.int64) for k in keys], pa.list_(pa.int64()))
+            lists = pa.array([None if k is None else [{"group": g, "slack": n, "keys": x.view(np.int64)} for g, n, x in k] for k in keys], PARTS)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("dup"), pa.array(np.diff(bounds).astype(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), lists], ["doc_id", "dup", "n_shingles", "set_a", "set_b", "parts"])
 
     every = common.materialize(rows.mapInArrow(sets, SETS), "sets")
     full = every.where("n_shingles > 0")
     chosen = full.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "dup")).alias("rep"), F.first("n_shingles").alias("n"), F.any_value("parts", F.lit(True)).alias("parts"))
     chosen = common.materialize(chosen, "representatives")
-    keys = chosen.select("rep", F.explode("parts").alias("key"))
-    hub = F.min("rep").over(Window.partitionBy("key"))
-    near = keys.withColumn("hub", hub).where("hub != rep").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
-    buckets = components(near)
+    buckets = components(candidate_edges(chosen))
 
     # members of a bucket, cut into chunks by the running number of shingles
     whole = buckets.select("node", "root").union(buckets.select(F.col("root").alias("node"), "root").distinct())
