@@ -12,7 +12,7 @@ Sequences of one tier form step groups of equal tokens; within a group the
 sequences are dealt to ranks from the costliest down, back and forth, where
 cost is the sum of squared piece lengths.
 
-Documents are packed where they are read, about 8 MB of text at a time: no
+Documents are packed where they are read, about 4 MB of text at a time: no
 shuffle, and no group can become hot.  A document longer than that is a chunk
 of its own.  A null text is empty, a null identifier stays null, repeated rows
 are packed like any others, an empty table gives no rows, and columns other
@@ -125,7 +125,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, end_id: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, base = encoder(path), TaskContext.get().partitionId() << 40
         step_base = base
-        for part in textkit.regrouped(batches, "text", 8 << 20, 8 << 20):
+        for part in textkit.regrouped(batches, "text", 4 << 20, 4 << 20):
             ids, bounds = code.encode(*textkit.buffers(part.column("text")))
             doc_ids = part.column("doc_id")
             lengths = (np.diff(bounds) + 1).tolist()

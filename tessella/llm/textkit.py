@@ -6,12 +6,18 @@ arrays over that buffer.  64-bit hashes stand for words and windows.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+try:
+    _TRIM = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library
+    _TRIM = None
+
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -50,6 +56,13 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
+def release() -> None:
+    """Give freed memory back to the system; workers live on between tasks of different operators."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows with about ``most`` bytes of text; one longer row makes a run of its own."""
     if not batch.num_rows:
@@ -74,8 +87,10 @@ def regrouped(batches: Iterator[pa.RecordBatch], column: str, least: int, most:
             if size >= least:
                 yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
                 held, size = [], 0
+        del batch
     if held:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    release()
 
 
 def range_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -83,11 +98,14 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> n
     if not len(starts):
         return np.zeros(0, np.uint64)
     begin = np.cumsum(lengths) - lengths
-    place = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(begin, lengths)
-    if len(place) == len(data):
+    total = int(lengths.sum())
+    kind = np.int32 if max(total, len(data)) < 2**31 else np.int64
+    place = np.arange(total, dtype=kind)
+    place -= np.repeat(begin.astype(kind), lengths)
+    if total == len(data):
         value = BYTE[data]
     else:
-        value = BYTE[data[place + np.repeat(starts, lengths)]]
+        value = BYTE[data[place + np.repeat(starts.astype(kind), lengths)]]
     if int(lengths.max()) > _LOW:
         value *= POW_HIGH[(place >> 16) & (_LOW - 1)]
         place &= _LOW - 1
