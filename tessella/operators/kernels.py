@@ -91,6 +91,18 @@ def morphology(df: DataFrame, radius: int = 3) -> DataFrame:
     return df.select("frame", "x", "y", F.least(*values).alias("low"), F.greatest(*values).alias("high"))
 
 
+def mixed_kernels(df: DataFrame, wide: int = 25) -> DataFrame:
+    """(idx, mode, n): by idx % 4 a sum, a least, a greatest value or the number of changes along a line of procedural pixels."""
+    mode = F.col("idx") % 4
+    line = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(wide - 1).cast("long")), lambda k: pixel(F.col("idx") + k, F.col("idx") * 3 + k * 3, mode))
+    rows = df.withColumn("_line", line)
+    total = F.aggregate("_line", F.lit(0).cast("long"), lambda a, x: a + x)
+    lit = F.transform("_line", lambda x: (x > 127).cast("int"))
+    changes = F.aggregate(F.zip_with(F.slice(lit, 1, wide - 1), F.slice(lit, 2, wide - 1), lambda a, b: F.abs(a - b)), F.lit(0), lambda a, x: a + x)
+    value = F.when(mode == 0, total).when(mode == 1, F.array_min("_line")).when(mode == 2, F.array_max("_line")).otherwise(changes)
+    return rows.select("idx", mode.alias("mode"), value.cast("long").alias("n"))
+
+
 def compress(df: DataFrame, key: str, text: str, level: int = 1) -> DataFrame:
     """(key, n_bytes, packed_bytes, same): each text compressed, unpacked again and compared."""
 

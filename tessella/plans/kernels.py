@@ -62,6 +62,13 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return kernels.morphology(spark.range(2048).select(F.expr("id div 1024").alias("frame"), (F.col("id") % 32).alias("x"), (F.expr("id div 32") % 32).alias("y")))
 
 
+@query("mixed_kernels", """WITH p AS (SELECT i AS idx, i % 4 AS mode, k, ((i + k) * 73 + (i * 3 + k * 3) * 151 + (i % 4) * 31 + (i + k) * (i * 3 + k * 3) * 7) % 256 AS px FROM range(0, 3000) a(i), range(0, 25) b(k)),
+c AS (SELECT *, abs((px > 127)::INT - lag((px > 127)::INT) OVER (PARTITION BY idx ORDER BY k)) AS turn FROM p)
+SELECT idx, mode, (CASE mode WHEN 0 THEN sum(px) WHEN 1 THEN min(px) WHEN 2 THEN max(px) ELSE sum(turn) END)::BIGINT AS n FROM c GROUP BY idx, mode""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return kernels.mixed_kernels(spark.range(3000).withColumnRenamed("id", "idx"))
+
+
 @query("multistage_pipeline")
 def _(spark: SparkSession, d: str) -> DataFrame:
     """Blur, gradient and threshold of a procedural image, one after the other."""

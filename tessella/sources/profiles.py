@@ -172,6 +172,31 @@ def read_evidence(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).csv(path, header=True, mode="FAILFAST")
 
 
+def save_models(spark: SparkSession, models: dict[tuple, dict], path: str) -> None:
+    """Fitted models, one row a group."""
+    rows = [([str(k) for k in key], [float(b) for b in m["beta"]], float(m["variance"]), float(m["n"])) for key, m in sorted(models.items(), key=lambda x: str(x[0]))]
+    spark.createDataFrame(rows, "key array<string>, beta array<double>, variance double, n double").write.mode("overwrite").parquet(path)
+
+
+def load_models(spark: SparkSession, path: str) -> dict[tuple, dict]:
+    return {tuple(r["key"]): {"beta": list(r["beta"]), "variance": r["variance"], "n": r["n"]} for r in spark.read.parquet(path).collect()}
+
+
+def save_artifact(spark: SparkSession, means: list[float], scales: list[float], weights: list[float], path: str) -> None:
+    """A utility model as checked JSON."""
+    check_artifact(means, scales, weights)
+    spark.createDataFrame([(SCHEMA_VERSION, means, scales, weights)], "schema_version int, means array<double>, scales array<double>, weights array<double>").write.mode("overwrite").json(path)
+
+
+def load_artifact(spark: SparkSession, path: str) -> tuple[list[float], list[float], list[float]]:
+    row = spark.read.schema("schema_version int, means array<double>, scales array<double>, weights array<double>").json(path, mode="FAILFAST").first()
+    if row is None or row["schema_version"] != SCHEMA_VERSION:
+        raise ValueError("not a utility model of this version")
+    found = tuple(list(row[k] or []) for k in ("means", "scales", "weights"))
+    check_artifact(*found)
+    return found
+
+
 def check_artifact(means: list[float], scales: list[float], weights: list[float]) -> None:
     """A utility model: as many means as scales, one weight more, positive scales, all finite."""
     if len(means) != len(scales) or len(weights) != len(means) + 1:
