@@ -25,9 +25,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths that this session has made in the shared folder.
+_SCRATCH: set[str] = set()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.add(path)
+    return path
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete scratch paths that nothing will read again."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _SCRATCH.discard(path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all of this session's scratch; call it when the results that come from it are written."""
+    discard(spark, *list(_SCRATCH))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -35,7 +55,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.scratch_path = path
+    return found
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -41,8 +41,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if not before[0]:
             break
-        now = common.materialize(_small_star(_large_star(now)), "edges")
+        last, now = now, common.materialize(_small_star(_large_star(now)), "edges")
         after = _state(now)
+        common.discard(now.sparkSession, last.scratch_path)
         if after == before:
             break
         before = after
