@@ -34,11 +34,11 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from tessella.llm import common, textkit
+from tessella.llm.blobs import planes, planes_back
 from tessella.llm.components import components
 
 WORDS, THRESHOLD = 3, Fraction(9, 10)
@@ -46,8 +46,12 @@ LEAF, FANOUT = 64, 8
 CHUNK_SHINGLES = 2_000_000
 #: A part with more members than this is frequent; most sets need not be compared through their frequent parts.
 FREQUENT = 8
-SETS = "doc_id long, dup int, n_shingles long, set_a long, set_b long, parts array<struct<group:int,slack:int,keys:array<long>>>"
-PARTS = pa.list_(pa.struct([("group", pa.int32()), ("slack", pa.int32()), ("keys", pa.list_(pa.int64()))]))
+#: Bytes of a part's key that are kept; two parts that fall together cost a comparison, no more.
+KEY_BYTES = 7
+SETS = "doc_id long, dup int, n_shingles long, set_a long, set_b long"
+BLOBS = "shard int, known boolean, docs binary, dups binary, groups binary, slacks binary, counts binary, keys binary, weights binary"
+SHARED = "key long, doc_id long, dup int, `group` int, slack int, n long"
+BLOB_TYPES = pa.schema([("shard", pa.int32()), ("known", pa.bool_()), *[(c, pa.binary()) for c in ("docs", "dups", "groups", "slacks", "counts", "keys", "weights")]])
 MEMBERS = "bucket long, side int, doc_id long, dup int, shingles binary"
 LINKS = "a struct<doc_id:long,dup:int>, b struct<doc_id:long,dup:int>"
 
@@ -126,8 +130,85 @@ def part_keys(shingles: np.ndarray, sizes: Sizes) -> list[tuple[int, int, np.nda
     return out
 
 
-def candidate_edges(parts: DataFrame) -> DataFrame:
-    """(a, b) that join the representatives which may link, from (rep, parts).
+class Parts:
+    """The part keys of a chunk of sets: an entry is a set in one of its size groups."""
+
+    def __init__(self, docs: np.ndarray, dups: np.ndarray, shingles: np.ndarray, bounds: np.ndarray, sizes: Sizes):
+        entries, keys = [], []
+        for row in np.flatnonzero(np.diff(bounds) > 0).tolist():
+            for g, slack, own in part_keys(shingles[bounds[row] : bounds[row + 1]], sizes):
+                entries.append((row, g, slack, len(own)))
+                keys.append(own)
+        row, self.group, self.slack, count = np.array(entries, np.int64).reshape(-1, 4).T
+        self.doc, self.dup = docs[row], dups[row]
+        self.key = (np.concatenate(keys) if keys else np.zeros(0, np.uint64)) >> np.uint64(64 - 8 * KEY_BYTES)
+        self.entry = np.repeat(np.arange(len(row)), count)
+
+    def blobs(self, shards: int) -> Iterator[dict]:
+        """Rows by shard.
+
+        A key that is frequent within the chunk goes once, with its count; the
+        entries that have it go to any shard, marked as known, so that no key
+        gathers more than a few rows a chunk.
+        """
+        by = np.argsort(self.key, kind="stable")
+        key = self.key[by]
+        new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        times = np.diff(np.append(first, len(key)))
+        often = np.zeros(len(key), bool)
+        often[by] = np.repeat(times > FREQUENT, times)
+        weight = np.ones(len(key), np.int64)
+        weight[by[first]] = np.where(times > FREQUENT, times, 1)
+        lead = np.zeros(len(key), bool)
+        lead[by[first]] = True
+        spread = ((self.key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % shards
+        yield from self._rows(np.flatnonzero(~often | lead), spread, np.where(often, weight, 0), False, shards)
+        yield from self._rows(np.flatnonzero(often), (self.entry + self.doc[self.entry]) % shards if len(key) else spread, weight, True, shards)
+
+    def _rows(self, which: np.ndarray, shard: np.ndarray, weight: np.ndarray, known: bool, shards: int) -> Iterator[dict]:
+        by = which[np.lexsort((which, shard[which]))]
+        edge = np.searchsorted(shard[by], np.arange(shards + 1))
+        for s in range(shards):
+            own = by[edge[s] : edge[s + 1]]
+            if not len(own):
+                continue
+            entry = self.entry[own]  # ascending, as the keys of an entry stand together
+            new = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]]))
+            e = entry[new]
+            yield {
+                "shard": s,
+                "known": known,
+                "docs": planes(self.doc[e].view(np.uint64), 8),
+                "dups": planes(self.dup[e].astype(np.uint64), 4),
+                "groups": planes(self.group[e].astype(np.uint64), 1),
+                "slacks": planes(self.slack[e].astype(np.uint64), 4),
+                "counts": planes(np.diff(np.append(new, len(own))).astype(np.uint64), 4),
+                "keys": planes(self.key[own], KEY_BYTES),
+                "weights": planes(weight[own].astype(np.uint64), 4),
+            }
+
+
+def shared_parts(blobs: list[dict]) -> pa.RecordBatch:
+    """Entries and keys of one shard, for keys that two or more have; a count over FREQUENT means no more than that."""
+
+    def column(name: str, width: int) -> np.ndarray:
+        return np.concatenate([np.repeat(planes_back(b[name], width), planes_back(b["counts"], 4).astype(np.int64)) for b in blobs])
+
+    key = np.concatenate([planes_back(b["keys"], KEY_BYTES) for b in blobs])
+    weight = np.concatenate([planes_back(b["weights"], 4) for b in blobs]).astype(np.int64)
+    known = np.repeat([b["known"] for b in blobs], [int(planes_back(b["counts"], 4).sum()) for b in blobs])
+    # a row of weight 0 is one entry, one with a weight stands for as many, which come as known rows
+    distinct, which = np.unique(key, return_inverse=True)
+    n = np.bincount(which, np.where(known, 0, np.maximum(weight, 1)), len(distinct)).astype(np.int64)[which]
+    keep = known | ((weight == 0) & (n > 1))
+    n = np.where(known, FREQUENT + 1, n)[keep]
+    arrays = [key[keep].view(np.int64), column("docs", 8)[keep].view(np.int64), column("dups", 4)[keep].astype(np.int32), column("groups", 1)[keep].astype(np.int32), column("slacks", 4)[keep].astype(np.int32), n]
+    return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["key", "doc_id", "dup", "group", "slack", "n"])
+
+
+def candidate_edges(shared: DataFrame) -> DataFrame:
+    """(a, b) that join the representatives which may link, from the parts that several share.
 
     Parts of at most ``FREQUENT`` members give their few pairs, and a pair must
     agree in as many of them as its slacks demand, less the frequent parts that
@@ -136,10 +217,7 @@ def candidate_edges(parts: DataFrame) -> DataFrame:
     set whose frequent parts are fewer than its slack stays out of these, for
     with each of its partners it agrees in other parts, too.
     """
-    exploded = parts.select("rep", F.explode("parts").alias("p")).select("rep", F.col("p.group").alias("group"), F.col("p.slack").alias("slack"), F.explode("p.keys").alias("key"))
-    by_key = Window.partitionBy("key")
-    shared = common.materialize(exploded.withColumn("n", F.count("*").over(by_key)).where("n > 1"), "shared-parts")
-    marked = shared.withColumn("f", F.count_if(F.col("n") > FREQUENT).over(Window.partitionBy("rep", "group")))
+    marked = shared.withColumn("rep", F.struct("doc_id", "dup")).withColumn("f", F.count_if(F.col("n") > FREQUENT).over(Window.partitionBy("doc_id", "dup", "group")))
 
     members = marked.where(F.col("n") <= FREQUENT).groupBy("group", "key").agg(F.sort_array(F.collect_list(F.struct("rep", "slack", "f"))).alias("m"))
     need = lambda x, y: F.greatest(F.lit(1), F.greatest(x["slack"], y["slack"]) - F.least(x["f"], y["f"]))
@@ -147,8 +225,9 @@ def candidate_edges(parts: DataFrame) -> DataFrame:
     agreed = members.select("group", F.explode(pairs).alias("p")).groupBy("group", "p.a", "p.b", "p.need").agg(F.count("*").alias("times"))
     rare = agreed.where("times >= need").select("a", "b")
 
-    often = marked.where((F.col("n") > FREQUENT) & (F.col("f") >= F.col("slack")))
-    kept = often.withColumn("hub", F.min("rep").over(by_key)).where("hub != rep").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+    often = marked.where((F.col("n") > FREQUENT) & (F.col("f") >= F.col("slack"))).select("key", "rep")
+    hubs = often.groupBy("key").agg(F.min("rep").alias("hub"))
+    kept = often.join(hubs, "key").where("hub != rep").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
     return rare.union(kept).distinct()
 
 
@@ -298,21 +377,35 @@ def similarity_classes(docs: DataFrame, words: int = WORDS, threshold: Fraction
         for part in textkit.regrouped(batches, "text", 4 << 20, 4 << 20):
             shingles, bounds = shingle_sets(part, words)
             a, b = set_names(shingles, bounds)
-            seen: set[tuple[int, int]] = set()
-            keys = []
-            for row, name in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-                own = shingles[bounds[row] : bounds[row + 1]]
-                fresh = len(own) > 0 and name not in seen
-                seen.add(name)
-                keys.append(part_keys(own, sizes) if fresh else None)
-            lists = pa.array([None if k is None else [{"group": g, "slack": n, "keys": x.view(np.int64)} for g, n, x in k] for k in keys], PARTS)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("dup"), pa.array(np.diff(bounds).astype(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), lists], ["doc_id", "dup", "n_shingles", "set_a", "set_b", "parts"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("dup"), pa.array(np.diff(bounds).astype(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["doc_id", "dup", "n_shingles", "set_a", "set_b"])
 
     every = common.materialize(rows.mapInArrow(sets, SETS), "sets")
     full = every.where("n_shingles > 0")
-    chosen = full.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "dup")).alias("rep"), F.first("n_shingles").alias("n"), F.any_value("parts", F.lit(True)).alias("parts"))
-    chosen = common.materialize(chosen, "representatives")
-    buckets = components(candidate_edges(chosen))
+    chosen = common.materialize(full.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "dup")).alias("rep"), F.first("n_shingles").alias("n")), "representatives")
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in textkit.regrouped(batches, "text", 4 << 20, 4 << 20):
+            shingles, bounds = shingle_sets(part, words)
+            docs, dups = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "dup"))
+            yield pa.RecordBatch.from_pylist(list(Parts(docs, dups, shingles, bounds, sizes).blobs(n_parts)), schema=BLOB_TYPES)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One shard after the other; a partition's rows come sorted by shard."""
+        held: list[dict] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and row["shard"] != held[0]["shard"]:
+                    yield shared_parts(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield shared_parts(held)
+        textkit.release()
+
+    one = chosen.select("rep.doc_id", "rep.dup").hint("shuffle_hash")
+    blobs = rows.join(one, ["doc_id", "dup"], "left_semi").mapInArrow(parts, BLOBS)
+    shared = common.materialize(blobs.repartition(n_parts, "shard").sortWithinPartitions("shard").mapInArrow(count, SHARED), "shared-parts")
+    buckets = components(candidate_edges(shared))
 
     # members of a bucket, cut into chunks by the running number of shingles
     whole = buckets.select("node", "root").union(buckets.select(F.col("root").alias("node"), "root").distinct())
@@ -362,10 +455,10 @@ def similarity_classes(docs: DataFrame, words: int = WORDS, threshold: Fraction
         if held:
             yield flush()
 
-    links = rows.join(asked, ["doc_id", "dup"]).select("doc_id", "dup", "text", "tasks").mapInArrow(members, MEMBERS).repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(join, LINKS)
+    links = rows.join(asked.hint("shuffle_hash"), ["doc_id", "dup"]).select("doc_id", "dup", "text", "tasks").mapInArrow(members, MEMBERS).repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(join, LINKS)
     roots = components(links)
     named = chosen.select("set_a", "set_b", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("root", "rep").alias("root"))
-    linked = full.drop("parts").join(named, ["set_a", "set_b"])
+    linked = full.join(named, ["set_a", "set_b"])
     alone = every.where("n_shingles = 0").withColumn("root", F.struct("doc_id", "dup"))
     columns = ["doc_id", "dup", "n_shingles", F.col("root.doc_id").alias("component_id"), (F.struct("doc_id", "dup") == F.col("root")).alias("first")]
     return linked.select(*columns).unionByName(alone.select(*columns))

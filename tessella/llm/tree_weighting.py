@@ -42,6 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import common, textkit
+from tessella.llm.blobs import ascending, ascending_back, counts_back, counts_out, packed, unpacked
 
 DEPTH = 5
 BLOCK_BYTES = 6 << 20
@@ -57,37 +58,6 @@ def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
 
 
-def packed(values: np.ndarray) -> bytes:
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).tobytes())
-
-
-def unpacked(data: bytes, kind: str) -> np.ndarray:
-    import zstandard
-
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
-
-
-def ascending(values: np.ndarray) -> bytes:
-    """Sorted numbers as differences, byte planes apart."""
-    steps = np.diff(values, prepend=np.uint64(0)).astype("<u8")
-    return packed(steps.view(np.uint8).reshape(-1, 8).T)
-
-
-def ascending_back(data: bytes) -> np.ndarray:
-    planes = unpacked(data, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(-1), dtype=np.uint64)
-
-
-def counts_out(values: np.ndarray) -> bytes:
-    return packed(values.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-
-
-def counts_back(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(unpacked(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
-
-
 def byte_grams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(context and next byte at each byte of the rows, with a zero byte after each row; the rows' bounds)."""
     rows = len(at) - 1
