@@ -10,7 +10,7 @@ follows the same weights.  The sum of the logarithms is the text's code length.
 
 How it is laid out:
 
-1. Documents are read once, in blocks of about 6 MB, written as block files to
+1. Documents are read once, in blocks of about 4 MB, written as block files to
    the shared folder.  For each block its distinct words and distinct grams of
    ``DEPTH + 1`` bytes go out with their training counts, sorted, in one row
    for each shard; what is asked for grows with the corpus, never with the
@@ -45,7 +45,7 @@ from tessella.llm import common, textkit
 from tessella.llm.blobs import ascending, ascending_back, counts_back, counts_out, packed, unpacked
 
 DEPTH = 5
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 ASKED = "kind int, shard int, block string, keys binary, counts binary, words long, documents long"
 ANSWERS = "block string, kind int, shard int, answer binary"
 STATE = "kind int, node int, inner double, zeros long, ones long"
