@@ -175,6 +175,8 @@ def audio_features(docs: DataFrame, with_outputs: bool = False) -> DataFrame:
     themselves.  Each partition is worked on where it is read, without shuffle.
     """
 
+    common.small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in textkit.regrouped(batches, "text", 2 << 20, 2 << 20):
             data, at = textkit.buffers(part.column("text"))

@@ -60,6 +60,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return found
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches of at most 2,000 rows to and from Python, unless the session asks for others: whole texts can be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, "2000")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -234,13 +234,14 @@ def draw(docs: DataFrame, docs_each: int, chars: int) -> dict[str, list[str]]:
 
 def identify(docs: DataFrame, teachers: DataFrame, docs_each: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns of ``docs`` with lang_pred, score, cross_entropy and rejected; learns from ``teachers(lang, text)``."""
+    common.small_batches(docs.sparkSession)
     model = fit(draw(teachers, docs_each, chars))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by that of the sample
     names = ["lang_pred", "score", "cross_entropy", "rejected"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for part in textkit.regrouped(batches, source, 4 << 20, 4 << 20):
+        for part in textkit.regrouped(batches, source, 2 << 20, 2 << 20):
             if own is None:
                 n = part.num_rows
                 found = (["und"] * n, np.zeros(n), np.full(n, np.nan), np.ones(n, bool))

@@ -120,6 +120,7 @@ def step_groups(sequences: list[tuple[int, list[tuple[int, int, int]]]], step_to
 
 def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = 1, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS, ranks: int = RANKS, with_ids: bool = False) -> DataFrame:
     """One row for each piece of ``docs(doc_id, text)``; ``with_ids`` adds the ids themselves."""
+    common.small_batches(docs.sparkSession)
     path = tokenizer_path or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

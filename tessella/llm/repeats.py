@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from tessella.llm import common, textkit
 
 HOT = 50_000
-BLOCK_BYTES = 4 << 20
-CHUNK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
+CHUNK_BYTES = 3 << 20
 STRETCH = "anchor long, content long, doc_id long, dup int, pos long, len int, known boolean"
 PAYLOAD = "bucket long, doc_id long, dup int, pos long, len int, head int, payload binary"
 SPANS = "doc_id long, dup int, pos long, len long"
@@ -101,6 +101,7 @@ def repeated_windows(docs: DataFrame, length: int, scan: Callable, extract: Call
     """
     docs = docs.select("doc_id", "dup", "text")
     spark = docs.sparkSession
+    common.small_batches(spark)
     n = common.shuffle_partitions(spark)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -370,6 +370,7 @@ def similarity_classes(docs: DataFrame, words: int = WORDS, threshold: Fraction
     """
     rows = common.keyed(docs)
     spark = docs.sparkSession
+    common.small_batches(spark)
     n_parts = common.shuffle_partitions(spark)
     sizes = Sizes(threshold)
 

@@ -200,6 +200,7 @@ def write_shards(docs: DataFrame, out: str, tokenizer_path: str | None = None, e
     of another name; the manifest names the file of the run that counted.
     """
     path, spark = tokenizer_path or default_tokenizer(), docs.sparkSession
+    common.small_batches(spark)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, inner = pyarrow.fs.FileSystem.from_uri(out)

@@ -218,7 +218,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: tuple[str, ...]
     keep = keep or ()
     rows = common.keyed(docs, *keep)
     spans = repeats.repeated_windows(
-        rows, length, lambda p: scan(p, length), lambda *a: extract(*a, length=length), lambda *a: resolve(*a, length=length), "suffix", 3 << 20
+        rows, length, lambda p: scan(p, length), lambda *a: extract(*a, length=length), lambda *a: resolve(*a, length=length), "suffix", 2 << 20
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

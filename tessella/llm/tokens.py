@@ -4,7 +4,7 @@ The byte-level pre-tokeniser never joins a non-space character with a
 following single space, so a text may be cut before each space that stands
 alone between two visible characters; the ids of the pieces, concatenated,
 are the ids of the text.  Each distinct piece is encoded once per worker and
-remembered, up to ``MEMO`` pieces.
+remembered, up to ``MEMO`` pieces and ``MEMO_IDS`` ids.
 """
 
 from __future__ import annotations
@@ -15,7 +15,9 @@ import numpy as np
 
 from tessella.llm.textkit import range_hashes
 
-MEMO = 1_500_000
+MEMO, MEMO_IDS = 1_500_000, 30_000_000
+#: Pieces that the library gets at once; what it gives back for each is large.
+STEP = 16_384
 _LOADED: dict[str, Encoder] = {}
 
 
@@ -31,13 +33,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.forget()
 
     def forget(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.starts = np.zeros(0, np.int64)
-        self.lengths = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.starts = np.zeros(0, np.uint32)
+        self.lengths = np.zeros(0, np.uint32)
+        self.ids = np.zeros(0, self.kind)
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, their bounds) for rows of UTF-8 bytes with offsets ``at``."""
@@ -47,7 +50,7 @@ class Encoder:
         lengths = np.diff(np.append(cuts, len(data)))
         hashes = range_hashes(data, cuts, lengths)
         distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) + len(distinct) > MEMO:
+        if len(self.keys) + len(distinct) > MEMO or len(self.ids) > MEMO_IDS:
             self.forget()
         slot = np.searchsorted(self.keys, distinct)
         slot[slot == len(self.keys)] = 0
@@ -55,21 +58,25 @@ class Encoder:
         if not known.all():
             raw = data.tobytes()
             new = np.flatnonzero(~known)
-            texts = [raw[s : s + n].decode() for s, n in zip(cuts[first[new]].tolist(), lengths[first[new]].tolist(), strict=True)]
-            coded = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-            flat = np.fromiter((i for x in coded for i in x), np.uint32, int(sizes.sum()))
+            sizes, flat = [np.zeros(0, np.int64)], [self.ids]
+            for k in range(0, len(new), STEP):
+                part = new[k : k + STEP]
+                texts = [raw[s : s + n].decode() for s, n in zip(cuts[first[part]].tolist(), lengths[first[part]].tolist(), strict=True)]
+                coded = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+                sizes.append(np.fromiter(map(len, coded), np.int64, len(coded)))
+                flat.append(np.fromiter((i for x in coded for i in x), self.kind, int(sizes[-1].sum())))
+            sizes = np.concatenate(sizes)
             keys = np.concatenate([self.keys, distinct[new]])
             order = np.argsort(keys)
-            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])[order]
-            self.lengths = np.concatenate([self.lengths, sizes])[order]
-            self.ids = np.concatenate([self.ids, flat])
+            self.starts = np.concatenate([self.starts, (len(self.ids) + np.cumsum(sizes) - sizes).astype(np.uint32)])[order]
+            self.lengths = np.concatenate([self.lengths, sizes.astype(np.uint32)])[order]
+            self.ids = np.concatenate(flat)
             self.keys = keys[order]
             slot = np.searchsorted(self.keys, distinct)
         slot = slot[which]
-        sizes = self.lengths[slot]
+        sizes = self.lengths[slot].astype(np.int64)
         ends = np.cumsum(sizes)
-        ids = self.ids[np.repeat(self.starts[slot] - (ends - sizes), sizes) + np.arange(int(ends[-1]))]
+        ids = self.ids[np.repeat(self.starts[slot] - (ends - sizes), sizes) + np.arange(int(ends[-1]))].astype(np.uint32)
         before = np.concatenate([[0], ends])
         return ids, before[np.searchsorted(cuts, at)]
 

@@ -199,6 +199,7 @@ class Crown:
 def score_documents(docs: DataFrame, held: Column | None = None) -> DataFrame:
     """Scores of ``docs(doc_id, text)``; ``held`` marks the rows that are not learned from (by default ``held_out()``)."""
     spark = docs.sparkSession
+    common.small_batches(spark)
     shards = common.shuffle_partitions(spark)
     folder = common.scratch(spark, "ctw")
     never = F.lit(True)
