@@ -17,4 +17,8 @@ QUERIES = {
     "op10_tree_weighting": tree_weighting.query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_hierarchical_mixing": mixing.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op4_signature_tree_join": signature_trees.ORACLE_SQL,
+    "op5_seed_extend_dedup": seed_extend.ORACLE_SQL,
+    "op7_hierarchical_mixing": mixing.ORACLE_SQL,
+}

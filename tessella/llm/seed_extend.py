@@ -159,3 +159,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(common.documents(spark, sf_dir))
+
+
+#: The query's rows by comparing every window with every other through its words.
+ORACLE_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(COALESCE(text, ''), '[^ \\x09-\\x0D]+') AS w FROM documents),
+  places AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM d),
+  ranked AS (SELECT doc_id, s, row_number() OVER (PARTITION BY array_to_string(w[s:s + 19], ' ') ORDER BY doc_id, s) AS r FROM places),
+  gone AS (SELECT DISTINCT doc_id, s + i AS pos FROM ranked, range(0, 20) AS t(i) WHERE r > 1),
+  words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d),
+  kept AS (SELECT w.doc_id, string_agg(word, ' ' ORDER BY w.pos) AS text, count(*) AS n FROM words w ANTI JOIN gone g ON w.doc_id = g.doc_id AND w.pos = g.pos GROUP BY w.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, len(w)::BIGINT - COALESCE(k.n, 0) AS n_removed, sha256(COALESCE(k.text, '')) AS kept_sha256 FROM d LEFT JOIN kept k ON k.doc_id = d.doc_id"""

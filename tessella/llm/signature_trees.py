@@ -468,3 +468,15 @@ def similarity_classes(docs: DataFrame, words: int = WORDS, threshold: Fraction
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = similarity_classes(common.documents(spark, sf_dir))
     return found.select(common.original_id().alias("doc_id"), "n_shingles", common.original_id("component_id").alias("component_id"))
+
+
+#: The query's rows by counting what every two documents share, and following links.
+ORACLE_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\x09-\\x0D]+') AS w FROM documents),
+  sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM d),
+  items AS (SELECT doc_id, len(s) AS n, unnest(s) AS item FROM sets),
+  shared AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) + any_value(b.n) AS total, count(*) AS c FROM items a JOIN items b ON a.item = b.item AND a.doc_id < b.doc_id AND a.n * 100 >= b.n * 90 AND b.n * 100 >= a.n * 90 GROUP BY a.doc_id, b.doc_id),
+  links AS (SELECT a, b FROM shared WHERE 100 * c >= 90 * (total - c)),
+  edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+  reach AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT r.doc_id, e.b FROM reach r JOIN edges e ON e.a = r.other)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.other) AS component_id FROM sets s JOIN reach r ON r.doc_id = s.doc_id GROUP BY s.doc_id, s.s"""
