@@ -10,22 +10,23 @@ from tessella.operators.sequence import zipped
 from tessella.plans.registry import events, query, table
 from tessella.plans.statistics import micro, micro_sql
 
-_POINTS = "SELECT event_id AS id, (event_id * 7919 % 10007) / 10007.0::DOUBLE AS x, (event_id * 104729 % 10009) / 10009.0::DOUBLE AS y FROM events WHERE event_id < 3000"
+_POINTS = "SELECT event_id AS id, (event_id * 7919 % 10007) / 10007.0::DOUBLE AS x, (event_id * 104729 % 10009) / 10009.0::DOUBLE AS y FROM events"
 
 
 def points(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d).where("idx < 3000").select(F.col("idx").alias("id"), ((F.col("idx") * 7919 % 10007) / 10007.0).alias("x"), ((F.col("idx") * 104729 % 10009) / 10009.0).alias("y"))
+    return events(spark, d).select(F.col("idx").alias("id"), ((F.col("idx") * 7919 % 10007) / 10007.0).alias("x"), ((F.col("idx") * 104729 % 10009) / 10009.0).alias("y"))
 
 
-@query("zip_positions", "SELECT event_id AS idx, value, o_totalprice FROM events JOIN orders ON o_orderkey = event_id WHERE event_id < 5000")
+@query("zip_positions", "SELECT event_id AS idx, value, o_totalprice FROM events JOIN orders ON o_orderkey = event_id")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("idx"), "o_totalprice").where("idx < 5000")
-    return zipped(events(spark, d).select("idx", "value").where("idx < 5000"), orders)
+    left, right = events(spark, d).select("idx", "value"), table(spark, d, "orders").select(F.col("o_orderkey").alias("idx"), "o_totalprice")
+    both = min(left.count(), right.count())  # equal extents: the longer one ends where the other does
+    return zipped(left.where(F.col("idx") < both), right.where(F.col("idx") < both))
 
 
-@query("grid_neighbors", f"WITH p AS ({_POINTS}), n AS (SELECT a.id, b.id AS other, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM p a JOIN p b ON a.id <> b.id AND abs(a.x - b.x) <= 0.03 AND abs(a.y - b.y) <= 0.03), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, other) AS k FROM n WHERE d2 <= 0.03 * 0.03) SELECT id, other, d2 FROM k WHERE k <= 12")
+@query("grid_neighbors", f"WITH p AS ({_POINTS}), n AS (SELECT a.id, b.id AS other, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM p a JOIN p b ON a.id <> b.id AND abs(a.x - b.x) <= 0.01 AND abs(a.y - b.y) <= 0.01), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, other) AS k FROM n WHERE d2 <= 0.01 * 0.01) SELECT id, other, d2 FROM k WHERE k <= 12")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return joins.grid_neighbors(points(spark, d), 32, 0.03, 12)
+    return joins.grid_neighbors(points(spark, d), 100, 0.01, 12)
 
 
 _BOXES = f"SELECT id, x AS min_x, x + 0.01 + (id % 7) * 0.003 AS max_x, y AS min_y, y + 0.02 AS max_y, (id % 11) / 11.0::DOUBLE AS min_z, (id % 11) / 11.0::DOUBLE + 0.1 AS max_z FROM ({_POINTS})"
@@ -39,7 +40,7 @@ def boxes(spark: SparkSession, d: str) -> DataFrame:
 @query("box_overlap", f"WITH b AS ({_BOXES}) SELECT q.id AS query, b.id FROM b JOIN (SELECT * FROM b WHERE id % 20 = 0) q ON b.min_x <= q.max_x AND q.min_x <= b.max_x AND b.min_y <= q.max_y AND q.min_y <= b.max_y AND b.min_z <= q.max_z AND q.min_z <= b.max_z")
 def _(spark: SparkSession, d: str) -> DataFrame:
     every = boxes(spark, d)
-    return joins.box_overlap(every, every.where("id % 20 = 0"))
+    return joins.box_overlap(every, every.where("id % 20 = 0"), cell=0.03)
 
 
 @query("profile_lookup", "SELECT e.event_id AS idx, n.n_name AS name FROM events e LEFT JOIN nation n ON n.n_nationkey = e.user_id")

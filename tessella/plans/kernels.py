@@ -16,14 +16,14 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return kernels.integrate(spark, 100_000).select(micro("value"), micro("exact"))
 
 
-_PARTICLE = "SELECT event_id AS idx, value / 10 AS x, user_id / 5.0 AS y, (event_id % 60) / 2.0 - 15 AS z, 0.5 + (event_id % 1024) / 1024.0 AS mass, CAST(16 + (event_id * 37) % 64 AS INT) AS work FROM events WHERE event_id < 2000"
+_PARTICLE = "SELECT event_id AS idx, value / 10 AS x, user_id / 5.0 AS y, (event_id % 60) / 2.0 - 15 AS z, 0.5 + (event_id % 1024) / 1024.0 AS mass, CAST(16 + (event_id * 37) % 64 AS INT) AS work FROM events"
 
 
 @query("particles", f"""WITH p AS ({_PARTICLE}), t AS (SELECT p.*, k, 0.000031::DOUBLE * (idx + 1) + 0.013::DOUBLE * k AS phase FROM p, range(1, 81) r(k) WHERE k <= work),
 u AS (SELECT idx, mass, phase, (x + sin(phase) * 3) ** 2 + (y + cos(phase * 1.37) * 2) ** 2 + (z + sin(phase * 0.73) * 1.5) ** 2 + 1 AS r2 FROM t) SELECT idx, CAST(floor(sum(mass * (sin(r2 * 0.001) + cos(phase)) / sqrt(r2)) * 1e4 + 0.5) AS BIGINT) AS energy FROM u GROUP BY idx""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("idx")
-    rows = events(spark, d).where("idx < 2000").select("idx", (F.col("value") / 10).alias("x"), (F.col("user_id") / 5.0).alias("y"), ((i % 60) / 2.0 - 15).alias("z"), (0.5 + (i % 1024) / 1024.0).alias("mass"), (16 + (i * 37) % 64).cast("int").alias("work"))
+    rows = events(spark, d).select("idx", (F.col("value") / 10).alias("x"), (F.col("user_id") / 5.0).alias("y"), ((i % 60) / 2.0 - 15).alias("z"), (0.5 + (i % 1024) / 1024.0).alias("mass"), (16 + (i * 37) % 64).cast("int").alias("work"))
     return kernels.particle_energy(rows).select("idx", F.floor(F.col("energy") * 1e4 + 0.5).cast("long").alias("energy"))
 
 
@@ -104,17 +104,17 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return kernels.bounding_tree(boxes(spark, d), 4)
 
 
-_START = "SELECT event_id AS id, (event_id * 7919 % 10007) / 10007.0::DOUBLE AS x, (event_id * 104729 % 10009) / 10009.0::DOUBLE AS y, (event_id % 7 - 3) / 10000.0::DOUBLE AS vx, (event_id % 5 - 2) / 10000.0::DOUBLE AS vy, 0.75 + (event_id % 10) / 20.0::DOUBLE AS mass FROM events WHERE event_id < 1500"
+_START = "SELECT event_id AS id, (event_id * 7919 % 10007) / 10007.0::DOUBLE AS x, (event_id * 104729 % 10009) / 10009.0::DOUBLE AS y, (event_id % 7 - 3) / 10000.0::DOUBLE AS vx, (event_id % 5 - 2) / 10000.0::DOUBLE AS vy, 0.75 + (event_id % 10) / 20.0::DOUBLE AS mass FROM events"
 
 
 def _frame_sql(source: str) -> str:
-    return f"""(WITH a AS (SELECT *, least(floor(greatest(0, least(0.999999999::DOUBLE, x)) * 16), 15) AS cx, least(floor(greatest(0, least(0.999999999::DOUBLE, y)) * 16), 15) AS cy FROM {source}),
-  f AS (SELECT p.id, sum((o.x - p.x) / r * (0.000002::DOUBLE * o.mass / r / r)) AS fx, sum((o.y - p.y) / r * (0.000002::DOUBLE * o.mass / r / r)) AS fy FROM (SELECT p.id, p.x, p.y, p.cx, p.cy FROM a p) p JOIN a o ON abs(p.cx - o.cx) <= 1 AND abs(p.cy - o.cy) <= 1 AND p.id <> o.id, LATERAL (SELECT sqrt((o.x - p.x) ** 2 + (o.y - p.y) ** 2 + 1e-6) AS r) GROUP BY p.id)
+    return f"""(WITH a AS (SELECT *, least(floor(greatest(0, least(0.999999999::DOUBLE, x)) * 200), 199) AS cx, least(floor(greatest(0, least(0.999999999::DOUBLE, y)) * 200), 199) AS cy FROM {source}),
+  f AS (SELECT p.id, sum((o.x - p.x) / r * (0.000002::DOUBLE * o.mass / r / r)) AS fx, sum((o.y - p.y) / r * (0.000002::DOUBLE * o.mass / r / r)) AS fy FROM (SELECT p.id, p.x, p.y, p.cx + i AS cx, p.cy + j AS cy FROM a p, (VALUES (-1), (0), (1)) s(i), (VALUES (-1), (0), (1)) t(j)) p JOIN a o ON p.cx = o.cx AND p.cy = o.cy AND p.id <> o.id, LATERAL (SELECT sqrt((o.x - p.x) ** 2 + (o.y - p.y) ** 2 + 1e-6) AS r) GROUP BY p.id)
   SELECT a.id, x + (vx + coalesce(fx, 0) / mass) AS x, y + (vy + coalesce(fy, 0) / mass) AS y, vx + coalesce(fx, 0) / mass AS vx, vy + coalesce(fy, 0) / mass AS vy, mass FROM a LEFT JOIN f USING (id))"""
 
 
 @query("particle_simulation", f"SELECT id, {', '.join(micro_sql(c, c) for c in ('x', 'y', 'vx', 'vy'))} FROM {_frame_sql(_frame_sql(f'({_START})'))}")
 def _(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("idx")
-    rows = events(spark, d).where("idx < 1500").select(i.alias("id"), ((i * 7919 % 10007) / 10007.0).alias("x"), ((i * 104729 % 10009) / 10009.0).alias("y"), ((i % 7 - 3) / 10000.0).alias("vx"), ((i % 5 - 2) / 10000.0).alias("vy"), (0.75 + (i % 10) / 20.0).alias("mass"))
-    return kernels.simulate(rows, 16, 2).select("id", *[micro(c) for c in ("x", "y", "vx", "vy")])
+    rows = events(spark, d).select(i.alias("id"), ((i * 7919 % 10007) / 10007.0).alias("x"), ((i * 104729 % 10009) / 10009.0).alias("y"), ((i % 7 - 3) / 10000.0).alias("vx"), ((i % 5 - 2) / 10000.0).alias("vy"), (0.75 + (i % 10) / 20.0).alias("mass"))
+    return kernels.simulate(rows, 200, 2).select("id", *[micro(c) for c in ("x", "y", "vx", "vy")])

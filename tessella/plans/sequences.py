@@ -49,9 +49,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return sequence.strided(events(spark, d), 7, 3).select("idx", "user_id")
 
 
-@query("image_roi", "SELECT event_id // 64 - 5 AS y, event_id % 64 - 8 AS x, (CAST(floor(value) AS INT) % 256)::INT AS px FROM events WHERE event_id < 64 * 96 AND event_id // 64 BETWEEN 5 AND 24 AND event_id % 64 BETWEEN 8 AND 39")
+@query("image_roi", "SELECT event_id // 64 - 5 AS y, event_id % 64 - 8 AS x, (CAST(floor(value) AS INT) % 256)::INT AS px FROM events WHERE event_id // 64 BETWEEN 5 AND 24 AND event_id % 64 BETWEEN 8 AND 39")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    image = events(spark, d).where("idx < 64 * 96").select(F.expr("idx div 64").alias("y"), (F.col("idx") % 64).alias("x"), (F.floor("value").cast("int") % 256).alias("px"))
+    image = events(spark, d).select(F.expr("idx div 64").alias("y"), (F.col("idx") % 64).alias("x"), (F.floor("value").cast("int") % 256).alias("px"))
     return sequence.region(image, 5, 8, 20, 32)
 
 
