@@ -444,6 +444,24 @@ def rank(df: DataFrame, key: str = "w", item: str = "plan") -> DataFrame:
     return both.withColumn("overridden", turned).withColumn("chosen", chosen).drop("_first", "_measured")
 
 
+def guard(scored: DataFrame, key: str = "w", item: str = "plan") -> DataFrame:
+    """(key, learned, baseline, gain, margin, allowed, chosen): may the ranked best replace the analytical best?
+
+    Only with enough confidence, and with a gain beyond a fixed margin and the
+    uncertainty of both predictions.
+    """
+    confidence = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("evidence_c") * F.col("stability_c") * F.col("recent_c")))
+    best = scored.withColumn("_c", confidence).groupBy(key).agg(
+        F.min(F.struct("ranked", item, "stddev_ms", "_c")).alias("l"),
+        F.min(F.struct("predicted_ms", item, "ranked", "stddev_ms")).alias("b"),
+    )
+    gain = F.greatest(F.lit(0.0), (F.col("b.ranked") - F.col("l.ranked")) / F.col("b.ranked") * 100)
+    margin = RANK["override_gain"] + F.least(F.lit(25.0), (F.col("b.stddev_ms") + F.col("l.stddev_ms")) / F.greatest(F.lit(1e-9), F.col("b.predicted_ms")) * 100)
+    named = best.select(key, F.col(f"l.{item}").alias("learned"), F.col(f"b.{item}").alias("baseline"), gain.alias("gain"), margin.alias("margin"), F.col("l._c").alias("confidence"))
+    allowed = (F.col("learned") == F.col("baseline")) | ((F.col("confidence") >= RANK["override_confidence"]) & (F.col("gain") >= F.col("margin")))
+    return named.withColumn("allowed", allowed).withColumn("chosen", F.when(F.col("allowed"), F.col("learned")).otherwise(F.col("baseline")))
+
+
 def utility(features: Column, weights: Column) -> Column:
     return F.aggregate(F.zip_with(features, weights, lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
 

@@ -259,9 +259,21 @@ _RANKED = f"(SELECT w, plan, samples, mean * (1.0 + (length(plan) % 3) / 10.0) A
 g AS (SELECT w, f, m, (f.c - m.a) / m.a * 100 AS gain FROM f), t AS (SELECT w, coalesce(f.d AND gain >= 5 AND (m.c < f.e OR (gain >= 10 AND m.d >= 0.65)) AND m.b <> f.b, false) AS overridden, f, m FROM g)
 SELECT r.w, r.plan, {', '.join(micro_sql(c, c) for c in ('analytical', 'exact_weight', 'ranked', 'e_confidence'))}, overridden, CASE WHEN overridden THEN m.b ELSE f.b END AS chosen FROM r JOIN t USING (w)""")
 def _(spark: SparkSession, d: str) -> DataFrame:
+    return ad.rank(_ranked(spark, d)).select("w", "plan", *[micro(c) for c in ("analytical", "exact_weight", "ranked", "e_confidence")], "overridden", "chosen")
+
+
+def _ranked(spark: SparkSession, d: str) -> DataFrame:
     h = history(spark, d)
-    rows = h.select("w", "plan", "samples", (F.col("mean") * (1.0 + (F.length("plan") % 3) / 10.0)).alias("predicted_ms"), "confidence", (F.col("sd") / 10).alias("stddev_ms"), "h_mean", F.col("sd").alias("h_sd"), "h_regret", F.col("last").alias("h_last"), "h_success", "h_weight", F.lit(20.0).alias("h_error"))
-    return ad.rank(rows).select("w", "plan", *[micro(c) for c in ("analytical", "exact_weight", "ranked", "e_confidence")], "overridden", "chosen")
+    return h.select("w", "plan", "samples", (F.col("mean") * (1.0 + (F.length("plan") % 3) / 10.0)).alias("predicted_ms"), "confidence", (F.col("sd") / 10).alias("stddev_ms"), "h_mean", F.col("sd").alias("h_sd"), "h_regret", F.col("last").alias("h_last"), "h_success", "h_weight", F.lit(20.0).alias("h_error"))
+
+
+@query("override_guard", f"""WITH r AS (SELECT *, least(1.0, greatest(0.0, evidence_c * stability_c * recent_c)) AS c FROM {ad.RANKING.sql(doubles(_RANKED))}),
+b AS (SELECT w, min({{a: ranked, b: plan, c: stddev_ms, d: c}}) AS l, min({{a: predicted_ms, b: plan, c: ranked, d: stddev_ms}}) AS s FROM r GROUP BY w),
+g AS (SELECT w, l.b AS learned, s.b AS baseline, greatest(0, (s.c - l.a) / s.c * 100) AS gain, 3.0 + least(25.0, (s.d + l.c) / greatest(1e-9, s.a) * 100) AS margin, l.d AS c FROM b)
+SELECT w, learned, baseline, {micro_sql('gain', 'gain')}, {micro_sql('margin', 'margin')}, learned = baseline OR (c >= 0.60 AND gain >= margin) AS allowed, CASE WHEN learned = baseline OR (c >= 0.60 AND gain >= margin) THEN learned ELSE baseline END AS chosen FROM g""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    found = ad.guard(ad.RANKING.apply(_ranked(spark, d)))
+    return found.select("w", "learned", "baseline", micro("gain"), micro("margin"), "allowed", "chosen")
 
 
 _CONFIDENT = doubles("(SELECT user_id AS w, 0.05 + (user_id % 10) / 10.0 AS profile_c, (user_id % 7) / 7.0 AS family_c, 0.5 AS residual_c, (user_id % 5) / 5.0 AS history_c, 0.6 AS similarity_c, 1.0 + (user_id % 4) / 10.0 AS ranked, 1.0 + (user_id % 3) / 10.0 AS analytical FROM (SELECT DISTINCT user_id FROM events) AS u)")
