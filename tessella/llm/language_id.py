@@ -13,7 +13,8 @@ The models are fitted on a bounded sample: of each language at most
 counts and calibrates rejection: a text is rejected if its cross-entropy lies
 more than ``REJECT`` standard errors above its language's mean, the error being
 made of a spread between documents and a part that falls with length.  Every
-whole text is predicted.
+whole text is predicted.  Languages are labels: their number is taken to be
+small, and one count and one model of bounded size are kept for each.
 
 Nulls, empties and ties: a text that is null or has no letter gets ``und``,
 score 0 and is rejected; rows with null language or null identifier teach
