@@ -190,15 +190,15 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return ad.similar_pairs(prints, prints, "w").select("w", "other", micro("similarity"), micro("coverage"))
 
 
-#: Outcomes of a workload's plan in the order of events, against the best of its round of 50 events.
-_OUTCOMES = "SELECT user_id AS w, event_type AS plan, event_id AS idx, value AS ms, (value / min(value) OVER (PARTITION BY user_id, event_id // 1000) - 1) * 100 AS regret FROM events"
+#: Outcomes of a workload's plan in the order of events, against the best of its round; a timing that is not positive is none.
+_OUTCOMES = "SELECT user_id AS w, event_type AS plan, event_id AS idx, value AS ms, (value / min(value) OVER (PARTITION BY user_id, event_id // 1000) - 1) * 100 AS regret FROM events WHERE value > 0"
 
 
 def outcomes(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
     best = F.min("ms").over(Window.partitionBy("w", F.expr("idx div 1000")))
-    rows = events(spark, d).select(F.col("user_id").alias("w"), F.col("event_type").alias("plan"), "idx", F.col("value").alias("ms"))
+    rows = events(spark, d).where("value > 0").select(F.col("user_id").alias("w"), F.col("event_type").alias("plan"), "idx", F.col("value").alias("ms"))
     return rows.withColumn("regret", (F.col("ms") / best - 1) * 100)
 
 

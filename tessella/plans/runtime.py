@@ -81,11 +81,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _training(spark: SparkSession, d: str) -> DataFrame:
-    rows = events(spark, d)
+    rows = events(spark, d).where("value > 0")
     return rows.select("event_type", (F.col("user_id") % 3).alias("family"), F.lit(1.0).alias("f0"), ((F.col("user_id") % 10) / 10).alias("f1"), ((F.col("idx") % 24) / 24).alias("f2"), F.log(F.col("value") / 40).alias("y"))
 
 
-@query("ridge_fit", f"""WITH t AS (SELECT event_type, (user_id % 10) / 10.0::DOUBLE AS f1, ln(value / 40) AS y FROM events),
+@query("ridge_fit", f"""WITH t AS (SELECT event_type, (user_id % 10) / 10.0::DOUBLE AS f1, ln(value / 40) AS y FROM events WHERE value > 0),
 s AS (SELECT event_type, count(*) + 2.0::DOUBLE AS a, sum(f1) AS b, sum(f1 * f1) + 2 AS c, sum(y) AS u, sum(f1 * y) AS v FROM t GROUP BY event_type) SELECT event_type, {micro_sql('(c * u - b * v) / (a * c - b * b)', 'intercept')}, {micro_sql('(a * v - b * u) / (a * c - b * b)', 'slope')} FROM s""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     models = learning.ridge(_training(spark, d), ["f0", "f1"], "y", ["event_type"])

@@ -115,13 +115,13 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, "user_id").select("user_id", (F.col("user_id") + 1).alias("other"), st.intervals_overlap(F.col("low"), F.col("high"), F.col("l2"), F.col("h2")).alias("overlap"))
 
 
-_PAIRED = "WITH l AS (SELECT e.event_type, ln(e.value / (o.o_totalprice / 1000)) AS x FROM events e JOIN orders o ON o.o_orderkey = e.event_id), m AS (SELECT event_type, quantile_cont(x, 0.5) AS med FROM l GROUP BY 1), g AS (SELECT l.event_type, count(*) AS n, med, quantile_cont(abs(x - med), 0.5) AS mad FROM l JOIN m USING (event_type) GROUP BY l.event_type, med)"
+_PAIRED = "WITH l AS (SELECT e.event_type, ln(e.value / (o.o_totalprice / 1000)) AS x FROM events e JOIN orders o ON o.o_orderkey = e.event_id WHERE e.value > 0), m AS (SELECT event_type, quantile_cont(x, 0.5) AS med FROM l GROUP BY 1), g AS (SELECT l.event_type, count(*) AS n, med, quantile_cont(abs(x - med), 0.5) AS mad FROM l JOIN m USING (event_type) GROUP BY l.event_type, med)"
 
 
 @query("paired_log_ratio", f"{_PAIRED} SELECT event_type, n, {micro_sql('exp(med)', 'ratio')}, {micro_sql('exp(med - 1.645 * 1.4826 * mad / sqrt(n))', 'low')}, {micro_sql('exp(med + 1.645 * 1.4826 * mad / sqrt(n))', 'high')}, CASE WHEN exp(med + 1.645 * 1.4826 * mad / sqrt(n)) <= 1.05 THEN 'PASS' WHEN exp(med - 1.645 * 1.4826 * mad / sqrt(n)) > 1.05 THEN 'FAIL' ELSE 'INCONCLUSIVE' END AS gate FROM g")
 def _(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("idx"), (F.col("o_totalprice") / 1000).alias("other"))
-    found = st.paired_log_ratio(events(spark, d).join(orders, "idx"), "value", "other", "event_type")
+    found = st.paired_log_ratio(events(spark, d).where("value > 0").join(orders, "idx"), "value", "other", "event_type")
     return found.select("event_type", "n", micro("ratio"), micro("low"), micro("high"), st.gate(F.col("low"), F.col("high")).alias("gate"))
 
 
@@ -141,9 +141,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return st.bootstrap_interval(events(spark, d), "value", 200, 11)
 
 
-@query("geo_mean", f"SELECT event_type, {micro_sql('exp(avg(ln(value)))', 'geo')} FROM events GROUP BY event_type")
+@query("geo_mean", f"SELECT event_type, {micro_sql('exp(avg(ln(value)))', 'geo')} FROM events WHERE value > 0 GROUP BY event_type")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d).groupBy("event_type").agg(st.geometric_mean("value").alias("geo")).select("event_type", micro("geo"))
+    return events(spark, d).where("value > 0").groupBy("event_type").agg(st.geometric_mean("value").alias("geo")).select("event_type", micro("geo"))
 
 
 @query("welford_moments", f"SELECT user_id, count(*) AS n, {micro_sql('avg(value)', 'mean')}, {micro_sql('var_pop(value)', 'var_pop')} FROM events GROUP BY user_id")
@@ -176,7 +176,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d).select("idx", st.power_bucket(F.col("idx")).alias("bucket"))
 
 
-@query("real_bucket", "WITH e AS (SELECT event_id AS idx, value, floor(log2(value)) AS g FROM events), f AS (SELECT idx, value, g + (CASE WHEN value >= pow(2, g + 1) THEN 1 ELSE 0 END) - (CASE WHEN value < pow(2, g) THEN 1 ELSE 0 END) + 1 AS x FROM e) SELECT idx, CAST((x + 2048) * 16 + floor(value / pow(2, x) * 16) AS BIGINT) AS bucket FROM f")
+@query("real_bucket", "WITH e AS (SELECT event_id AS idx, value, floor(log2(value)) AS g FROM events WHERE value > 0), f AS (SELECT idx, value, g + (CASE WHEN value >= pow(2, g + 1) THEN 1 ELSE 0 END) - (CASE WHEN value < pow(2, g) THEN 1 ELSE 0 END) + 1 AS x FROM e) SELECT idx, CAST((x + 2048) * 16 + floor(value / pow(2, x) * 16) AS BIGINT) AS bucket FROM f UNION ALL SELECT event_id, 0 FROM events WHERE value <= 0")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d).select("idx", st.real_bucket(F.col("value")).alias("bucket"))
 
