@@ -45,10 +45,6 @@ def lower_rank(values: Column, f: float) -> Column:
     return F.get(F.sort_array(values), F.floor(F.lit(f) * (F.size(values) - 1)).cast("int"))
 
 
-def array_mean(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values)
-
-
 def trimmed_mean(df: DataFrame, x: str, fraction: float, *by: str, out: str = "trimmed") -> DataFrame:
     """Mean without the floor(n * fraction) least and greatest values; with nothing left, of all values."""
     place = Window.partitionBy(*by).orderBy(x)

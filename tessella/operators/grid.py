@@ -84,11 +84,6 @@ def sobel(df: DataFrame, rows: int, columns: int, value: str = "v") -> DataFrame
     return tall.select("r", "c", F.when(border, F.lit(0.0)).otherwise(F.sqrt(gx.cast("double") * gx + gy.cast("double") * gy)).alias("magnitude"))
 
 
-def image_rows(df: DataFrame, width: int, height: int) -> DataFrame:
-    """(y, x, px) from (idx, px): the first height * width positions in row-major order."""
-    return df.where(F.col("idx") < width * height).select(F.expr(f"idx div {width}L").alias("y"), (F.col("idx") % width).alias("x"), "px")
-
-
 def sliding_history(df: DataFrame, key: str, order: str, value: str, window: int) -> DataFrame:
     """Median (the upper one) and median absolute deviation of each row's last ``window`` values."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(-(window - 1), 0)
