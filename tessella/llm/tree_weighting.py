@@ -134,7 +134,6 @@ class Subtrees:
         self.grams = grams
         self.predict = np.zeros((len(grams), 8))
         times = np.repeat(counts, 8)
-        inner: dict[int, np.ndarray] = {}
         longer = None
         for depth in range(DEPTH, 1, -1):
             keys, bit = node_keys(grams, depth)
@@ -155,7 +154,6 @@ class Subtrees:
                 self.predict = part * self._estimate(zeros, ones, which, taken) + (1 - part) * self.predict
             longer = (nodes, own, zeros, ones)
         self.top = longer
-        del inner
 
     @staticmethod
     def _estimate(zeros, ones, which, taken) -> np.ndarray:

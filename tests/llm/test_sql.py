@@ -28,3 +28,15 @@ def test_sql(name, spark):
 @pytest.mark.parametrize("name", sorted(entries.QUERIES))
 def test_every_query_runs(name, spark):
     assert name in entries.ORACLE_SQL or entries.QUERIES[name](spark, DATA).count() >= 200
+
+
+def test_scratch_can_be_deleted(spark, monkeypatch):
+    from tessella.llm import common
+
+    monkeypatch.setattr(common, "_SCRATCH", set())
+    kept = common.materialize(spark.range(3), "kept")
+    assert kept.count() == 3 and common._SCRATCH == {kept.scratch_path}
+    common.clean(spark)
+    assert not common._SCRATCH
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(kept.scratch_path)
