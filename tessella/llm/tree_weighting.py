@@ -257,9 +257,11 @@ def score_documents(docs: DataFrame, held: Column | None = None) -> DataFrame:
                 if held_rows and row["shard"] != held_rows[0]["shard"]:
                     yield held_rows[0]["shard"], held_rows
                     held_rows = []
+                    textkit.release()
                 held_rows.append(row)
         if held_rows:
             yield held_rows[0]["shard"], held_rows
+        textkit.release()
 
     def merged(own: list[dict]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, list[np.ndarray]]:
         """(keys of each block, all distinct keys, their training counts, places of the blocks' keys in them)."""
@@ -354,9 +356,11 @@ def score_documents(docs: DataFrame, held: Column | None = None) -> DataFrame:
                 if held_rows and row["block"] != held_rows[0]["block"]:
                     yield flush()
                     held_rows = []
+                    textkit.release()
                 held_rows.append(row)
         if held_rows:
             yield flush()
+        textkit.release()
 
     grams = sharded(GRAM, ["block", "keys", "counts"]).mapInArrow(answer(GRAM), ANSWERS + ", kept long")
     every = words.unionByName(grams).drop("kept")
