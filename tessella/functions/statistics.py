@@ -7,11 +7,16 @@ takes element floor(f (n - 1)).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.shared import partitions
+
 #: Limits of a stable profile, and constants of the intervals.
 STABLE_CV, STABLE_TAIL, STABLE_RATIO = 0.25, 1.75, 2.5
 CATASTROPHIC = 0.20
@@ -145,23 +150,62 @@ def geometric_mean(x: str) -> Column:
     return F.exp(F.avg(F.log(x)))
 
 
+def poisson_weights(seed: int, rounds: int):
+    """A function of a row's ``idx`` that gives its weights in all rounds: Poisson(1) numbers by inversion, to nine, from ``xxhash64(seed, round, idx)`` as in Spark."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turned = lambda h, n: (h << np.uint64(n)) | (h >> np.uint64(64 - n))
+
+    def last(h: np.ndarray) -> np.ndarray:
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        return h ^ (h >> np.uint64(32))
+
+    def of_int(x: np.ndarray, start: np.ndarray) -> np.ndarray:
+        return last(turned((start + p5 + np.uint64(4)) ^ ((x & np.uint64(0xFFFFFFFF)) * p1), 23) * p2 + p3)
+
+    one = of_int(np.array([seed], np.int64).view(np.uint64), np.array([42], np.uint64))
+    starts = of_int(np.arange(rounds, dtype=np.uint64), one) + p5 + np.uint64(8)
+    edge, term, edges = 0.0, 0.36787944117144233, []
+    for k in range(9):
+        edge += term
+        term /= k + 1
+        edges.append(np.uint64(math.ceil(edge * (1 << 53))))
+
+    def weights(idx: int) -> np.ndarray:
+        row = turned(np.array([idx], np.int64).view(np.uint64) * p2, 31) * p1
+        unit = last(turned(starts ^ row, 27) * p1 + p4) & np.uint64((1 << 53) - 1)
+        found = np.zeros(rounds, np.uint8)
+        for e in edges:
+            found += unit >= e
+        return found
+
+    return weights
+
+
 def bootstrap_interval(df: DataFrame, x: str, rounds: int, seed: int, *, low: float = 0.025, high: float = 0.975) -> DataFrame:
     """Percentile bootstrap of the mean with Poisson(1) weights.
 
     A round's weight for a row comes from a hash of (seed, round, row), so a
-    rerun gives the same interval; rows need a unique ``idx``.  Rounds are
-    summed before the shuffle, which carries ``rounds`` rows a task.
+    rerun gives the same interval; rows need a unique ``idx``.  A task sums all
+    rounds in two arrays, so the shuffle after it carries ``rounds`` rows a
+    task.  Rounds in which no row has weight have no mean and are not counted.
     """
-    draws = df.withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    unit = F.pmod(F.xxhash64(F.lit(seed), "_round", "idx"), F.lit(1 << 53)) / float(1 << 53)
-    # inverse of the Poisson(1) distribution function, to eight
-    edge, term, weight = 0.0, 0.36787944117144233, F.lit(0)
-    for k in range(9):
-        edge += term
-        term /= k + 1
-        weight = weight + F.when(unit >= edge, 1).otherwise(0)
-    means = draws.withColumn("_w", weight).groupBy("_round").agg((F.sum(F.col(x) * F.col("_w")) / F.sum("_w")).alias("_mean"))
-    return means.agg(F.percentile("_mean", low).alias("low"), F.percentile("_mean", high).alias("high"), F.count("*").alias("rounds"))
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = poisson_weights(seed, rounds)
+        sums, counts = np.zeros(rounds), np.zeros(rounds, np.int64)
+        for batch in batches:
+            for idx, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                w = weights(idx)
+                sums += w * value
+                counts += w
+        if counts.any():
+            yield pa.RecordBatch.from_pydict({"_round": np.arange(rounds, dtype=np.int32), "_sum": sums, "_weight": counts})
+
+    rows = df.where(F.col(x).isNotNull()).select(F.col("idx").cast("long").alias("idx"), F.col(x).cast("double").alias("_x"))
+    parts = rows.repartition(partitions(df.sparkSession), "idx").mapInArrow(summed, "_round int, _sum double, _weight long")
+    means = parts.groupBy("_round").agg(F.try_divide(F.sum("_sum"), F.sum("_weight")).alias("_mean"))
+    return means.agg(F.percentile("_mean", low).alias("low"), F.percentile("_mean", high).alias("high"), F.count("_mean").alias("rounds"))
 
 
 def welford(x: str) -> list[Column]:

@@ -138,7 +138,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("bootstrap_ci")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return st.bootstrap_interval(events(spark, d), "value", 200, 11)
+    return st.bootstrap_interval(events(spark, d), "value", 10_000, 11)
 
 
 @query("geo_mean", f"SELECT event_type, {micro_sql('exp(avg(ln(value)))', 'geo')} FROM events WHERE value > 0 GROUP BY event_type")
