@@ -1,20 +1,24 @@
 """Ridge regression and pairwise ranking, by sums over the rows.
 
 The only things that come to the driver are matrices whose size is the number
-of features.
+of features, and the ranker's distinct differences where they are few.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.shared import materialize
+
 #: Regularisation, decay and the limits of a pair's weight and of a gradient.
 LAMBDA, DECAY = 2.0, 0.995
 NEAR_TIE, MOST_WEIGHT, RATE, L2, NORM, COOL = 0.005, 3.0, 0.03, 1e-4, 5.0, 0.99
+#: So many distinct differences of pairs may come to the driver.
+GATHERED = 100_000
 
 
 def ridge(df: DataFrame, features: Sequence[str], target: str, by: Sequence[str] = (), weight: Column | None = None, ridge_lambda: float = LAMBDA) -> dict[tuple, dict]:
@@ -66,25 +70,54 @@ def hierarchical(df: DataFrame, features: Sequence[str], target: str, backend: s
     return rows.withColumn("fitted", F.col("shared") + F.col("backend_part") + F.col("family_part")).drop("_left")
 
 
+def _sums_here(rows: Sequence[tuple[list[float], float]], size: int) -> Callable[[list[float]], list[float]]:
+    """Loss and gradient, summed over (difference, weight), as a function of the weights."""
+    x, weight = np.array([r[0] for r in rows], float).reshape(len(rows), size), np.array([r[1] for r in rows], float)
+
+    def sums(weights: list[float]) -> list[float]:
+        z = x @ np.array(weights)
+        share = weight * np.exp(-np.logaddexp(0.0, -z))
+        return [float(weight @ np.logaddexp(0.0, z)), *(share @ x).tolist()]
+
+    return sums
+
+
+def _sums_by_spark(df: DataFrame, size: int) -> Callable[[list[float]], list[float]]:
+    """The same for a table (difference, weight)."""
+
+    def sums(weights: list[float]) -> list[float]:
+        z = sum((F.lit(w) * F.get("difference", i) for i, w in enumerate(weights)), F.lit(0.0))
+        p = 1.0 / (1.0 + F.exp(-z))
+        loss = F.when(z > 30.0, z).otherwise(F.log1p(F.exp(z)))
+        return list(df.agg(F.sum(F.col("weight") * loss).alias("loss"), *[F.sum(F.col("weight") * p * F.get("difference", i)).alias(f"g{i}") for i in range(size)]).first())
+
+    return sums
+
+
 def train_ranker(pairs: DataFrame, size: int, epochs: int, rate: float = RATE, l2: float = L2) -> tuple[list[float], list[float]]:
     """Full-batch descent on weighted pairwise losses.
 
-    ``pairs`` (difference array<double> of better less worse, weight).  Each
-    epoch is one aggregate of ``size + 2`` sums; the gradient's norm is bounded.
+    ``pairs`` (difference array<double> of better less worse, weight).  Pairs of
+    one difference have one loss and gradient but for their weights, so the
+    distinct differences are gathered once, with their summed weights.  Each
+    epoch takes ``size + 1`` sums over all of them, on the driver if they are
+    at most ``GATHERED`` and else in one aggregate; the gradient's norm is
+    bounded.
     """
+    distinct = materialize(pairs.groupBy("difference").agg(F.sum("weight").alias("weight"), F.count("*").alias("n")), "differences")
+    n = distinct.agg(F.sum("n")).first()[0]
+    if not n:
+        raise ValueError("there is no pair that is not a near tie")
+    few = sorted(distinct.select("difference", "weight").limit(GATHERED + 1).collect())
+    sums = _sums_here(few, size) if len(few) <= GATHERED else _sums_by_spark(distinct, size)
     weights, history = [0.0] * size, []
     for _ in range(epochs):
-        z = sum((F.lit(w) * F.get("difference", i) for i, w in enumerate(weights)), F.lit(0.0))
-        p = 1.0 / (1.0 + F.exp(-z))
-        loss = F.when(z > 30.0, z).otherwise(F.log1p(F.exp(z)))
-        row = pairs.agg(F.count("*").alias("n"), F.sum(F.col("weight") * loss).alias("loss"), *[F.sum(F.col("weight") * p * F.get("difference", i)).alias(f"g{i}") for i in range(size)]).first()
-        if not row["n"]:
-            raise ValueError("there is no pair that is not a near tie")
-        g = [row[f"g{i}"] / row["n"] + l2 * w for i, w in enumerate(weights)]
+        loss, *gradient = sums(weights)
+        g = [x / n + l2 * w for x, w in zip(gradient, weights, strict=True)]
         norm = float(np.sqrt(np.sum(np.square(g))))
         step = rate * min(1.0, NORM / norm) if norm else 0.0
         weights = [w - step * x for w, x in zip(weights, g, strict=True)]
-        history.append(row["loss"] / row["n"])
+        history.append(loss / n)
         rate *= COOL
     return weights, history
 

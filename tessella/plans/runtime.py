@@ -120,6 +120,6 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("ranker_train")
 def _(spark: SparkSession, d: str) -> DataFrame:
     rows, pairs = _pairs(spark, d)
-    weights, _history = learning.train_ranker(pairs.select("difference", "weight"), 3, 10)
+    weights, _history = learning.train_ranker(pairs.select("difference", "weight"), 3, 120)
     score = sum((F.lit(w) * F.get("x", i) for i, w in enumerate(weights)), F.lit(0.0))
     return learning.evaluate_ranker(rows, "user_id", "event_type", "ms", score)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella import plans
 from tessella.functions import statistics as st
+from tessella.operators import learning
 
 DATA = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not Path(DATA).exists(), reason="the test tables are not here")
@@ -33,3 +34,38 @@ def test_bootstrap_draws_as_many_samples_as_the_reference(spark):
     # the distribution of the mean is close to normal; 10,000 rounds leave about 0.03 standard errors at either end
     assert found["low"] == pytest.approx(x.mean() - 1.96 * error, abs=0.15 * error)
     assert found["high"] == pytest.approx(x.mean() + 1.96 * error, abs=0.15 * error)
+
+
+def plain_training(pairs: list[tuple[list[float], float]], size: int, epochs: int) -> np.ndarray:
+    """The reference's loop, pair by pair, at the rate of ``learning``."""
+    weights, rate = np.zeros(size), learning.RATE
+    for _ in range(epochs):
+        gradient = sum(w / (1 + np.exp(-(weights @ x))) * np.asarray(x) for x, w in pairs) / len(pairs) + learning.L2 * weights
+        norm = np.sqrt(gradient @ gradient)
+        weights = weights - rate * gradient * (learning.NORM / norm if norm > learning.NORM else 1.0)
+        rate *= learning.COOL
+    return weights
+
+
+@pytest.mark.parametrize("gathered", [0, 100])
+def test_gathered_differences_train_as_pairs_do(spark, monkeypatch, gathered):
+    monkeypatch.setattr(learning, "GATHERED", gathered)
+    pairs = [([0.0, 0.1 * (k % 3 - 1), -0.05 * (k % 7)], 0.1 + 0.01 * k) for k in range(60)]
+    weights, history = learning.train_ranker(spark.createDataFrame(pairs, "difference array<double>, weight double"), 3, 12)
+    assert weights == pytest.approx(plain_training(pairs, 3, 12), rel=1e-9, abs=1e-12)
+    assert len(history) == 12
+
+
+@needs_tables
+def test_ranker_trains_as_many_epochs_as_the_reference(spark, monkeypatch):
+    trained, train = [], learning.train_ranker
+
+    def kept(*a, **b):
+        trained.append((a[0].collect(), train(*a, **b)))
+        return trained[-1][1]
+
+    monkeypatch.setattr(learning, "train_ranker", kept)
+    plans.QUERIES["ranker_train"](spark, DATA)
+    (pairs, (weights, history)), = trained
+    assert len(history) == 120
+    assert weights == pytest.approx(plain_training([(r["difference"], r["weight"]) for r in pairs], 3, 120), rel=1e-9, abs=1e-12)
