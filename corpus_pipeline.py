@@ -1,7 +1,7 @@
 """A corpus pipeline: language ID, n-gram Jaccard join, suffix-array dedup, mixing, packing.
 
 Each stage takes and returns the columns of ``documents``; the last returns the
-pieces of the packed sequences.  Stages are written as Parquet to the shared
+pieces of the packed sequences with their token ids.  Stages are written as Parquet to the shared
 folder and read again.
 """
 
@@ -49,8 +49,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of several context sizes."""
-    return packing.pack_documents(docs)
+    """Sequences of several context sizes, with their token ids."""
+    return packing.pack_documents(docs, with_ids=True)
 
 
 STAGES = [
