@@ -33,7 +33,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -189,7 +188,7 @@ class Reader:
 
 
 def open_shard(path: str) -> Reader:
-    system, inner = pyarrow.fs.FileSystem.from_uri(path)
+    system, inner = common.file_system(path)
     return Reader(system.open_input_file(inner))
 
 
@@ -203,7 +202,7 @@ def write_shards(docs: DataFrame, out: str, tokenizer_path: str | None = None, e
     common.small_batches(spark)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, inner = pyarrow.fs.FileSystem.from_uri(out)
+        system, inner = common.file_system(out)
         code, writer, name, last, repeat, first = encoder(path), None, f"{uuid.uuid4().hex}.sst", None, 0, b""
         for part in textkit.regrouped(batches, "text", 4 << 20, 4 << 20):
             if writer is None:

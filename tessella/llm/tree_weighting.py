@@ -37,7 +37,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -204,7 +203,7 @@ def score_documents(docs: DataFrame, held: Column | None = None) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(held if held is not None else held_out(), never).alias("held"))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, inner = pyarrow.fs.FileSystem.from_uri(folder)
+        system, inner = common.file_system(folder)
         for part in textkit.regrouped(batches, "text", BLOCK_BYTES, BLOCK_BYTES):
             name = f"{uuid.uuid4().hex}.arrow"
             system.create_dir(inner, recursive=True)
@@ -304,7 +303,7 @@ def score_documents(docs: DataFrame, held: Column | None = None) -> DataFrame:
     total_tokens, vocabulary = trained + ends, int(words.agg(F.sum("kept")).first()[0] or 0) + (ends > 0)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, inner = pyarrow.fs.FileSystem.from_uri(folder)
+        system, inner = common.file_system(folder)
         held_rows: list[dict] = []
 
         def flush() -> pa.RecordBatch:

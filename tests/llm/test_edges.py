@@ -407,16 +407,6 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in nothing} == {"und"}
 
 
-def test_kneser_ney_sums_to_one():
-    rng = np.random.default_rng(1)
-    column = pa.array(["".join(rng.choice(list("abcd "), 300)) for _ in range(5)])
-    mapping = language_id.symbol_table(column.to_pylist())
-    model = language_id.KneserNey.fit(language_id.symbols(column, mapping)[0].astype(np.uint64))
-    for context in (0, 5, 0b000001_000010_000011):
-        codes = (np.uint64(context) << np.uint64(6)) | np.arange(64, dtype=np.uint64)
-        assert np.exp(model.log_prob(codes)).sum() == pytest.approx(1.0, abs=1e-9)
-
-
 def test_sstable(spark):
     folder = common.scratch(spark, "sst-test")
     manifest = sstable.write_shards(frame(spark), folder)
