@@ -7,14 +7,16 @@ at equal places, hence two windows need to be compared only if their stretches
 have the same anchor.
 
 1. ``scan`` makes the stretches of a chunk of documents.  Stretches with equal
-   contents collapse to the earliest, per chunk first, so that a passage with
-   any number of copies sends one row per chunk.
+   contents collapse to the earliest, per chunk and then per task (``Seen``),
+   so that a passage with any number of copies sends about one row a task.
 2. One shuffle by anchor collapses the rest and finds the anchors that lie in
-   stretches with different contents.
+   stretches with different contents.  ``hot_anchors`` looks for anchors that
+   would fill a task, in a sample of the documents: their stretches are dealt
+   by anchor and contents.  The sample steers where rows go, never the result.
 3. Only the stretches of those anchors go, with their contents, to ``resolve``,
-   which compares them window by window, a bounded block at a time.  Anchors
-   with over ``HOT`` stretches are dealt out by window instead, after the same
-   collapse per chunk, so that no anchor becomes one task.
+   which compares them window by window, a bounded block at a time.  Hot
+   anchors, and others with over ``HOT`` stretches, are dealt out by window
+   instead, after the same collapse, so that no anchor becomes one task.
 """
 
 from __future__ import annotations
@@ -32,7 +34,9 @@ from tessella.llm import common, textkit
 HOT = 50_000
 BLOCK_BYTES = 2 << 20
 CHUNK_BYTES = 3 << 20
-STRETCH = "anchor long, content long, doc_id long, dup int, pos long, len int, known boolean"
+#: An anchor is hot with this share of a task's mean load; it must then be seen ``SEEN_HOT`` times in the sample.
+HOT_SHARE, SEEN_HOT, SAMPLE_DOCS, CHARS_A_STRETCH = 0.25, 16, 500, 24
+STRETCH = "anchor long, content long, doc_id long, dup int, pos long, len int, known boolean, hot boolean"
 PAYLOAD = "bucket long, doc_id long, dup int, pos long, len int, head int, payload binary"
 SPANS = "doc_id long, dup int, pos long, len long"
 
@@ -81,6 +85,62 @@ def earliest(order: tuple[np.ndarray, ...], key: np.ndarray) -> np.ndarray:
     return out
 
 
+class Seen:
+    """Keys that a task has passed on, and from which place.
+
+    A table of fixed size in which a later key takes the place of an earlier
+    one: what is forgotten costs a row more, never a result.
+    """
+
+    BITS = 18
+
+    def __init__(self):
+        self.key = np.zeros(1 << self.BITS, np.uint64)
+        self.place = np.full((3, 1 << self.BITS), np.iinfo(np.int64).max)
+
+    def later(self, key: np.ndarray, *place: np.ndarray) -> np.ndarray:
+        """Whether a key was passed on from an earlier place (doc, dup, pos) before; the others are remembered."""
+        slot = (key >> np.uint64(64 - self.BITS)).astype(np.int64)
+        before = np.zeros(len(key), bool)
+        for own, held in zip(place[::-1], self.place[::-1], strict=True):
+            before = (held[slot] < own) | ((held[slot] == own) & before)
+        out = (self.key[slot] == key) & before
+        new = np.flatnonzero(~out)
+        self.key[slot[new]] = key[new]
+        for own, held in zip(place, self.place, strict=True):
+            held[slot[new]] = own[new]
+        return out
+
+
+def hot_anchors(docs: DataFrame, scan: Callable, chunk: int) -> np.ndarray:
+    """The anchors that hold more than ``HOT_SHARE`` of what a task gets on average, ascending: a few for each task at most.
+
+    They are looked for in documents drawn by hash, as many as it takes to see
+    such an anchor ``SEEN_HOT`` times.
+    """
+    n = common.shuffle_partitions(docs.sparkSession)
+    chars, count = docs.agg(F.sum(F.length("text").cast("long")), F.count("*")).first()
+    if not chars:
+        return np.zeros(0, np.uint64)
+    share = min(1.0, max(SEEN_HOT / HOT_SHARE * n * CHARS_A_STRETCH / chars, SAMPLE_DOCS / count))
+    drawn = docs.where(F.pmod(F.xxhash64("doc_id", "dup"), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in textkit.regrouped(batches, "text", chunk, chunk):
+            found, times = np.unique(scan(part).anchor, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.uint64).view(np.int64)), pa.array(times.astype(np.int64))], ["anchor", "n"])
+
+    least = max(SEEN_HOT, int(HOT_SHARE * share * chars / CHARS_A_STRETCH / n))
+    hot = drawn.mapInArrow(anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return np.sort(np.array([r[0] for r in hot.select("anchor").collect()], np.int64).view(np.uint64))
+
+
+def inside(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
+    if not len(sorted_):
+        return np.zeros(len(values), bool)
+    return sorted_[np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)] == values
+
+
 def runs(doc: np.ndarray, dup: np.ndarray, pos: np.ndarray) -> list[np.ndarray]:
     """Windows as (doc, dup, first, count) of neighbours."""
     by = np.lexsort((pos, dup, doc))
@@ -91,7 +151,7 @@ def runs(doc: np.ndarray, dup: np.ndarray, pos: np.ndarray) -> list[np.ndarray]:
     return [doc[first], dup[first], pos[first], np.diff(np.append(first, len(doc)))]
 
 
-def repeated_windows(docs: DataFrame, length: int, scan: Callable, extract: Callable, resolve: Callable, name: str, chunk: int = CHUNK_BYTES) -> DataFrame:
+def repeated_windows(docs: DataFrame, length: int, scan: Callable, extract: Callable, resolve: Callable, name: str, chunk: int | None = None) -> DataFrame:
     """(doc_id, dup, pos, len): the windows of ``common.keyed`` documents, as runs of starts, that also start earlier.
 
     ``scan(batch) -> Stretches``; ``extract(text, starts, lens) -> (payloads,
@@ -100,30 +160,39 @@ def repeated_windows(docs: DataFrame, length: int, scan: Callable, extract: Call
     of the windows that are not the earliest of their contents in the block.
     """
     docs = docs.select("doc_id", "dup", "text")
+    chunk = chunk or CHUNK_BYTES
     spark = docs.sparkSession
     common.small_batches(spark)
     n = common.shuffle_partitions(spark)
 
+    hot = hot_anchors(docs, scan, chunk)
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
         for part in textkit.regrouped(batches, "text", chunk, chunk):
             s = scan(part)
+            if not len(s.row):
+                continue
             doc, dup = (part.column(c).to_numpy(zero_copy_only=False)[s.row] for c in ("doc_id", "dup"))
             known = ~earliest((s.pos, dup, doc), s.content)
+            rest = np.flatnonzero(~known)
+            known[rest] = seen.later(s.content[rest], doc[rest], dup[rest], s.pos[rest])
             # what is known to be a copy is only passed on; a place of its own keeps it out of the anchors' groups
-            anchor = np.where(known, textkit.mix(s.content + doc.astype(np.uint64) * textkit._ODD + s.pos.astype(np.uint64)), s.anchor) if len(doc) else s.anchor
+            anchor = np.where(known, textkit.mix(s.content + doc.astype(np.uint64) * textkit._ODD + s.pos.astype(np.uint64)), s.anchor)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (anchor.view(np.int64), s.content.view(np.int64), doc.astype(np.int64), dup.astype(np.int32), s.pos.astype(np.int64), s.len.astype(np.int32), known)],
-                ["anchor", "content", "doc_id", "dup", "pos", "len", "known"],
+                [pa.array(x) for x in (anchor.view(np.int64), s.content.view(np.int64), doc.astype(np.int64), dup.astype(np.int32), s.pos.astype(np.int64), s.len.astype(np.int32), known, inside(hot, anchor) & ~known)],
+                ["anchor", "content", "doc_id", "dup", "pos", "len", "known", "hot"],
             )
 
-    same = Window.partitionBy("anchor", "content").orderBy("known", "doc_id", "dup", "pos")
-    near = Window.partitionBy("anchor")
+    same = Window.partitionBy("deal", "content").orderBy("known", "doc_id", "dup", "pos")
+    near = Window.partitionBy("deal")
     found = (
         docs.mapInArrow(find, STRETCH)
-        .repartition(n, "anchor")
+        .withColumn("deal", F.when(F.col("hot"), F.xxhash64("anchor", "content")).otherwise(F.col("anchor")))
+        .repartition(n, "deal")
         .withColumn("place", F.row_number().over(same))
-        .withColumn("mixed", F.min("content").over(near) != F.max("content").over(near))
-        .withColumn("many", F.count("*").over(near) > HOT)
+        .withColumn("mixed", F.col("hot") | (F.min("content").over(near) != F.max("content").over(near)))
+        .withColumn("many", F.col("hot") | (F.count("*").over(near) > HOT))
         .withColumn("known", F.col("known") | (F.col("place") > 1))
         .where("known or mixed")
         .select("doc_id", "dup", "pos", "len", F.when(~F.col("known"), F.col("anchor")).alias("anchor"), "many")
@@ -132,6 +201,7 @@ def repeated_windows(docs: DataFrame, length: int, scan: Callable, extract: Call
     asked = found.where("anchor is not null").groupBy("doc_id", "dup").agg(F.sort_array(F.collect_list(F.struct("pos", "len", "anchor", "many"))).alias("asked"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
         for part in textkit.regrouped(batches, "text", chunk, chunk):
             data, at = textkit.buffers(part.column("text"))
             lists = part.column("asked")
@@ -151,7 +221,9 @@ def repeated_windows(docs: DataFrame, length: int, scan: Callable, extract: Call
             bucket = np.where(single, digest.view(np.int64), anchor)
             first = earliest((pos, dup, doc), np.where(single, digest, textkit.mix(np.arange(len(digest), dtype=np.uint64))))
             again = ~first & single
-            # copies inside the chunk: no payload; resolve() passes them on
+            rest = np.flatnonzero(single & first)
+            again[rest] = seen.later(digest[rest], doc[rest], dup[rest], pos[rest])
+            # copies of windows that the task has passed on: no payload; resolve() passes them on
             payload = [None if gone else p for p, gone in zip(payload, again.tolist(), strict=True)]
             bucket = np.where(again, textkit.mix(doc.astype(np.uint64) + pos.astype(np.uint64)).view(np.int64), bucket)
             yield pa.RecordBatch.from_arrays(

@@ -38,6 +38,7 @@ GRAM = 24
 PERIOD = 32
 COVER = np.array([*range(8), *range(8, PERIOD, 8)])
 BUCKET = 1 << 18
+CHUNK_BYTES = 2 << 20
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -218,7 +219,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: tuple[str, ...]
     keep = keep or ()
     rows = common.keyed(docs, *keep)
     spans = repeats.repeated_windows(
-        rows, length, lambda p: scan(p, length), lambda *a: extract(*a, length=length), lambda *a: resolve(*a, length=length), "suffix", 2 << 20
+        rows, length, lambda p: scan(p, length), lambda *a: extract(*a, length=length), lambda *a: resolve(*a, length=length), "suffix", CHUNK_BYTES
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
