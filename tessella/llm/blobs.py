@@ -38,9 +38,9 @@ def ascending_back(data: bytes) -> np.ndarray:
     return np.cumsum(planes_back(data, 8), dtype=np.uint64)
 
 
-def counts_out(values: np.ndarray) -> bytes:
-    return planes(values, 4)
+def counts_out(values: np.ndarray, width: int = 4) -> bytes:
+    return planes(values, width)
 
 
-def counts_back(data: bytes) -> np.ndarray:
-    return planes_back(data, 4).astype(np.int64)
+def counts_back(data: bytes, width: int = 4) -> np.ndarray:
+    return planes_back(data, width).astype(np.int64)

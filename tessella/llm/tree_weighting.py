@@ -10,18 +10,23 @@ follows the same weights.  The sum of the logarithms is the text's code length.
 
 How it is laid out:
 
-1. Documents are read once, in blocks of about 4 MB, written as block files to
-   the shared folder.  For each block its distinct words and distinct grams of
-   ``DEPTH + 1`` bytes go out with their training counts, sorted, in one row
-   for each shard; what is asked for grows with the corpus, never with the
-   frequency of a word or gram.
-2. A shard has all blocks' counts of its keys.  Words are sharded by hash,
-   grams by the last two context bytes, so a shard holds whole context subtrees
-   from depth 2 on.  Depths 0 and 1 are a table of 65,536 nodes at most, summed
-   over the shards; that table is the only thing that the driver gathers and
-   ships, and its size is fixed.
+1. Documents are read once, in blocks of about 4 MB (more where there are very
+   many shards, so that rows stay worth their overhead), written as block files
+   to the shared folder.  For each block its distinct words and distinct grams
+   of ``DEPTH + 1`` bytes go out with their training counts, sorted, in one row
+   for each shard that has any; what is asked for grows with the corpus, never
+   with the frequency of a word or gram.
+2. A shard merges its rows as a stream into one table of distinct keys and
+   counts; it holds that table and one row at a time, never all blocks' keys.
+   Words are sharded by hash, grams by the last two context bytes, so a shard
+   holds whole context subtrees from depth 2 on.  A shard with many times the
+   mean number of bytes is merged in several tasks first and answered in
+   several tasks, each with the table.  Depths 0 and 1 are 65,536 nodes at
+   most, summed over the shards exactly; they are the only thing that the
+   driver gathers and ships, and their number is fixed.
 3. Shards answer each block in the order of its keys, and a task with a block's
-   answers reads the block file and sums up by document.
+   answers reads the block file and sums up by document.  A long text is read
+   in ranges of ``RANGE`` bytes, each with the bytes before it as context.
 
 Nulls, empties and ties: a null or empty text has one token, the end; a null
 identifier stays null, and such rows are not learned from; repeated rows are
@@ -44,12 +49,15 @@ from tessella.llm import common, textkit
 from tessella.llm.blobs import ascending, ascending_back, counts_back, counts_out, packed, unpacked
 
 DEPTH = 5
-BLOCK_BYTES = 4 << 20
-ASKED = "kind int, shard int, block string, keys binary, counts binary, words long, documents long"
-ANSWERS = "block string, kind int, shard int, answer binary"
-STATE = "kind int, node int, inner double, zeros long, ones long"
+BLOCK_BYTES, MOST_BLOCK_BYTES, ROW_BYTES = 4 << 20, 64 << 20, 8 << 10
+RANGE = 4 << 20
+#: A shard with more bytes than this and twice the mean is dealt to several tasks.
+SPLIT_BYTES = 32 << 20
+ASKED = "shard int, block string, keys binary, counts binary, documents long"
+TABLES = "shard int, keys binary, counts binary, kept long, trained long"
+ANSWERS = "block string, shard int, answer binary"
+STATE = "node int, inner double, zeros long, ones long"
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
-WORD, GRAM = 0, 1
 
 
 def held_out() -> Column:
@@ -57,23 +65,76 @@ def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
 
 
-def byte_grams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(context and next byte at each byte of the rows, with a zero byte after each row; the rows' bounds)."""
+def ended(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(folded bytes with a zero byte after each row, the rows' bounds)."""
     rows = len(at) - 1
     full = np.zeros(len(data) + rows, np.uint8)
     bounds = at + np.arange(rows + 1)
     place = np.ones(len(full), bool)
     place[bounds[1:] - 1] = False
     full[place] = textkit.LOWER[data]
-    wide = full.astype(np.uint64)
+    return full, bounds
+
+
+def byte_grams(full: np.ndarray, bounds: np.ndarray, s: int, e: int) -> np.ndarray:
+    """Context and next byte at each place from s to e of ``ended`` rows."""
+    begin = max(0, s - DEPTH)
+    wide = full[begin:e].astype(np.uint64)
     grams = wide.copy()
     for k in range(1, DEPTH + 1):
         grams[k:] |= wide[:-k] << np.uint64(8 * k)
+    rows = slice(int(np.searchsorted(bounds[:-1], begin)), int(np.searchsorted(bounds[:-1], e)))
+    first, stop = bounds[:-1][rows], np.minimum(bounds[1:][rows], e)
     for k in range(DEPTH):  # the k-th byte of a row has k before it
-        own = bounds[:-1] + k
-        own = own[own < bounds[1:]]
-        grams[own] &= np.uint64((1 << (8 * (k + 1))) - 1)
-    return grams, bounds
+        own = first + k
+        grams[own[own < stop] - begin] &= np.uint64((1 << (8 * (k + 1))) - 1)
+    return grams[s - begin :]
+
+
+def ranges(total: int) -> Iterator[tuple[int, int]]:
+    for s in range(0, total, RANGE):
+        yield s, min(s + RANGE, total)
+
+
+def distinct(keys: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys of 63 bits, and how often each is learned from."""
+    marked = (keys << np.uint64(1)) | learn.astype(np.uint64)
+    marked.sort()
+    new = np.flatnonzero(np.concatenate([[True], marked[1:] != marked[:-1]])) if len(marked) else np.zeros(0, np.int64)
+    times = np.diff(np.append(new, len(marked)))
+    marked = marked[new]
+    times = np.where((marked & np.uint64(1)) == 1, times, 0)
+    keys = marked >> np.uint64(1)
+    lead = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[lead], np.add.reduceat(times, lead) if len(lead) else times
+
+
+class Counted:
+    """Distinct keys and their counts, merged from sorted rows as they come; memory follows the distinct keys."""
+
+    def __init__(self):
+        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.pending: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.pending.append((keys, counts))
+        self.waiting += len(keys)
+        if self.waiting > max(1 << 19, len(self.keys)):
+            self.merge()
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.pending) == 1 and not len(self.keys):
+            self.keys, self.counts = self.pending[0]
+        elif self.pending:
+            keys = np.concatenate([self.keys, *(k for k, _ in self.pending)])
+            counts = np.concatenate([self.counts, *(c for _, c in self.pending)])
+            by = np.argsort(keys, kind="stable")
+            keys = keys[by]
+            lead = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+            self.keys, self.counts = keys[lead], np.add.reduceat(counts[by], lead) if len(lead) else counts
+        self.pending, self.waiting = [], 0
+        return self.keys, self.counts
 
 
 def word_shard(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -193,6 +254,37 @@ class Crown:
         return np.log10(predict).sum(axis=1)
 
 
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield {name: batch.column(name)[k].as_py() for name in batch.schema.names}
+
+
+def tree_tables(asked: DataFrame, *dealt: str) -> DataFrame:
+    """(shard, keys, counts, kept, trained): the rows of each group of ``dealt`` columns merged into one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, own = None, Counted()
+
+        def table() -> pa.RecordBatch:
+            keys, counts = own.merge()
+            return pa.RecordBatch.from_pydict({"shard": [held[0]], "keys": [ascending(keys)], "counts": [counts_out(counts, 8)], "kept": [int((counts > 0).sum())], "trained": [int(counts.sum())]}, schema=kinds)
+
+        for row in rows_of(batches):
+            if held is not None and tuple(row[c] for c in dealt) != held:
+                yield table()
+                own = Counted()
+            held = tuple(row[c] for c in dealt)
+            own.add(ascending_back(row["keys"]), counts_back(row["counts"], 8))
+        if held is not None:
+            yield table()
+        textkit.release()
+
+    kinds = pa.schema([("shard", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("kept", pa.int64()), ("trained", pa.int64())])
+    n = common.shuffle_partitions(asked.sparkSession)
+    return asked.select(*dealt, "keys", "counts").repartition(n, *dealt).sortWithinPartitions(*dealt).mapInArrow(run, TABLES)
+
+
 def score_documents(docs: DataFrame, held: Column | None = None) -> DataFrame:
     """Scores of ``docs(doc_id, text)``; ``held`` marks the rows that are not learned from (by default ``held_out()``)."""
     spark = docs.sparkSession
@@ -201,169 +293,156 @@ def score_documents(docs: DataFrame, held: Column | None = None) -> DataFrame:
     folder = common.scratch(spark, "ctw")
     never = F.lit(True)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(held if held is not None else held_out(), never).alias("held"))
+    block_bytes = min(MOST_BLOCK_BYTES, max(BLOCK_BYTES, shards * ROW_BYTES))
+
+    # word shards are 0, 1, ..., gram shards follow them
+    def parted(words: np.ndarray, grams: np.ndarray) -> Iterator[tuple[int, bool, np.ndarray]]:
+        """(shard, whether it has words, places of its keys) for each shard that a block has keys of."""
+        for shift, shard, has_words in ((0, word_shard(words << np.uint64(1), shards), True), (shards, gram_shard(grams, shards), False)):
+            by = np.argsort(shard, kind="stable")
+            edge = np.searchsorted(shard[by], np.arange(shards + 1))
+            for s in np.flatnonzero(edge[1:] > edge[:-1]).tolist():
+                yield shift + s, has_words, by[edge[s] : edge[s + 1]]
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, inner = common.file_system(folder)
-        for part in textkit.regrouped(batches, "text", BLOCK_BYTES, BLOCK_BYTES):
+        for part in textkit.regrouped(batches, "text", block_bytes, block_bytes):
             name = f"{uuid.uuid4().hex}.arrow"
             system.create_dir(inner, recursive=True)
             with system.open_output_stream(f"{inner}/{name}") as sink, pa.ipc.new_file(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
                 writer.write_batch(part)
-            data, at = textkit.buffers(part.column("text"))
-            learn = ~part.column("held").to_numpy(zero_copy_only=False)
-            out = {k: [] for k in ("kind", "shard", "block", "keys", "counts", "words", "documents")}
-
-            def put(kind: int, values: np.ndarray, bounds: np.ndarray, shard_of, out=out, name=name, learn=learn) -> None:
-                total = int(np.diff(bounds)[learn].sum())
-                # the lowest bit marks training places; both kinds of keys leave it free
-                keys = (values << np.uint64(1)) | np.repeat(learn, np.diff(bounds)).astype(np.uint64) if kind == GRAM else (values & ~np.uint64(1)) | np.repeat(learn, np.diff(bounds)).astype(np.uint64)
-                keys.sort()
-                new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-                times = np.diff(np.append(new, len(keys)))
-                keys = keys[new]
-                trained = (keys & np.uint64(1)) == 1
-                keys >>= np.uint64(1)
-                lead = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
-                counts = np.bincount(np.cumsum(lead) - 1, np.where(trained, times, 0), int(lead.sum())).astype(np.int64) if len(keys) else np.zeros(0, np.int64)
-                keys = keys[lead]
-                shard = shard_of(keys)
-                by = np.argsort(shard, kind="stable")
-                edge = np.searchsorted(shard[by], np.arange(shards + 1))
-                for s in range(shards):
-                    own = by[edge[s] : edge[s + 1]]
-                    if len(own) or s == 0:
-                        out["kind"].append(kind)
-                        out["shard"].append(s)
-                        out["block"].append(name)
-                        out["keys"].append(ascending(keys[own]))
-                        out["counts"].append(counts_out(counts[own]))
-                        out["words"].append(total if s == 0 and kind == WORD else 0)
-                        out["documents"].append(int(learn.sum()) if s == 0 and kind == WORD else 0)
-
-            hashes, _, _, bounds = textkit.word_hashes(data, at, lower=True)
-            put(WORD, hashes, bounds, lambda k: word_shard(k << np.uint64(1), shards))
-            del hashes
-            put(GRAM, *byte_grams(data, at), lambda k: gram_shard(k, shards))
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("block", pa.string()), ("keys", pa.binary()), ("counts", pa.binary()), ("words", pa.int64()), ("documents", pa.int64())]))
+            words, grams, learned = Counted(), Counted(), 0
+            for own in textkit.slices(part, "text", RANGE):
+                data, at = textkit.buffers(own.column("text"))
+                learn = ~own.column("held").to_numpy(zero_copy_only=False)
+                learned += int(learn.sum())
+                hashes, _, _, bounds = textkit.word_hashes(data, at, lower=True)
+                words.add(*distinct(hashes >> np.uint64(1), np.repeat(learn, np.diff(bounds))))
+                del hashes
+                full, bounds = ended(data, at)
+                marks = np.repeat(learn, np.diff(bounds))
+                for s, e in ranges(len(full)):
+                    grams.add(*distinct(byte_grams(full, bounds, s, e), marks[s:e]))
+            lists = words.merge(), grams.merge()
+            out = {k: [] for k in asked_schema.names}
+            for shard, has_words, own in parted(lists[0][0], lists[1][0]):
+                keys, counts = lists[0 if has_words else 1]
+                for column, value in zip(asked_schema.names, (shard, name, ascending(keys[own]), counts_out(counts[own], 8), 0), strict=True):
+                    out[column].append(value)
+            if not out["shard"]:  # never: each row has its end
+                continue
+            out["documents"][0] = learned
+            yield pa.RecordBatch.from_pydict(out, schema=asked_schema)
 
+    asked_schema = pa.schema([("shard", pa.int32()), ("block", pa.string()), ("keys", pa.binary()), ("counts", pa.binary()), ("documents", pa.int64())])
     asked = common.materialize(rows.mapInArrow(ask, ASKED), "ctw-asked")
 
-    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
-        """One shard after the other; a partition's rows come sorted by shard."""
-        held_rows: list[dict] = []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if held_rows and row["shard"] != held_rows[0]["shard"]:
-                    yield held_rows[0]["shard"], held_rows
-                    held_rows = []
-                    textkit.release()
-                held_rows.append(row)
-        if held_rows:
-            yield held_rows[0]["shard"], held_rows
-        textkit.release()
-
-    def merged(own: list[dict]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, list[np.ndarray]]:
-        """(keys of each block, all distinct keys, their training counts, places of the blocks' keys in them)."""
-        lists = [ascending_back(r["keys"]) for r in own]
-        keys, which = np.unique(np.concatenate(lists), return_inverse=True)
-        total = np.bincount(which, np.concatenate([counts_back(r["counts"]) for r in own]), len(keys)).astype(np.int64)
-        return lists, keys, total, np.split(which, np.cumsum([len(x) for x in lists])[:-1])
+    # shards that have far more than their share, and in how many tasks each is worked on: two rows a shuffle partition at most
+    sizes = asked.groupBy("shard").agg(F.sum(F.octet_length("keys") + F.octet_length("counts")).alias("bytes"), F.sum("documents").alias("documents")).collect()
+    most = max(SPLIT_BYTES, 2 * sum(r["bytes"] for r in sizes) // max(1, len(sizes)))
+    ways = [(r["shard"], -(-r["bytes"] // most)) for r in sizes if r["bytes"] > most]
+    ends = sum(r["documents"] for r in sizes)
+    split = F.broadcast(spark.createDataFrame(ways, "shard int, ways int"))
+    dealt = asked.join(split, "shard", "left").withColumn("ways", F.coalesce("ways", F.lit(1))).withColumn("salt", F.pmod(F.xxhash64("block"), F.col("ways")).cast("int"))
+    tables = common.materialize(tree_tables(tree_tables(dealt, "shard", "salt") if ways else asked, "shard"), "ctw-tables")
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, own in grouped(batches):
-            _, keys, total, _ = merged(own)
-            if not len(keys):
-                continue
-            nodes, inner, zeros, ones = Subtrees(keys, total).state()
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nodes), GRAM, np.int32)), pa.array(nodes.astype(np.int32)), pa.array(inner), pa.array(zeros.astype(np.int64)), pa.array(ones.astype(np.int64))], ["kind", "node", "inner", "zeros", "ones"])
-
-    def sharded(kind: int, columns: list[str]) -> DataFrame:
-        return asked.where(F.col("kind") == kind).select("shard", *columns).repartition(shards, "shard").sortWithinPartitions("shard")
+        for row in rows_of(batches):
+            nodes, inner, zeros, ones = Subtrees(ascending_back(row["keys"]), counts_back(row["counts"], 8)).state()
+            yield pa.RecordBatch.from_arrays([pa.array(nodes.astype(np.int32)), pa.array(inner), pa.array(zeros.astype(np.int64)), pa.array(ones.astype(np.int64))], ["node", "inner", "zeros", "ones"])
+        textkit.release()
 
-    state = sharded(GRAM, ["keys", "counts"]).mapInArrow(summed, STATE).groupBy("node").agg(F.sum("inner").alias("inner"), F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
+    # decimals add up to the same sum in any order
+    state = tables.where(F.col("shard") >= shards).select("keys", "counts").mapInArrow(summed, STATE).groupBy("node").agg(F.sum(F.col("inner").cast("decimal(38,9)")).cast("double").alias("inner"), F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
     crown = Crown([tuple(r) for r in state.collect()])  # 65,536 rows at most
     shared = spark.sparkContext.broadcast(crown)
+    sums = tables.where(F.col("shard") < shards).agg(F.sum("trained"), F.sum("kept")).first()
+    total_tokens, vocabulary = int(sums[0] or 0) + ends, int(sums[1] or 0) + (ends > 0)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A shard's table comes before the rows that ask it."""
+        keys, values = np.zeros(0, np.uint64), np.zeros(0)
+        for row in rows_of(batches):
+            if row["block"] is None:
+                keys, values = ascending_back(row["keys"]), counts_back(row["counts"], 8)
+                if row["shard"] >= shards:
+                    values = shared.value.log10(keys, Subtrees(keys, values).predict)
+                textkit.release()
+                continue
+            own = values[np.searchsorted(keys, ascending_back(row["keys"]))]
+            out = counts_out(own, 8) if row["shard"] < shards else packed(own.astype("<f8").view(np.uint8).reshape(-1, 8).T)
+            yield pa.RecordBatch.from_pydict({"block": [row["block"]], "shard": [row["shard"]], "answer": [out]}, schema=answer_schema)
+        textkit.release()
 
-    def answer(kind: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for shard, own in grouped(batches):
-                _, keys, total, places = merged(own)
-                if kind == WORD:
-                    values, kept = [counts_out(total[p]) for p in places], int((total > 0).sum())
-                else:
-                    logs = shared.value.log10(keys, Subtrees(keys, total).predict).astype("<f4") if len(keys) else np.zeros(0, "<f4")
-                    values, kept = [packed(logs[p].view(np.uint8).reshape(-1, 4).T) for p in places], 0
-                yield pa.RecordBatch.from_arrays([pa.array([r["block"] for r in own]), pa.array([kind] * len(own), pa.int32()), pa.array([shard] * len(own), pa.int32()), pa.array(values, pa.binary()), pa.array([kept if i == 0 else 0 for i in range(len(own))], pa.int64())], ["block", "kind", "shard", "answer", "kept"])
-
-        return run
-
-    words = common.materialize(sharded(WORD, ["block", "keys", "counts"]).mapInArrow(answer(WORD), ANSWERS + ", kept long"), "ctw-words")
-    sums = asked.agg(F.sum("words"), F.sum("documents")).first()
-    trained, ends = int(sums[0] or 0), int(sums[1] or 0)
-    total_tokens, vocabulary = trained + ends, int(words.agg(F.sum("kept")).first()[0] or 0) + (ends > 0)
+    answer_schema = pa.schema([("block", pa.string()), ("shard", pa.int32()), ("answer", pa.binary())])
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("ways", F.lit(1)) - 1))
+    copies = tables.join(split, "shard", "left").select("shard", every.alias("salt"), F.lit(None).cast("string").alias("block"), "keys", "counts")
+    asking = copies.unionByName(dealt.select("shard", "salt", "block", "keys", F.lit(None).cast("binary").alias("counts")))
+    answers = asking.repartition(shards, "shard", "salt").sortWithinPartitions("shard", "salt", F.col("block").asc_nulls_first()).mapInArrow(answer, ANSWERS)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, inner = common.file_system(folder)
-        held_rows: list[dict] = []
 
-        def flush() -> pa.RecordBatch:
-            name = held_rows[0]["block"]
+        def sums_by_row(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(bounds) - 1)
+            some = np.diff(bounds) > 0
+            if some.any():
+                out[some] = np.add.reduceat(values, bounds[:-1][some])
+            return out
+
+        def flush(name: str, got: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
             with system.open_input_file(f"{inner}/{name}") as source:
                 part = pa.Table.from_batches([b for b in _batches(pa.ipc.open_file(source))]).combine_chunks().to_batches()[0]
-            data, at = textkit.buffers(part.column("text"))
-            rows = part.num_rows
-            got = {(r["kind"], r["shard"]): r["answer"] for r in held_rows}
-
-            def values_of(kind: int, keys: np.ndarray, shard: np.ndarray, back) -> np.ndarray:
-                out = np.zeros(len(keys))
-                by = np.argsort(shard, kind="stable")
-                edge = np.searchsorted(shard[by], np.arange(shards + 1))
-                for s in range(shards):
-                    if edge[s] < edge[s + 1]:
-                        out[by[edge[s] : edge[s + 1]]] = back(got[kind, s])
-                return out
-
-            def per_row(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-                out = np.zeros(rows)
-                some = np.diff(bounds) > 0
-                if some.any():
-                    out[some] = np.add.reduceat(values, bounds[:-1][some])
-                return out
-
-            hashes, _, _, bounds = textkit.word_hashes(data, at, lower=True)
-            keys, which = np.unique(hashes >> np.uint64(1), return_inverse=True)
-            count = values_of(WORD, keys, word_shard(keys << np.uint64(1), shards), counts_back)
+            words, grams = Counted(), Counted()
+            for own in textkit.slices(part, "text", RANGE):
+                data, at = textkit.buffers(own.column("text"))
+                found = np.unique(textkit.word_hashes(data, at, lower=True)[0] >> np.uint64(1))
+                words.add(found, np.zeros(len(found), np.int64))
+                full, bounds = ended(data, at)
+                for s, e in ranges(len(full)):
+                    found = np.unique(byte_grams(full, bounds, s, e))
+                    grams.add(found, np.zeros(len(found), np.int64))
+            word_keys, gram_keys = words.merge()[0], grams.merge()[0]
+            count, log = np.zeros(len(word_keys)), np.zeros(len(gram_keys))
+            for shard, has_words, own in parted(word_keys, gram_keys):
+                data = got.pop(shard)
+                if has_words:
+                    count[own] = counts_back(data, 8)
+                else:
+                    log[own] = np.ascontiguousarray(unpacked(data, np.uint8).reshape(8, -1).T).view("<f8").reshape(-1)
             below = math.log10(total_tokens + vocabulary + 1)
-            base = per_row((np.log10(count + 1) - below)[which], bounds) + (math.log10(ends + 1) - below)
-            known = per_row((count > 0).astype(np.float64)[which], bounds) + (ends > 0)
-            tokens = np.diff(bounds) + 1
-            del hashes, which, keys, count
-            grams, edges = byte_grams(data, at)
-            keys, which = np.unique(grams, return_inverse=True)
-            del grams
-            logs = values_of(GRAM, keys, gram_shard(keys, shards), lambda x: np.ascontiguousarray(unpacked(x, np.uint8).reshape(4, -1).T).view("<f4").reshape(-1))
-            total = per_row(logs[which], edges)
-            size = np.diff(at)
-            bits = -total / math.log10(2) / (size + 1)
-            return pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("held"), pa.array(tokens.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.full(rows, total_tokens, np.int64)), pa.array(base), pa.array(total), pa.array(size.astype(np.int64)), pa.array(bits)],
-                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"],
-            )
-
-        for batch in batches:
-            for row in batch.to_pylist():
-                if held_rows and row["block"] != held_rows[0]["block"]:
-                    yield flush()
-                    held_rows = []
-                    textkit.release()
-                held_rows.append(row)
-        if held_rows:
-            yield flush()
-        textkit.release()
-
-    grams = sharded(GRAM, ["block", "keys", "counts"]).mapInArrow(answer(GRAM), ANSWERS + ", kept long")
-    every = words.unionByName(grams).drop("kept")
-    return every.repartition(shards, "block").sortWithinPartitions("block").mapInArrow(score, RESULT)
+            base_of, known_of = np.log10(count + 1) - below, (count > 0).astype(np.float64)
+            for own in textkit.slices(part, "text", RANGE):
+                data, at = textkit.buffers(own.column("text"))
+                hashes, _, _, bounds = textkit.word_hashes(data, at, lower=True)
+                which = np.searchsorted(word_keys, hashes >> np.uint64(1))
+                base = sums_by_row(base_of[which], bounds) + (math.log10(ends + 1) - below)
+                known = sums_by_row(known_of[which], bounds) + (ends > 0)
+                tokens = np.diff(bounds) + 1
+                del hashes, which
+                full, bounds = ended(data, at)
+                total = np.zeros(own.num_rows)
+                for s, e in ranges(len(full)):
+                    total += sums_by_row(log[np.searchsorted(gram_keys, byte_grams(full, bounds, s, e))], np.clip(bounds, s, e) - s)
+                size = np.diff(at)
+                bits = -total / math.log10(2) / (size + 1)
+                yield pa.RecordBatch.from_arrays(
+                    [own.column("doc_id"), own.column("held"), pa.array(tokens.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.full(own.num_rows, total_tokens, np.int64)), pa.array(base), pa.array(total), pa.array(size.astype(np.int64)), pa.array(bits)],
+                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"],
+                )
+            textkit.release()
+
+        name, got = None, {}
+        for row in rows_of(batches):
+            if name is not None and row["block"] != name:
+                yield from flush(name, got)
+                got = {}
+            name = row["block"]
+            got[row["shard"]] = row["answer"]
+        if name is not None:
+            yield from flush(name, got)
+
+    return answers.repartition(shards, "block").sortWithinPartitions("block").mapInArrow(score, RESULT)
 
 
 def _batches(reader) -> Iterator[pa.RecordBatch]:
