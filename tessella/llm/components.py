@@ -1,8 +1,10 @@
 """Connected components by alternating large and small stars.
 
 Edges stay distributed; each round is two aggregations with map-side combine
-and two joins, whose skewed sides Spark may split.  The number of rounds grows
-with the logarithm of the number of nodes.
+and two joins.  A node with far more edges than a task's mean, the centre of a
+large star, takes no part in the joins: such nodes, a few a task at most, are
+broadcast with their least neighbour.  The number of rounds grows with the
+logarithm of the number of nodes.
 """
 
 from __future__ import annotations
@@ -12,16 +14,28 @@ from pyspark.sql import functions as F
 
 from tessella.llm import common
 
+#: A node is a hub with this many edges and more than a task's mean.
+HUB = 1000
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def _with_least(edges: DataFrame, least: DataFrame, hub: int) -> DataFrame:
+    """``edges(a, b)`` with the ``m`` of ``least(a, m, n)``; those of hubs get it where they are, without a shuffle."""
+    # of E edges at most 2 E / hub nodes have more than ``hub``: about two for each task
+    hubs = F.broadcast(least.where(F.col("n") > hub).select("a", F.col("m").alias("hub_m")))
+    marked = edges.join(hubs, "a", "left")
+    rest = marked.where("hub_m is null").select("a", "b").join(least.where(F.col("n") <= hub).select("a", "m"), "a")
+    return marked.where("hub_m is not null").select("a", "b", F.col("hub_m").alias("m")).union(rest.select("a", "b", "m"))
+
+
+def _large_star(edges: DataFrame, hub: int) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    return _with_least(both, least, hub).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+def _small_star(edges: DataFrame, hub: int) -> DataFrame:
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    moved = _with_least(edges, least, hub).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -36,12 +50,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Nodes may be of any type that can be ordered.  Loops and repeated edges do no harm.
     """
     greatest: Column = F.greatest("a", "b")
+    n = common.shuffle_partitions(edges.sparkSession)
     now = common.materialize(edges.select(greatest.alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
     before = _state(now)
     for _ in range(rounds):
         if not before[0]:
             break
-        last, now = now, common.materialize(_small_star(_large_star(now)), "edges")
+        hub = max(HUB, before[0] // n)
+        last, now = now, common.materialize(_small_star(_large_star(now, hub), hub), "edges")
         after = _state(now)
         common.discard(now.sparkSession, last.scratch_path)
         if after == before:
@@ -49,4 +65,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         before = after
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    found = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    found.scratch_path = now.scratch_path
+    return found

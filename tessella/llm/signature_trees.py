@@ -9,14 +9,20 @@ whole numbers).
    differ in at most H shingles, so of more than H parts of the hash space at
    least one holds the same shingles in both.  Representatives that share a
    part are candidates, and candidates' components are the buckets of the join;
-   parts that very many share count only for sets that have little else.  A
-   large bucket is cut into chunks, and each pair of chunks is a task.
-3. In a bucket the sets stand in the leaves of a signature tree, similar ones
-   together.  Each node holds the OR and the AND of its sets' token bitmaps and
-   its size range.  Two nodes are traversed together only while their greatest
+   parts that very many share count only for sets that have little else.
+3. In a bucket the sets stand in the leaves of signature trees, one tree for
+   each doubling of the size, similar sets together.  Each node holds the OR and
+   the AND of its sets' token bitmaps, as wide as its tree's sets need, and its
+   size range.  Two nodes are traversed together only while their greatest
    possible overlap reaches the least that a link needs, and while they are not
    known to lie in one component.  In leaves the bitmaps are compared set by
    set, and what is left is counted exactly.
+4. A bucket of more than ``CHUNK_SHINGLES`` is worked on twice.  First it is
+   dealt by hash into chunks, each with the bucket's root beside its own sets,
+   and each chunk is joined for itself.  Then its sets are dealt again, those of
+   a component that is already large into chunks of their own, and pairs of
+   chunks meet, but for those that lie in one component already.  So a group of
+   near copies of any size, once it hangs together, costs no pairs of chunks.
 
 A document with fewer words than a shingle has its whole word sequence as its
 only shingle.  Nulls, empties and ties: a null text or one without words has
@@ -34,7 +40,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm import common, textkit
@@ -52,8 +58,10 @@ SETS = "doc_id long, dup int, n_shingles long, set_a long, set_b long"
 BLOBS = "shard int, known boolean, docs binary, dups binary, groups binary, slacks binary, counts binary, keys binary, weights binary"
 SHARED = "key long, doc_id long, dup int, `group` int, slack int, n long"
 BLOB_TYPES = pa.schema([("shard", pa.int32()), ("known", pa.bool_()), *[(c, pa.binary()) for c in ("docs", "dups", "groups", "slacks", "counts", "keys", "weights")]])
-MEMBERS = "bucket long, side int, doc_id long, dup int, shingles binary"
-LINKS = "a struct<doc_id:long,dup:int>, b struct<doc_id:long,dup:int>"
+#: Part keys of a task that go out together, at least and at most.
+LEAST_KEYS, MOST_KEYS = 1 << 18, 1 << 22
+MEMBERS = "bucket long, side int, base long, doc_id long, dup int, shingles binary"
+LINKS = "a_doc long, a_dup int, b_doc long, b_dup int"
 
 
 def shingle_sets(part: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,10 +148,19 @@ class Parts:
                 entries.append((row, g, slack, len(own)))
                 keys.append(own)
         row, self.group, self.slack, count = np.array(entries, np.int64).reshape(-1, 4).T
-        self.doc, self.dup = docs[row], dups[row]
+        self.doc, self.dup = docs[row].astype(np.int64), dups[row].astype(np.int64)
         self.key = (np.concatenate(keys) if keys else np.zeros(0, np.uint64)) >> np.uint64(64 - 8 * KEY_BYTES)
         self.entry = np.repeat(np.arange(len(row)), count)
 
+    @staticmethod
+    def together(parts: list[Parts]) -> Parts:
+        out = Parts.__new__(Parts)
+        for name in ("group", "slack", "doc", "dup", "key"):
+            setattr(out, name, np.concatenate([getattr(p, name) for p in parts]))
+        before = np.cumsum([0, *(len(p.group) for p in parts)])
+        out.entry = np.concatenate([p.entry + n for p, n in zip(parts, before, strict=False)])
+        return out
+
     def blobs(self, shards: int) -> Iterator[dict]:
         """Rows by shard.
 
@@ -217,7 +234,7 @@ def candidate_edges(shared: DataFrame) -> DataFrame:
     set whose frequent parts are fewer than its slack stays out of these, for
     with each of its partners it agrees in other parts, too.
     """
-    marked = shared.withColumn("rep", F.struct("doc_id", "dup")).withColumn("f", F.count_if(F.col("n") > FREQUENT).over(Window.partitionBy("doc_id", "dup", "group")))
+    marked = shared.withColumn("f", F.count_if(F.col("n") > FREQUENT).over(Window.partitionBy("rep", "group")))
 
     members = marked.where(F.col("n") <= FREQUENT).groupBy("group", "key").agg(F.sort_array(F.collect_list(F.struct("rep", "slack", "f"))).alias("m"))
     need = lambda x, y: F.greatest(F.lit(1), F.greatest(x["slack"], y["slack"]) - F.least(x["f"], y["f"]))
@@ -248,23 +265,36 @@ class Node:
         self.least, self.most, self.any, self.all, self.kids, self.items, self.one = least, most, any_, all_, kids, items, False
 
 
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """A bitmap at a smaller width: a bit stands where any of those that fall on it stands."""
+    return bits if len(bits) == words else np.bitwise_or.reduce(bits.reshape(-1, words))
+
+
 class Join:
-    """Signature trees over the sets of one bucket, and the links found among them."""
+    """Signature trees over the sets of one bucket, and the links found among them.
 
-    def __init__(self, sets: list[np.ndarray], threshold: Fraction):
+    ``base`` numbers the components that the sets are known to lie in.
+    """
+
+    def __init__(self, sets: list[np.ndarray], threshold: Fraction, base: list[int] | None = None):
         self.sets, self.t = sets, threshold
         self.size = np.array([len(s) for s in sets])
         self.root = list(range(len(sets)))
+        if base is not None:
+            first: dict[int, int] = {}
+            self.root = [first.setdefault(b, i) for i, b in enumerate(base)]
         self.links: list[tuple[int, int]] = []
-        bits = 1 << max(9, int(2 * int(self.size.max()) - 1).bit_length())
-        self.bits = min(bits, 1 << 15)
-        words = self.bits // 64
-        self.maps = np.zeros((len(sets), words), np.uint64)
-        for i, s in enumerate(sets):
-            at = (s & np.uint64(self.bits - 1)).astype(np.int64)
-            row = np.zeros(self.bits, np.uint8)
-            row[at] = 1
-            self.maps[i] = np.packbits(row).view(np.uint64)
+        # bitmaps as wide as the sets of their doubling of the size need
+        self.group = np.frexp(self.size)[1]
+        self.maps: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(sets)
+        for g in np.unique(self.group).tolist():
+            own = np.flatnonzero(self.group == g)
+            bits = min(max(64, 1 << (int(2 * self.size[own].max()) - 1).bit_length()), 1 << 15)
+            at = np.concatenate([sets[i] for i in own]) & np.uint64(bits - 1)
+            maps = np.zeros((len(own), bits // 64), np.uint64)
+            np.bitwise_or.at(maps, (np.repeat(np.arange(len(own)), self.size[own]), (at >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (at & np.uint64(63)))
+            for row, i in enumerate(own.tolist()):
+                self.maps[i] = maps[row]
 
     def find(self, i: int) -> int:
         root = self.root
@@ -284,7 +314,7 @@ class Join:
         level = []
         for k in range(0, len(items), LEAF):
             own = np.array(items[k : k + LEAF])
-            maps = self.maps[own]
+            maps = np.stack([self.maps[i] for i in own.tolist()])
             level.append(Node(int(self.size[own].min()), int(self.size[own].max()), np.bitwise_or.reduce(maps), np.bitwise_and.reduce(maps), None, own))
         while len(level) > 1:
             up = []
@@ -298,7 +328,9 @@ class Join:
         """No set of a can link with one of b."""
         if a.most * self.t.denominator < b.least * self.t.numerator or b.most * self.t.denominator < a.least * self.t.numerator:
             return True
-        overlap = min(a.most - int(np.bitwise_count(a.all & ~b.any).sum()), b.most - int(np.bitwise_count(b.all & ~a.any).sum()))
+        w = min(len(a.any), len(b.any))
+        a_any, a_all, b_any, b_all = (folded(x, w) for x in (a.any, a.all, b.any, b.all))
+        overlap = min(a.most - int(np.bitwise_count(a_all & ~b_any).sum()), b.most - int(np.bitwise_count(b_all & ~a_any).sum()))
         return overlap < self.need(a.least + b.least)
 
     def joined(self, a: Node, b: Node) -> bool:
@@ -333,12 +365,15 @@ class Join:
 
     def compare(self, a: Node, b: Node) -> None:
         """Two leaves, set by set."""
+        w = min(len(a.any), len(b.any))
+        left = [folded(self.maps[i], w) for i in a.items.tolist()]
+        right = np.stack([folded(self.maps[i], w) for i in b.items.tolist()])
         for row, i in enumerate(a.items.tolist()):
-            others = b.items[row + 1 :] if a is b else b.items
+            others, maps = (b.items[row + 1 :], right[row + 1 :]) if a is b else (b.items, right)
             if not len(others):
                 continue
             n, size = len(self.sets[i]), self.size[others]
-            most = np.minimum(n - np.bitwise_count(self.maps[i] & ~self.maps[others]).sum(axis=1, dtype=np.int64), size - np.bitwise_count(self.maps[others] & ~self.maps[i]).sum(axis=1, dtype=np.int64))
+            most = np.minimum(n - np.bitwise_count(left[row] & ~maps).sum(axis=1, dtype=np.int64), size - np.bitwise_count(maps & ~left[row]).sum(axis=1, dtype=np.int64))
             for j in others[most >= self.need(n + size)].tolist():
                 x, y = self.find(i), self.find(j)
                 if x != y and self.shared(i, j) >= self.need(n + len(self.sets[j])):
@@ -351,14 +386,15 @@ class Join:
         return int((both[1:] == both[:-1]).sum())
 
 
-def join_bucket(sides: list[int], sets: list[np.ndarray], threshold: Fraction) -> list[tuple[int, int]]:
-    """Links that span the components of a bucket: of its sets, or of two chunks (sides 0 and 1) of a large bucket."""
-    join = Join(sets, threshold)
-    trees = [join.tree([i for i, s in enumerate(sides) if s == side]) for side in sorted(set(sides))]
-    for t in trees:
-        join.traverse(t, t)
-    if len(trees) == 2:
-        join.traverse(*trees)
+def join_bucket(sides: list[int], sets: list[np.ndarray], threshold: Fraction, base: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links that span the components of a bucket's sets; where there are two sides, of the sets of one with those of the other."""
+    join = Join(sets, threshold, base)
+    kinds = sorted(set(zip(sides, join.group.tolist(), strict=True)))
+    trees = [(side, join.tree([i for i in range(len(sets)) if sides[i] == side and join.group[i] == g])) for side, g in kinds]
+    for k, (side, a) in enumerate(trees):
+        for other, b in trees[k:]:
+            if len(set(sides)) == 1 or side != other:
+                join.traverse(a, b)
     return join.links
 
 
@@ -385,10 +421,30 @@ def similarity_classes(docs: DataFrame, words: int = WORDS, threshold: Fraction
     chosen = common.materialize(full.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "dup")).alias("rep"), F.first("n_shingles").alias("n")), "representatives")
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[Parts] = []
+        size = 0
+        # a block that is large against the number of shards: its rows stay worth their overhead
+        enough = min(MOST_KEYS, max(LEAST_KEYS, 512 * n_parts))
         for part in textkit.regrouped(batches, "text", 4 << 20, 4 << 20):
             shingles, bounds = shingle_sets(part, words)
             docs, dups = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "dup"))
-            yield pa.RecordBatch.from_pylist(list(Parts(docs, dups, shingles, bounds, sizes).blobs(n_parts)), schema=BLOB_TYPES)
+            held.append(Parts(docs, dups, shingles, bounds, sizes))
+            size += len(held[-1].key)
+            if size >= enough:
+                yield from as_batches(Parts.together(held).blobs(n_parts))
+                held, size = [], 0
+        if held:
+            yield from as_batches(Parts.together(held).blobs(n_parts))
+
+    def as_batches(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+        some: list[dict] = []
+        for row in rows:
+            some.append(row)
+            if len(some) == 256:
+                yield pa.RecordBatch.from_pylist(some, schema=BLOB_TYPES)
+                some = []
+        if some:
+            yield pa.RecordBatch.from_pylist(some, schema=BLOB_TYPES)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One shard after the other; a partition's rows come sorted by shard."""
@@ -403,49 +459,59 @@ def similarity_classes(docs: DataFrame, words: int = WORDS, threshold: Fraction
             yield shared_parts(held)
         textkit.release()
 
-    one = chosen.select("rep.doc_id", "rep.dup").hint("shuffle_hash")
-    blobs = rows.join(one, ["doc_id", "dup"], "left_semi").mapInArrow(parts, BLOBS)
+    blobs = rows.join(chosen.select("rep.doc_id", "rep.dup"), ["doc_id", "dup"], "left_semi").mapInArrow(parts, BLOBS)
     shared = common.materialize(blobs.repartition(n_parts, "shard").sortWithinPartitions("shard").mapInArrow(count, SHARED), "shared-parts")
-    buckets = components(candidate_edges(shared))
+    # where no identifier comes twice, it alone is the node of the graph: a number, not a pair
+    alone = not every.where("dup != 0").limit(1).count()
+
+    def node(doc: str, dup: str) -> Column:
+        return F.col(doc) if alone else F.struct(F.col(doc).alias("doc_id"), F.col(dup).alias("dup"))
 
-    # members of a bucket, cut into chunks by the running number of shingles
+    def parts_of(column: str) -> tuple[Column, Column]:
+        return (F.col(column), F.lit(0)) if alone else (F.col(f"{column}.doc_id"), F.col(f"{column}.dup"))
+
+    buckets = components(candidate_edges(shared.withColumn("rep", node("doc_id", "dup"))))
+    common.discard(spark, shared.scratch_path)
+    nodes = chosen.select(node("rep.doc_id", "rep.dup").alias("node"), "n")
     whole = buckets.select("node", "root").union(buckets.select(F.col("root").alias("node"), "root").distinct())
-    sized = whole.join(chosen.select(F.col("rep").alias("node"), "n"), "node")
-    before = F.sum("n").over(Window.partitionBy("root").orderBy("node").rowsBetween(Window.unboundedPreceding, 0))
-    cut = sized.withColumn("chunk", F.floor(before / CHUNK_SHINGLES).cast("int"))
-    cut = cut.withColumn("chunks", F.max("chunk").over(Window.partitionBy("root")) + 1)
-    chunk, other = F.col("chunk"), F.col("other")
-    tasks = cut.withColumn("other", F.explode(F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1)))).where((F.col("chunks") == 1) | (chunk != other))
-    tasks = tasks.select(
-        F.col("node.doc_id").alias("doc_id"),
-        F.col("node.dup").alias("dup"),
-        F.struct(F.xxhash64("root", F.least(chunk, other), F.greatest(chunk, other)).alias("bucket"), (chunk > other).cast("int").alias("side")).alias("task"),
-    )
-    asked = tasks.groupBy("doc_id", "dup").agg(F.collect_list("task").alias("tasks"))
+    sized = common.materialize(whole.join(nodes, "node"), "bucket-members")
+    common.discard(spark, buckets.scratch_path)
+    totals = sized.groupBy("root").agg(F.sum("n").alias("total")).select("root", F.ceil(F.col("total") / CHUNK_SHINGLES).cast("int").alias("chunks"))
+
+    def join_members(asked: DataFrame) -> DataFrame:
+        """(a, b) of the links found in the tasks that ``asked(node, bucket, side, base)`` lists."""
+        doc, dup = parts_of("node")
+        listed = asked.select(doc.alias("doc_id"), dup.alias("dup"), F.struct("bucket", "side", "base").alias("task")).groupBy("doc_id", "dup").agg(F.collect_list("task").alias("tasks"))
+        found = rows.join(listed, ["doc_id", "dup"]).select("doc_id", "dup", "text", "tasks").mapInArrow(members, MEMBERS).repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(join, LINKS)
+        return found.select(node("a_doc", "a_dup").alias("a"), node("b_doc", "b_dup").alias("b"))
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in textkit.regrouped(batches, "text", 4 << 20, 4 << 20):
             shingles, bounds = shingle_sets(part, words)
             lists = part.column("tasks")
             row = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
-            bucket, side = (lists.flatten().field(k) for k in range(2))
+            tasks = [lists.flatten().field(k) for k in range(3)]
             raw = shingles.tobytes()
-            for k in range(0, len(row), 2000):
-                own = row[k : k + 2000]
+            k = 0
+            while k < len(row):  # 16 MB at a time
+                size = np.cumsum(bounds[row[k : k + 2000] + 1] - bounds[row[k : k + 2000]])
+                end = k + max(1, int(np.searchsorted(size, 2 << 20)))
+                own = row[k:end]
                 payload = [raw[8 * s : 8 * e] for s, e in zip(bounds[own].tolist(), bounds[own + 1].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([bucket[k : k + 2000], side[k : k + 2000], part.column("doc_id").take(pa.array(own)), part.column("dup").take(pa.array(own)), pa.array(payload, pa.binary())], ["bucket", "side", "doc_id", "dup", "shingles"])
+                yield pa.RecordBatch.from_arrays([*(t.slice(k, len(own)) for t in tasks), part.column("doc_id").take(pa.array(own)), part.column("dup").take(pa.array(own)), pa.array(payload, pa.binary())], ["bucket", "side", "base", "doc_id", "dup", "shingles"])
+                k = end
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Buckets one after the other; a partition's rows come sorted by bucket."""
         held: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            held.sort(key=lambda x: x[1:4])
-            found = join_bucket([x[1] for x in held], [np.frombuffer(x[4], np.uint64) for x in held], threshold)
-            a = [{"doc_id": held[i][2], "dup": held[i][3]} for i, _ in found]
-            b = [{"doc_id": held[j][2], "dup": held[j][3]} for _, j in found]
-            kind = pa.struct([("doc_id", pa.int64()), ("dup", pa.int32())])
-            return pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], ["a", "b"])
+            held.sort(key=lambda x: (x[1], x[3], x[4]))
+            base = None if held[0][2] is None else [x[2] for x in held]
+            found = join_bucket([x[1] for x in held], [np.frombuffer(x[5], np.uint64) for x in held], threshold, base)
+            a, b = ([held[pair[k]] for pair in found] for k in range(2))
+            columns = [pa.array([x[3] for x in a], pa.int64()), pa.array([x[4] for x in a], pa.int32()), pa.array([x[3] for x in b], pa.int64()), pa.array([x[4] for x in b], pa.int32())]
+            return pa.RecordBatch.from_arrays(columns, ["a_doc", "a_dup", "b_doc", "b_dup"])
 
         for batch in batches:
             for item in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -456,13 +522,46 @@ def similarity_classes(docs: DataFrame, words: int = WORDS, threshold: Fraction
         if held:
             yield flush()
 
-    links = rows.join(asked.hint("shuffle_hash"), ["doc_id", "dup"]).select("doc_id", "dup", "text", "tasks").mapInArrow(members, MEMBERS).repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(join, LINKS)
+    # first every chunk for itself; the root stands in all chunks of its bucket
+    dealt = sized.join(totals, "root")
+    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    everywhere = F.when(F.col("node") == F.col("root"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(chunk))
+    first = dealt.select("node", "root", F.explode(everywhere).alias("chunk"))
+    first = first.select("node", F.xxhash64("root", "chunk").alias("bucket"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("base"))
+    links = common.materialize(join_members(first), "links")
+    if totals.where("chunks > 1").limit(1).count():
+        second = common.materialize(join_members(chunk_pairs(dealt.where("chunks > 1"), components(links))), "more-links")
+        links = links.union(second)
     roots = components(links)
-    named = chosen.select("set_a", "set_b", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("root", "rep").alias("root"))
+    named = chosen.select("set_a", "set_b", node("rep.doc_id", "rep.dup").alias("node")).join(roots, "node", "left").select("set_a", "set_b", F.coalesce("root", "node").alias("root"))
     linked = full.join(named, ["set_a", "set_b"])
-    alone = every.where("n_shingles = 0").withColumn("root", F.struct("doc_id", "dup"))
-    columns = ["doc_id", "dup", "n_shingles", F.col("root.doc_id").alias("component_id"), (F.struct("doc_id", "dup") == F.col("root")).alias("first")]
-    return linked.select(*columns).unionByName(alone.select(*columns))
+    single = every.where("n_shingles = 0").withColumn("root", node("doc_id", "dup"))
+    columns = ["doc_id", "dup", "n_shingles", parts_of("root")[0].alias("component_id"), (node("doc_id", "dup") == F.col("root")).alias("first")]
+    return linked.select(*columns).unionByName(single.select(*columns))
+
+
+def chunk_pairs(members: DataFrame, joined: DataFrame) -> DataFrame:
+    """(node, bucket, side, base): the pairs of chunks that ``members(node, root, n, chunks)`` of large buckets have still to meet in.
+
+    ``joined(node, root)`` are the components so far.  A component with more
+    than half a chunk of shingles has chunks of its own; the others of a bucket
+    are mixed.  A bucket that is one component has no pairs.
+    """
+    own = members.join(joined.withColumnRenamed("root", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
+    parts = own.groupBy("root", "part").agg(F.sum("n").alias("total"))
+    parts = parts.withColumn("large", 2 * F.col("total") > CHUNK_SHINGLES)
+    buckets = parts.groupBy("root").agg(F.count("*").alias("parts"), F.sum(F.when(F.col("large"), 0).otherwise(F.col("total"))).alias("small")).where("parts > 1")
+    parts = parts.join(buckets, "root").withColumn("chunks", F.ceil(F.when(F.col("large"), F.col("total")).otherwise(F.col("small")) / CHUNK_SHINGLES).cast("int"))
+    placed = own.select("node", "root", "part").join(parts.select("root", "part", "large", "chunks"), ["root", "part"])
+    number = F.pmod(F.xxhash64(F.when(F.col("large"), F.col("node")).otherwise(F.col("part"))), F.col("chunks"))
+    placed = common.materialize(placed.select("node", "root", F.xxhash64("part").alias("base"), F.when(F.col("large"), F.xxhash64("part")).alias("pure"), F.xxhash64(F.when(F.col("large"), F.xxhash64("part")), number).alias("chunk")), "chunked")
+    chunks = placed.groupBy("root", "chunk").agg(F.first("pure").alias("pure"))  # few rows a bucket
+    other = chunks.select("root", F.col("chunk").alias("other"), F.col("pure").alias("other_pure"))
+    meet = chunks.join(other, "root").where("chunk <= other and not coalesce(pure = other_pure, false)")
+    bucket = F.xxhash64("root", "chunk", "other")
+    left = meet.select("root", "chunk", bucket.alias("bucket"), F.lit(0).alias("side"))
+    right = meet.where("chunk < other").select("root", F.col("other").alias("chunk"), bucket.alias("bucket"), F.lit(1).alias("side"))
+    return placed.join(left.union(right), ["root", "chunk"]).select("node", "bucket", "side", "base")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
