@@ -8,7 +8,10 @@
 
 The tree is evaluated in rounds: a group of 1,024 neighbouring states is a
 whole aligned subtree, so its ten levels are computed inside one row, and a
-round shrinks the table by that factor.  Three rounds reach 10**12 positions.
+round shrinks the table by that factor.  There are as many rounds as the
+greatest position needs, so one state is left whatever the positions are.  They
+need not be dense: a leaf or subtree without positions is left out, and its
+neighbours move together inside their group of 1,024.
 """
 
 from __future__ import annotations
@@ -22,8 +25,6 @@ from pyspark.sql import functions as F
 
 from tessella.operators.sequence import LEAF, leaf_of
 
-ROUNDS = 3
-
 #: Identifiers of the evaluation plans.
 PAIRWISE_PLAN = "canonical-pairwise-v1-leaf1024"
 COMPENSATED_PLAN = "canonical-neumaier-v1-leaf1024"
@@ -145,15 +146,24 @@ def _pairs(states: Column, fold: Fold) -> Column:
     return level.cast(f"array<{fold.kind}>")
 
 
-def tree(df: DataFrame, fold: Fold, by: Sequence[str] = (), rounds: int = ROUNDS) -> DataFrame:
-    """(by..., state) from (by..., node, state) with nodes from 0."""
+def rounds_for(greatest: int) -> int:
+    """Rounds of ``tree`` that bring nodes 0..greatest down to one, one round at least."""
+    rounds = 1
+    while greatest >= LEAF**rounds:
+        rounds += 1
+    return rounds
+
+
+def tree(df: DataFrame, fold: Fold, by: Sequence[str] = (), rounds: int = 1) -> DataFrame:
+    """(by..., state) from (by..., node, state) with nodes from 0 to ``LEAF ** rounds - 1``; a node beyond is an error."""
     now = df
     for _ in range(rounds):
         grouped = now.groupBy(*by, leaf_of(F.col("node")).alias("node")).agg(F.sort_array(F.collect_list(F.struct("node", "state"))).alias("own"))
         states = F.transform("own", lambda x: x["state"]).cast(f"array<{fold.kind}>")
         top = F.aggregate(F.sequence(F.lit(1), F.lit(10)), states, lambda acc, _: _pairs(acc, fold))
         now = grouped.select(*by, "node", F.get(top, 0).alias("state"))
-    return now.drop("node")
+    one = F.assert_true(F.col("node") == 0, F.lit("a reduction has more than one state left"))
+    return now.where(one.isNull()).drop("node")
 
 
 def leaf_states(df: DataFrame, value: Column, fold: Fold, by: Sequence[str] = ()) -> DataFrame:
@@ -167,7 +177,10 @@ def leaf_states(df: DataFrame, value: Column, fold: Fold, by: Sequence[str] = ()
 
 def canonical(df: DataFrame, value: Column, fold: Fold, by: Sequence[str] = ()) -> DataFrame:
     """(by..., state); without ``by`` one row, whose state is null for an empty sequence."""
-    found = tree(leaf_states(df, value, fold, by), fold, by)
+    least, greatest = df.agg(F.min("idx"), F.max("idx")).first()
+    if least is not None and least < 0:
+        raise ValueError("positions start at 0")
+    found = tree(leaf_states(df, value, fold, by), fold, by, rounds_for((greatest or 0) // LEAF))
     return found if by else found.agg(F.first("state").alias("state"))
 
 

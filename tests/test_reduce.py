@@ -37,6 +37,20 @@ def test_reproducible_equals_its_definition(spark, n):
     assert total(sequence(spark, values), Policy.REPRODUCIBLE, 0.25) == canonical(values, 0.25)
 
 
+def test_positions_far_apart_lose_nothing(spark):
+    """Beyond 1,024 ** 4 positions, and by group."""
+    rows = [(0, 1.0, "a"), (2**41, 2.0, "a"), (3 * 2**41, 4.0, "b"), (2**62, 8.0, "b"), (5, 16.0, None)]
+    df = spark.createDataFrame(rows, "idx long, v double, g string")
+    for policy in Policy:
+        assert total(df, policy) == 31.0
+        found = red.reduce_sum(df, F.col("v"), policy, by=["g"]).collect()
+        assert {r["g"]: r["total"] for r in found} == {"a": 3.0, "b": 12.0, None: 16.0} and len(found) == 3
+    assert red.norm(df, F.col("v"), Policy.ACCURATE).first()["norm"] == pytest.approx(341**0.5)
+    assert [red.rounds_for(n) for n in (0, 1023, 1024, 2**20 - 1, 2**20, 2**53)] == [1, 1, 2, 2, 3, 6]
+    with pytest.raises(ValueError, match="start at 0"):
+        total(df.withColumn("idx", F.col("idx") - 1), Policy.REPRODUCIBLE)
+
+
 def test_reproducible_under_any_partitioning(spark):
     values = [random.Random(i).uniform(-1e9, 1e9) for i in range(4000)]
     random.Random(1).shuffle(values)
