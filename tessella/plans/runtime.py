@@ -42,20 +42,25 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return profiles.approve(operation_profiles(spark, d)).select(F.col("workload.fingerprint").alias("fingerprint"), "status")
 
 
-@query("compat_issues", f"""SELECT sha256(user_id || chr(31) || event_type) AS fingerprint, list_filter([CASE WHEN event_type <> 'click' THEN 'OperationMismatch' END, CASE WHEN user_id % 2 = 1 THEN 'NumericalPolicyMismatch' END, CASE WHEN 1 + user_id % 8 > 4 THEN 'WorkerBudgetMismatch' END, 'ProfileNotApproved'], lambda x: x IS NOT NULL) AS issues FROM ({_GROUPED})""")
+#: The number of each issue decides in which rows of the query it occurs.
+_EVERY = {name: 5 + k for k, name in enumerate(profiles.ISSUES)}
+
+
+@query("compat_issues", "SELECT sha256(user_id || chr(31) || event_type) AS fingerprint, list_filter([" + ", ".join(f"CASE WHEN (user_id * 7 + n) % {m} = 0 THEN '{name}' END" for name, m in _EVERY.items()) + f"], lambda x: x IS NOT NULL) AS issues FROM ({_GROUPED})")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    p = operation_profiles(spark, d)
-    asked = p.select(
-        F.col("workload.fingerprint").alias("fingerprint"),
-        F.col("operation").alias("p_operation"),
-        F.lit("sum.click").alias("r_operation"),
-        F.col("numerical_policy").alias("p_numerical_policy"),
-        F.when(F.get("workload.extents", 0) % 2 == 1, "Fast").otherwise("Reproducible").alias("r_numerical_policy"),
-        F.col("plan.workers").alias("p_workers"),
-        F.lit(4).alias("r_budget"),
-        F.col("status").alias("p_status"),
-    )
-    return asked.select("fingerprint", profiles.issues(asked.columns, deterministic=True).alias("issues"))
+    """Profiles that differ from the request in one or more of all 26 ways."""
+    p = operation_profiles(spark, d).withColumn("at", F.get("workload.extents", 0) * 7 + F.col("evidence.samples"))
+    off = lambda name: F.col("at") % _EVERY[name] == 0
+    pair = lambda c, bad: [F.when(bad, "another").otherwise("same").alias(f"p_{c}"), F.lit("same").alias(f"r_{c}")]
+    columns = [x for name, fields in profiles.CHECKS.items() for k, c in enumerate(fields) for x in pair(c, off(name) if k == len(fields) - 1 else F.lit(False))]
+    columns += [x for name, c in profiles.EXPECTED.items() for x in pair(c, off(name))]
+    for name, (need, there) in profiles.AVAILABLE.items():
+        columns += [F.lit("needed").alias(f"p_{need}"), F.when(off(name), F.array(F.lit("other"))).otherwise(F.array(F.lit("other"), F.lit("needed"))).alias(f"r_{there}")]
+    columns += [F.when(off("WorkerBudgetMismatch"), 9).otherwise(3).alias("p_workers"), F.lit(4).alias("r_budget"), F.when(off("ProfileExpired"), "2001-01-01").otherwise("2099-01-01").alias("p_expires"), F.lit("2024-01-01").alias("r_now")]
+    stored = F.struct(*[F.col(f.name) for f in spark.createDataFrame([], profiles.PROFILE).schema.fields])
+    columns += [profiles.identity(stored).alias("p_identity"), F.when(off("IntegrityFailure"), "ab").otherwise(profiles.identity(stored)).alias("p_sha256"), F.when(off("ProfileNotApproved"), "Candidate").otherwise("Approved").alias("p_status")]
+    asked = p.select(F.col("workload.fingerprint").alias("own"), *columns)
+    return asked.select(F.col("own").alias("fingerprint"), profiles.issues(asked.columns, deterministic=True).alias("issues"))
 
 
 @query("replay_digest", "SELECT true AS same, 64::INT AS length")
@@ -66,6 +71,16 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return runs[0].join(runs[1].withColumnRenamed("digest", "other")).select((F.col("digest") == F.col("other")).alias("same"), F.length("digest").alias("length"))
 
 
+@query("replay_manifests", "SELECT true AS equal, true AS known UNION ALL SELECT false, false")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Manifests of two runs that should agree, and of two whose operations differ."""
+    rows = events(spark, d)
+    digests = [profiles.replay_digest(x.groupBy("user_id").agg(F.count("*").alias("n"), F.min("idx").alias("first")), "user_id", "n", "first") for x in (rows, rows.repartition(5, "event_type"))]
+    made = [profiles.replay_manifest(x, ops, policy="Reproducible", seed=20260714) for x, ops in ((digests[0], ["sum"]), (digests[1], ["sum"]), (digests[1], ["sum", "norm"]))]
+    pairs = [profiles.compare_manifests(made[0], other) for other in made[1:]]
+    return pairs[0].union(pairs[1]).select("equal", (F.col("left_sha256") == F.col("right_sha256")).alias("known"))
+
+
 @query("evidence_csv", f"SELECT event_type, count(*) AS n, {micro_sql('max(value)', 'most')} FROM events GROUP BY event_type")
 def _(spark: SparkSession, d: str) -> DataFrame:
     path = scratch(spark, "evidence")

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +19,9 @@ PROFILE = "element_type string, evidence struct<confidence:double,correct:boolea
 MOST_BYTES = 1 << 20
 #: What evidence a profile needs to be approved.
 MIN_SAMPLES, MIN_CONFIDENCE = 2, 0.60
+STATUSES = ("Candidate", "Approved")
+#: Fixed value: how deep JSON may be nested.
+MOST_DEPTH = 64
 
 
 def canonical_json(profile: Column) -> Column:
@@ -31,40 +37,78 @@ def workload_fingerprint(*parts: str) -> Column:
     return F.sha2(F.concat_ws("\u001f", *[F.coalesce(F.col(p).cast("string"), F.lit("\u0000")) for p in parts]), 256)
 
 
+POINTER = "CURRENT"
+
+
 def write_profiles(df: DataFrame, path: str) -> None:
-    """One JSON line a profile with its hash.
+    """One JSON line a profile with its hash, in place of what ``path`` held.
 
-    The lines are written to a folder beside the target, read again strictly,
-    and only then moved to their place; a reader sees the old file or the new.
+    The lines are written to a version beside the old one and read again
+    strictly.  Then a small file that names the current version is replaced by
+    one rename, which file systems do at once, so a reader sees the old profiles
+    or the new.  The version before stays for those who still read it.
     """
     spark = df.sparkSession
-    temporary = f"{path}.{uuid.uuid4().hex}.tmp"
+    version = f"version-{uuid.uuid4().hex}"
     rows = df.select(F.struct(*sorted(df.columns)).alias("profile"))
     lines = rows.select(F.to_json(F.struct("profile", identity(F.col("profile")).alias("sha256"))).alias("value"))
-    lines.write.text(temporary)
-    read_profiles(spark, temporary).foreach(lambda row: None)
-    jvm = spark.sparkContext._jvm
-    target, source = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(temporary)
-    files = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if files.exists(target):
-        aside = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.old")
-        files.rename(target, aside)
-        files.rename(source, target)
-        files.delete(aside, True)
-    else:
-        files.rename(source, target)
+    lines.write.text(f"{path}/{version}")
+    _checked(spark, f"{path}/{version}").foreach(lambda row: None)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop = jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(path)
+    files = folder.getFileSystem(conf)
+    before = _current(spark, path)
+    fresh = hadoop.Path(f"{path}/.{version}")
+    sink = files.create(fresh)
+    sink.write(bytearray(version.encode()))
+    sink.close()
+    rename = getattr(hadoop, "Options$Rename")
+    over = spark.sparkContext._gateway.new_array(rename, 1)
+    over[0] = rename.OVERWRITE
+    hadoop.FileContext.getFileContext(files.getUri(), conf).rename(fresh, hadoop.Path(f"{path}/{POINTER}"), over)
+    for found in files.listStatus(folder):
+        name = found.getPath().getName()
+        if name.startswith("version-") and name not in (version, before):
+            files.delete(found.getPath(), True)
+
+
+def _current(spark: SparkSession, path: str) -> str | None:
+    """The name of the current version; None where there is none."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    pointer = jvm.org.apache.hadoop.fs.Path(f"{path}/{POINTER}")
+    files = pointer.getFileSystem(conf)
+    if not files.exists(pointer):
+        return None
+    source = files.open(pointer)
+    name = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(source)).decode()
+    source.close()
+    return name
 
 
 def read_profiles(spark: SparkSession, path: str) -> DataFrame:
-    """Profiles of a written file; a malformed line, an over-long one, a wrong version or a hash that does not fit is an error."""
+    """Profiles of a written folder, or of a folder of such lines.
+
+    A line must be the canonical JSON of what it says: keys that stand twice,
+    unknown fields, text behind the object, other spellings of numbers and
+    wrong types are errors, as are malformed and over-long lines, an unknown
+    version or status, and a hash that does not fit.
+    """
+    version = _current(spark, path)
+    return _checked(spark, f"{path}/{version}" if version else path)
+
+
+def _checked(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path)
     size = F.assert_true(F.length("value") <= MOST_BYTES, F.lit("a profile is too long"))
     parsed = F.from_json("value", f"profile struct<{_struct(PROFILE)}>, sha256 string", {"mode": "FAILFAST"})
-    rows = lines.select(size.alias("_size"), parsed.alias("p")).where("_size is null")
+    rows = lines.select("value", size.alias("_size"), parsed.alias("p")).where("_size is null")
+    exact = F.assert_true(F.to_json("p").eqNullSafe(F.col("value")), F.lit("a line is not the canonical JSON of a profile"))
     version = F.assert_true(F.coalesce(F.col("p.profile.schema_version") == SCHEMA_VERSION, F.lit(False)), F.lit("unknown profile version"))
+    status = F.assert_true(F.coalesce(F.col("p.profile.status").isin(*STATUSES), F.lit(False)), F.lit("unknown profile status"))
     fits = F.assert_true(F.coalesce(identity(F.col("p.profile")) == F.col("p.sha256"), F.lit(False)), F.lit("a profile's hash does not fit"))
-    checked = rows.select("p.profile.*", "p.sha256", version.alias("_version"), fits.alias("_fits")).where("_version is null and _fits is null")
-    return checked.drop("_version", "_fits")
+    checked = rows.select("p.profile.*", "p.sha256", F.array(exact, version, status, fits).alias("_checks"))
+    return checked.where("forall(_checks, x -> x is null)").drop("_checks")
 
 
 def _struct(ddl: str) -> str:
@@ -77,7 +121,7 @@ def _struct(ddl: str) -> str:
 
 
 def strict_json(text: str) -> dict:
-    """A JSON object without duplicate keys, NaN or infinities, and not nested deeper than 32."""
+    """A JSON object without duplicate keys, NaN, infinities or whole numbers beyond 64 bits, nested ``MOST_DEPTH`` deep at most."""
 
     def no_twice(pairs: list[tuple[str, object]]) -> dict:
         if len({k for k, _ in pairs}) != len(pairs):
@@ -87,14 +131,19 @@ def strict_json(text: str) -> dict:
     def refuse(word: str) -> None:
         raise ValueError(f"{word} is not allowed")
 
+    def whole(digits: str) -> int:
+        if not -(2**63) <= (number := int(digits)) < 2**64:
+            raise ValueError("a number is too large")
+        return number
+
     def depth(x: object) -> int:
         kids = x.values() if isinstance(x, dict) else x if isinstance(x, list) else ()
         return 1 + max((depth(k) for k in kids), default=0)
 
     if len(text) > MOST_BYTES:
         raise ValueError("the text is too long")
-    found = json.loads(text, object_pairs_hook=no_twice, parse_constant=refuse)
-    if not isinstance(found, dict) or depth(found) > 32:
+    found = json.loads(text, object_pairs_hook=no_twice, parse_constant=refuse, parse_int=whole)
+    if not isinstance(found, dict) or depth(found) > MOST_DEPTH:
         raise ValueError("not an object of allowed depth")
     return found
 
@@ -105,41 +154,62 @@ def approve(df: DataFrame) -> DataFrame:
     return df.withColumn("status", F.when((F.col("status") == "Candidate") & enough, "Approved").otherwise(F.col("status")))
 
 
-#: What is compared between a profile (p_) and a request (r_): columns by issue.
+#: The reasons for which a profile does not fit a request.  What is compared between a profile (p_) and
+#: a request (r_): columns that must be equal, by issue.
 CHECKS = {
-    "OperationMismatch": "operation",
-    "DataTypeMismatch": "element_type",
-    "NumericalPolicyMismatch": "numerical_policy",
-    "WorkloadFingerprintMismatch": "fingerprint",
-    "WorkloadExtentMismatch": "extents",
-    "StrideMismatch": "strides",
-    "LayoutMismatch": "layout",
-    "BoundaryModeMismatch": "boundary_mode",
+    "SchemaMismatch": ("schema_version",),
+    "OperationMismatch": ("operation",),
+    "OperationSemanticVersionMismatch": ("operation_version",),
+    "DataTypeMismatch": ("element_type",),
+    "NumericalPolicyMismatch": ("numerical_policy",),
+    "WorkloadFingerprintMismatch": ("fingerprint",),
+    "WorkloadExtentMismatch": ("extents",),
+    "StrideMismatch": ("strides",),
+    "LayoutMismatch": ("layout",),
+    "BoundaryModeMismatch": ("boundary_mode",),
+    "ArchitectureMismatch": ("architecture", "pointer_width", "endianness"),
+    "CompilerBuildMismatch": ("os_family", "compiler", "build"),
+    "FloatingPointEnvironmentMismatch": ("floating_point",),
+    "BuildIdentifierMismatch": ("application_build",),
+    "ProviderVersionMismatch": ("provider_version",),
+    "ProviderSettingMismatch": ("provider_settings",),
+}
+#: Compared only where the request expects something.
+EXPECTED = {
     "EvaluationOrderMismatch": "evaluation_order",
     "AccumulationAlgorithmMismatch": "accumulation",
     "CanonicalPlanMismatch": "canonical_plan",
-    "ArchitectureMismatch": "architecture",
-    "CompilerBuildMismatch": "build",
-    "FloatingPointEnvironmentMismatch": "floating_point",
-    "BuildIdentifierMismatch": "application_build",
-    "ProviderUnavailable": "provider",
-    "ProviderVersionMismatch": "provider_version",
-    "ProviderSettingMismatch": "provider_settings",
 }
+#: What the profile needs, and the request's list of what there is.
+AVAILABLE = {
+    "RequiredIsaUnavailable": ("required_isa", "isas"),
+    "SchedulerUnavailable": ("scheduler", "schedulers"),
+    "ProviderUnavailable": ("provider", "providers"),
+}
+ISSUES = (*CHECKS, *EXPECTED, *AVAILABLE, "WorkerBudgetMismatch", "ProfileExpired", "IntegrityFailure", "ProfileNotApproved")
 
 
-def issues(columns: list[str], deterministic: bool = False) -> Column:
-    """Every reason why a profile does not fit a request; an empty list means that it does.
+def issues(columns: list[str], deterministic: bool = False, checked: Sequence[str] = ISSUES) -> Column:
+    """Every reason among ``checked`` why a profile does not fit a request, in the order of ``ISSUES``; an empty list means that it fits.
 
-    ``columns`` are those of the joined row; what is not there is not compared.
+    ``columns`` are those of the joined row.  A check whose columns are not
+    there cannot be passed: it is an issue.  Whether a profile is approved only
+    matters for ``deterministic`` use.
     """
-    found = [F.when(~F.col(f"p_{c}").eqNullSafe(F.col(f"r_{c}")), F.lit(name)) for name, c in CHECKS.items() if f"p_{c}" in columns and f"r_{c}" in columns]
-    if "p_workers" in columns and "r_budget" in columns:
-        found.append(F.when((F.col("p_workers") < 1) | (F.col("p_workers") > F.col("r_budget")), F.lit("WorkerBudgetMismatch")))
-    if "p_expires" in columns and "r_now" in columns:
-        found.append(F.when(F.coalesce(F.col("p_expires") <= F.col("r_now"), F.lit(False)), F.lit("ProfileExpired")))
-    if deterministic and "p_status" in columns:
-        found.append(F.when(F.col("p_status") != "Approved", F.lit("ProfileNotApproved")))
+    have = set(columns)
+    p, r = (lambda c: F.col(f"p_{c}")), (lambda c: F.col(f"r_{c}"))
+    fails: dict[str, tuple[list[str], Callable[[], Column]]] = {}
+    for name, fields in CHECKS.items():
+        fails[name] = ([f"{side}_{c}" for c in fields for side in "pr"], lambda fields=fields: reduce(or_, (~p(c).eqNullSafe(r(c)) for c in fields)))
+    for name, c in EXPECTED.items():
+        fails[name] = ([f"p_{c}", f"r_{c}"], lambda c=c: (F.coalesce(r(c), F.lit("")) != "") & ~p(c).eqNullSafe(r(c)))
+    for name, (need, there) in AVAILABLE.items():
+        fails[name] = ([f"p_{need}", f"r_{there}"], lambda need=need, there=there: ~F.coalesce(F.array_contains(r(there), p(need)), F.lit(False)))
+    fails["WorkerBudgetMismatch"] = (["p_workers", "r_budget"], lambda: ~F.coalesce(p("workers").between(1, r("budget")), F.lit(False)))
+    fails["ProfileExpired"] = (["p_expires", "r_now"], lambda: F.coalesce(p("expires") <= r("now"), F.lit(False)))
+    fails["IntegrityFailure"] = (["p_sha256", "p_identity"], lambda: ~p("sha256").eqNullSafe(p("identity")))
+    fails["ProfileNotApproved"] = (["p_status"], lambda: ~p("status").eqNullSafe(F.lit("Approved")) if deterministic else F.lit(False))
+    found = [F.when(test() if have.issuperset(needed) else F.lit(True), F.lit(name)) for name in ISSUES if name in checked for needed, test in [fails[name]]]
     return F.array_compact(F.array(*found))
 
 
@@ -150,10 +220,29 @@ def usable(fit: Column, deterministic: bool) -> Column:
 
 
 def replay_digest(df: DataFrame, *columns: str) -> DataFrame:
-    """One SHA-256 of a result, whatever the order of its rows: of the sorted row digests of 4,096 parts."""
+    """One SHA-256 of a result, whatever the order of its rows, over sums of the row digests' eight words and the number of rows.
+
+    The sums are exact and their order does not matter, so a task adds up its
+    own rows and no list is ever gathered.
+    """
     row = F.sha2(F.to_json(F.struct(*columns)), 256)
-    parts = df.select(row.alias("h")).groupBy(F.substring("h", 1, 3).alias("part")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("d"))
-    return parts.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "d"))), lambda x: x["d"]), ""), 256).alias("digest"))
+    words = [F.sum(F.conv(F.substring("h", 1 + 8 * k, 8), 16, 10).cast("decimal(38,0)")) for k in range(8)]
+    sums = df.select(row.alias("h")).agg(F.count("*").alias("n"), *[w.alias(f"w{k}") for k, w in enumerate(words)])
+    return sums.select(F.sha2(F.concat_ws(",", F.col("n").cast("string"), *[F.coalesce(F.col(f"w{k}").cast("string"), F.lit("")) for k in range(8)]), 256).alias("digest"))
+
+
+def replay_manifest(digest: DataFrame, operations: Sequence[str], **stable: str | int) -> DataFrame:
+    """(manifest, sha256): one JSON text of everything that a run must reproduce, its keys in order: digests, operations and settings."""
+    fields = {**stable, "operations": ",".join(operations)}
+    given = [F.lit(v).alias(k) for k, v in fields.items()]
+    columns = sorted([*[(c, F.col(c).alias(c)) for c in digest.columns], *zip(fields, given, strict=True)], key=lambda x: x[0])
+    return digest.select(F.to_json(F.struct(*[c for _, c in columns])).alias("manifest")).withColumn("sha256", F.sha2("manifest", 256))
+
+
+def compare_manifests(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(equal, left_sha256, right_sha256) of two manifests; they are equal as texts or not at all."""
+    pair = left.select(F.col("manifest").alias("a"), F.col("sha256").alias("left_sha256")).join(right.select(F.col("manifest").alias("b"), F.col("sha256").alias("right_sha256")))
+    return pair.select((F.col("a") == F.col("b")).alias("equal"), "left_sha256", "right_sha256")
 
 
 def experience_table(df: DataFrame, path: str | None = None) -> str:
@@ -189,10 +278,13 @@ def save_artifact(spark: SparkSession, means: list[float], scales: list[float],
 
 
 def load_artifact(spark: SparkSession, path: str) -> tuple[list[float], list[float], list[float]]:
-    row = spark.read.schema("schema_version int, means array<double>, scales array<double>, weights array<double>").json(path, mode="FAILFAST").first()
-    if row is None or row["schema_version"] != SCHEMA_VERSION:
+    lines = [r[0] for r in spark.read.text(path).limit(2).collect()]
+    if len(lines) != 1:
+        raise ValueError("not one utility model")
+    row = strict_json(lines[0])
+    if set(row) != {"schema_version", "means", "scales", "weights"} or row["schema_version"] != SCHEMA_VERSION:
         raise ValueError("not a utility model of this version")
-    found = tuple(list(row[k] or []) for k in ("means", "scales", "weights"))
+    found = tuple([float(x) for x in row[k]] for k in ("means", "scales", "weights"))
     check_artifact(*found)
     return found
 
