@@ -62,29 +62,58 @@ def _requests(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("back", F.lag("idx", 2).over(order))
 
 
+def _lease_event(e: dict) -> dict:
+    """Of the tenants one shuts down at its first purchase from 9,000 ms on; the others go on."""
+    ms = e["idx"]
+    if e["tenant"] == 39 and ms >= 9_000 and e["event_type"] == "purchase":
+        return {"op": "shutdown", "id": -1, "ms": ms}
+    if e["event_type"] == "signup" and e["back"] is not None:
+        return {"op": "release", "id": e["back"], "ms": ms}
+    if e["event_type"] == "error" and e["back"] is not None:
+        return {"op": "cancel", "id": e["back"], "ms": ms}
+    n = 1 + int(e["value"]) % 10
+    return {"op": "acquire", "id": ms, "ms": ms, "requested": n, "minimum": n if n % 2 else max(1, n // 2), "exact": n % 2 == 1, "policy": ("wait", "fail", "deadline")[n % 3], "deadline": ms + 400}
+
+
+_COUNTERS = "grants long, releases long, waits long, cancellations long, deadlines long, bypasses long, reservations long"
+
+
 @query("governor_admission")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    def event(e: dict) -> dict:
-        ms = int(e["idx"])
-        if e["event_type"] == "signup" and e["back"] == e["back"]:
-            return {"op": "release", "id": int(e["back"]), "ms": ms}
-        if e["event_type"] == "error" and e["back"] == e["back"]:
-            return {"op": "cancel", "id": int(e["back"]), "ms": ms}
-        n = 1 + int(e["value"]) % 10
-        return {"op": "acquire", "id": ms, "ms": ms, "requested": n, "minimum": n if n % 2 else max(1, n // 2), "exact": n % 2 == 1, "policy": ("wait", "fail", "deadline")[n % 3], "deadline": ms + 400}
+    schema = f"status string, granted long, active long, peak long, queued long, served long, outcomes array<struct<id:bigint,status:string>>, {_COUNTERS}"
+    return runner.fold(_requests(spark, d), "tenant", "idx", lambda: machines.Governor(8), _lease_event, schema)
+
 
-    schema = "status string, granted long, active long, peak long, queued long, served long, grants long, releases long, waits long, cancellations long, deadlines long, bypasses long, reservations long"
-    return runner.fold(_requests(spark, d), "tenant", "idx", lambda: machines.Governor(8), event, schema)
+@query("governor_counters")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The governor's own snapshot after the last event of each tenant."""
+    schema = f"active long, available long, peak long, leases long, queued long, oldest_ms long, shutting_down boolean, {_COUNTERS}"
+    folded = runner.fold(_requests(spark, d), "tenant", "idx", lambda: machines.Governor(8), _lease_event, schema)
+    return folded.groupBy("tenant").agg(F.max(F.struct(*[c for c in folded.columns if c != "tenant"])).alias("last")).select("tenant", "last.*")
 
 
-_LEASE = "SELECT event_id AS idx, 1 + CAST(floor(value) AS BIGINT) % 20 AS requested, CAST(floor(value * 3) AS BIGINT) % 14 AS minimum, event_id % 3 = 0 AS exact FROM events"
+_LEASE = """SELECT event_id AS idx, 1 + CAST(floor(value) AS BIGINT) % 20 AS requested, CAST(floor(value * 3) AS BIGINT) % 14 AS minimum, event_id % 3 = 0 AS exact, event_id % 9 AS free,
+  CASE event_id % 4 WHEN 0 THEN 'fail' WHEN 1 THEN 'deadline' ELSE 'wait' END AS policy, CASE WHEN event_id % 13 = 0 THEN 0 ELSE event_id + event_id % 7 - 3 END AS deadline, user_id % 19 = 0 AS cancelled, user_id % 23 = 0 AS closed FROM events"""
 
 
-@query("lease_outcomes", f"SELECT idx, CASE WHEN minimum < 1 OR requested < minimum OR (exact AND minimum <> requested) THEN 'InvalidRequest' WHEN minimum > 8 THEN 'ImpossibleRequest' ELSE 'Admissible' END AS verdict FROM ({_LEASE})")
+@query("lease_outcomes", f"""SELECT idx, CASE WHEN minimum < 1 OR requested < minimum OR (exact AND minimum <> requested) THEN 'InvalidRequest' WHEN minimum > 8 THEN 'ImpossibleRequest'
+  WHEN policy = 'deadline' AND deadline = 0 THEN 'InvalidRequest' WHEN cancelled THEN 'Cancelled' WHEN closed THEN 'GovernorShuttingDown'
+  WHEN CASE WHEN exact THEN free >= requested ELSE least(requested, free) >= minimum END THEN 'Granted' WHEN policy = 'fail' THEN 'WouldBlock' WHEN policy = 'deadline' AND idx >= deadline THEN 'DeadlineExpired' ELSE 'Waiting' END AS outcome FROM ({_LEASE})""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    rows = events(spark, d).select("idx", (1 + F.floor("value") % 20).alias("requested"), (F.floor(F.col("value") * 3) % 14).alias("minimum"), (F.col("idx") % 3 == 0).alias("exact"))
-    invalid = (F.col("minimum") < 1) | (F.col("requested") < F.col("minimum")) | (F.col("exact") & (F.col("minimum") != F.col("requested")))
-    return rows.select("idx", F.when(invalid, "InvalidRequest").when(F.col("minimum") > 8, "ImpossibleRequest").otherwise("Admissible").alias("verdict"))
+    i = F.col("idx")
+    rows = events(spark, d).select(
+        "idx",
+        i.alias("ms"),
+        (1 + F.floor("value") % 20).alias("requested"),
+        (F.floor(F.col("value") * 3) % 14).alias("minimum"),
+        (i % 3 == 0).alias("exact"),
+        (i % 9).alias("free"),
+        F.when(i % 4 == 0, "fail").when(i % 4 == 1, "deadline").otherwise("wait").alias("policy"),
+        F.when(i % 13 == 0, 0).otherwise(i + i % 7 - 3).alias("deadline"),
+        (F.col("user_id") % 19 == 0).alias("cancelled"),
+        (F.col("user_id") % 23 == 0).alias("closed"),
+    )
+    return rows.select("idx", machines.lease_outcome(8, F.col("free")).alias("outcome"))
 
 
 @query("nested_budgets", "SELECT p AS parent, c AS children, i AS child, (p // c + CASE WHEN i < p % c THEN 1 ELSE 0 END)::BIGINT AS budget FROM range(1, 17) a(p), range(1, 6) b(c), range(0, 5) t(i) WHERE i < c")

@@ -10,6 +10,9 @@ from __future__ import annotations
 from collections import deque
 from statistics import median
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 #: Settings of the machines.
 PROBE_MS, SPEEDUP, BLEND, REPROBE, REPROBE_SEARCH = 5.0, 1.12, 0.25, 64, 32
 AGE_MS, HIGH_OBSERVATIONS, WORTH = 300_000, 3, 1.10
@@ -291,9 +294,12 @@ class RouteSelector:
 class Governor:
     """Leases of a fixed budget: first come first served, with a bounded number of smaller requests let past the first.
 
-    Events in the order of time: ``op`` (acquire, release, cancel), ``ms``,
-    ``id`` and, for acquire, ``requested``, ``minimum``, ``exact``, ``policy``
-    (wait, fail, deadline) and ``deadline``.
+    Events in the order of time: ``op`` (acquire, release, cancel, shutdown),
+    ``ms``, ``id`` and, for acquire, ``requested``, ``minimum``, ``exact``,
+    ``policy`` (wait, fail, deadline) and ``deadline``.  ``status`` answers the
+    event's own request; ``outcomes`` are those of waiting requests that the
+    event, or the time it comes at, brings to an end.  After a shutdown nothing
+    is granted; leases may still be released.
     """
 
     def __init__(self, budget: int):
@@ -301,6 +307,7 @@ class Governor:
         self.active = self.peak = 0
         self.waiting: deque[dict] = deque()
         self.leases: dict[int, int] = {}
+        self.closed = False
         self.counts = dict.fromkeys(("grants", "releases", "waits", "cancellations", "deadlines", "bypasses", "reservations"), 0)
 
     def _fit(self, r: dict) -> int:
@@ -316,17 +323,25 @@ class Governor:
         self.leases[r["id"]] = n
         self.counts["grants"] += 1
 
-    def _serve(self, now: int) -> list[int]:
-        served = []
-        for r in [r for r in self.waiting if r["policy"] == "deadline" and now >= r["deadline"]]:
+    def _drop(self, gone: list[dict], status: str, counter: str | None = None) -> list[dict]:
+        """End waiting requests without a lease."""
+        for r in gone:
             self.waiting.remove(r)
-            self.counts["deadlines"] += 1
-        while self.waiting and self.active < self.budget:
+        if counter:
+            self.counts[counter] += len(gone)
+        return [{"id": r["id"], "status": status} for r in gone]
+
+    def _expired(self, now: int) -> list[dict]:
+        return self._drop([r for r in self.waiting if r["policy"] == "deadline" and now >= r["deadline"]], "DeadlineExpired", "deadlines")
+
+    def _serve(self, now: int) -> list[dict]:
+        served = []
+        while self.waiting and self.active < self.budget and not self.closed:
             head = self.waiting[0]
             if n := self._fit(head):
                 self.waiting.popleft()
                 self._grant(head, n)
-                served.append(head["id"])
+                served.append({"id": head["id"], "status": "Granted"})
                 continue
             if now - head["ms"] >= RESERVE_MS or head["passed"] >= BYPASSES:
                 self.counts["reservations"] += not head["reserved"]
@@ -338,42 +353,88 @@ class Governor:
                 break
             self.waiting.remove(other)
             self._grant(other, self._fit(other))
-            served.append(other["id"])
+            served.append({"id": other["id"], "status": "Granted"})
             head["passed"] += 1
             self.counts["bypasses"] += 1
         return served
 
     def step(self, event: dict) -> dict:
-        status, op = "", event["op"]
+        status, op, now = "", event["op"], event["ms"]
+        outcomes = self._expired(now)
         if op == "release":
             if event["id"] in self.leases:
                 self.active -= self.leases.pop(event["id"])
                 self.counts["releases"] += 1
             status = "Released"
         elif op == "cancel":
-            for r in [r for r in self.waiting if r["id"] == event["id"]]:
-                self.waiting.remove(r)
-                self.counts["cancellations"] += 1
+            outcomes += self._drop([r for r in self.waiting if r["id"] == event["id"]], "Cancelled", "cancellations")
             status = "Cancelled"
+        elif op == "shutdown":
+            self.closed = True
+            outcomes += self._drop(list(self.waiting), "GovernorShuttingDown")
+            status = "GovernorShuttingDown"
         elif (verdict := lease_verdict(event, self.budget)) != "Admissible":
             status = verdict
+        elif self.closed:
+            status = "GovernorShuttingDown"
         else:
             self.waiting.append(event | {"passed": 0, "reserved": False})
-        served = self._serve(event["ms"])
+        served = self._serve(now)
         if op == "acquire" and not status:
-            if event["id"] in served:
+            mine = [r for r in self.waiting if r["id"] == event["id"]]
+            if any(x["id"] == event["id"] for x in served):
                 status = "Granted"
             elif event["policy"] == "fail":
-                self.waiting = deque(r for r in self.waiting if r["id"] != event["id"])
+                self._drop(mine, "WouldBlock")
                 status = "WouldBlock"
             else:
                 self.counts["waits"] += 1
                 status = "Waiting"
-        return {"status": status, "granted": self.leases.get(event["id"], 0) if op == "acquire" else 0, "active": self.active, "peak": self.peak, "queued": len(self.waiting), "served": len(served), **self.counts}
+                if event["policy"] == "deadline" and now >= event["deadline"]:
+                    self._drop(mine, "DeadlineExpired", "deadlines")
+                    status = "DeadlineExpired"
+        outcomes += [x for x in served if x["id"] != event["id"]]
+        return {
+            "status": status,
+            "granted": self.leases.get(event["id"], 0) if op == "acquire" else 0,
+            "active": self.active,
+            "available": self.budget - self.active,
+            "peak": self.peak,
+            "leases": len(self.leases),
+            "queued": len(self.waiting),
+            "served": len(served),
+            "oldest_ms": now - self.waiting[0]["ms"] if self.waiting else 0,
+            "outcomes": outcomes,
+            "shutting_down": self.closed,
+            **self.counts,
+        }
 
 
 def lease_verdict(r: dict, budget: int) -> str:
     """What is wrong with a request whatever the load."""
-    if r["minimum"] < 1 or r["requested"] < r["minimum"] or (r["exact"] and r["minimum"] != r["requested"]) or (r["policy"] == "deadline" and not r["deadline"]):
+    if r["minimum"] < 1 or r["requested"] < r["minimum"] or (r["exact"] and r["minimum"] != r["requested"]):
         return "InvalidRequest"
-    return "ImpossibleRequest" if r["minimum"] > budget else "Admissible"
+    if r["minimum"] > budget:
+        return "ImpossibleRequest"
+    return "InvalidRequest" if r["policy"] == "deadline" and not r["deadline"] else "Admissible"
+
+
+def lease_outcome(budget: int, free: Column) -> Column:
+    """What becomes of a request that meets ``free`` permits and no queue, over columns requested, minimum, exact, policy, deadline, ms, cancelled and closed.
+
+    The checks stand in the order in which a governor makes them.
+    """
+    c = F.col
+    invalid = (c("minimum") < 1) | (c("requested") < c("minimum")) | (c("exact") & (c("minimum") != c("requested")))
+    fits = F.when(c("exact"), free >= c("requested")).otherwise(F.least("requested", free) >= c("minimum"))
+    return (
+        F.when(invalid, "InvalidRequest")
+        .when(c("minimum") > budget, "ImpossibleRequest")
+        .when((c("policy") == "deadline") & (F.coalesce("deadline", F.lit(0)) == 0), "InvalidRequest")
+        .when(c("cancelled"), "Cancelled")
+        .when(c("closed"), "GovernorShuttingDown")
+        .when(fits, "Granted")
+        .when(c("policy") == "fail", "WouldBlock")
+        .when((c("policy") == "deadline") & (c("ms") >= c("deadline")), "DeadlineExpired")
+        .otherwise("Waiting")
+    )

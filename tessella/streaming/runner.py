@@ -6,42 +6,48 @@ import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
-def fold(df: DataFrame, key: str, order: str, machine: Callable[[], object], event: Callable[[dict], dict], schema: str, state: str | None = None) -> DataFrame:
+def fold(df: DataFrame, key: str, order: str, machine: Callable[[], object], event: Callable[[dict], dict], schema: str) -> DataFrame:
     """One output row for each input row: key, order and the machine's answer.
 
     Rows are dealt by key and sorted, then read through in batches, so that a
     key with very many events needs no more memory than its machine's state.
-    ``schema`` names the answer's columns.
+    Events have Python values: whole numbers stay whole and null is ``None``.
+    Rows whose key is null are one key, too.  ``schema`` names the answer's columns.
     """
     rows = df.repartition(key).sortWithinPartitions(key, order)
-    kinds = f"{key} {df.schema[key].dataType.simpleString()}, {order} {df.schema[order].dataType.simpleString()}, {schema}"
-    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = T.StructType([T.StructField(c, df.schema[c].dataType) for c in (key, order)] + list(T.StructType.fromDDL(schema)))
+    arrow, names = to_arrow_schema(kinds), kinds.names[2:]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, own = None, None
         for batch in batches:
             out = []
-            for row in batch.to_dict("records"):
+            for row in batch.to_pylist():
                 if own is None or row[key] != held:
                     held, own = row[key], machine()
-                out.append((row[key], row[order], *(answer[n] for answer in [own.step(event(row))] for n in names)))
-            yield pd.DataFrame(out, columns=[key, order, *names])
+                answer = own.step(event(row))
+                out.append({key: row[key], order: row[order]} | {n: answer[n] for n in names})
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-    return rows.mapInPandas(run, kinds)
+    return rows.mapInArrow(run, kinds)
 
 
 def stream(df: DataFrame, key: str, order: str, machine: Callable[[], object], event: Callable[[dict], dict], schema: str) -> DataFrame:
     """The same over a streaming DataFrame: each micro-batch's events of a key in order, the machine kept as state."""
-    kinds = f"{key} {df.schema[key].dataType.simpleString()}, {order} {df.schema[order].dataType.simpleString()}, {schema}"
-    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = T.StructType([T.StructField(c, df.schema[c].dataType) for c in (key, order)] + list(T.StructType.fromDDL(schema)))
+    names = kinds.names[2:]
 
     def run(keys: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         own = pickle.loads(state.get[0]) if state.exists else machine()
         rows = pd.concat(list(batches)).sort_values(order)
+        rows = rows.astype(object).where(rows.notna(), None)
         out = [(keys[0], row[order], *(answer[n] for answer in [own.step(event(row))] for n in names)) for row in rows.to_dict("records")]
         state.update((pickle.dumps(own),))
         yield pd.DataFrame(out, columns=[key, order, *names])

@@ -79,6 +79,61 @@ def test_governor_reserves_for_an_aged_head():
     assert g.step(lease(3, 1, ms=60))["status"] == "Waiting" and g.counts["reservations"] == 1
 
 
+def test_governor_reports_every_outcome():
+    g = machines.Governor(4)
+    assert g.step(lease(1, 4))["status"] == "Granted"
+    assert g.step(lease(2, 2, ms=1, policy="deadline", deadline=10))["status"] == "Waiting"
+    assert g.step(lease(3, 2, ms=2, policy="deadline", deadline=2))["status"] == "DeadlineExpired"
+    assert g.step(lease(9, 2, ms=2, policy="deadline"))["status"] == "InvalidRequest"
+    assert g.step(lease(4, 1, ms=3))["outcomes"] == []
+    out = g.step(lease(5, 1, ms=10))
+    assert out["outcomes"] == [{"id": 2, "status": "DeadlineExpired"}] and out["deadlines"] == 2 and out["oldest_ms"] == 7
+    assert g.step({"op": "cancel", "id": 4, "ms": 11})["outcomes"] == [{"id": 4, "status": "Cancelled"}]
+    assert g.step({"op": "release", "id": 1, "ms": 12})["outcomes"] == [{"id": 5, "status": "Granted"}]
+    g.step(lease(6, 4, ms=13))
+    out = g.step({"op": "shutdown", "id": -1, "ms": 14})
+    assert out["outcomes"] == [{"id": 6, "status": "GovernorShuttingDown"}] and out["shutting_down"] and not out["queued"]
+    assert g.step(lease(7, 1, ms=15))["status"] == "GovernorShuttingDown" and g.step(lease(8, 9, ms=15))["status"] == "ImpossibleRequest"
+    out = g.step({"op": "release", "id": 5, "ms": 16})
+    assert out["active"] == 0 and out["available"] == 4 and out["grants"] == out["releases"] == 2
+
+
+def test_outcomes_of_columns_equal_a_fresh_governor(spark):
+    from itertools import product
+
+    rows = [(r, m, x, p, d, 5, False, closed) for r, m, x, p, d, closed in product((0, 1, 3, 9), (0, 1, 3, 9), (False, True), ("wait", "fail", "deadline"), (0, 4, 6), (False, True))]
+    for used in (0, 3):
+        df = spark.createDataFrame(rows, "requested long, minimum long, exact boolean, policy string, deadline long, ms long, cancelled boolean, closed boolean")
+        for row in df.select("*", machines.lease_outcome(4, machines.F.lit(4 - used)).alias("outcome")).collect():
+            g = machines.Governor(4)
+            if used:
+                g.step(lease(0, used))
+            if row["closed"]:
+                g.step({"op": "shutdown", "id": -1, "ms": 1})
+            own = g.step({"op": "acquire", "id": 1} | {k: row[k] for k in ("ms", "requested", "minimum", "exact", "policy", "deadline")})
+            assert own["status"] == row["outcome"], row
+
+
+class Counting:
+    def __init__(self):
+        self.n = self.total = 0
+
+    def step(self, event):
+        self.n += 1
+        self.total += event["big"] or 0
+        return {"n": self.n, "total": self.total, "missing": event["big"] is None}
+
+
+def test_fold_takes_null_keys_as_one_and_keeps_whole_numbers(spark):
+    big = 2**60 + 1
+    rows = [(None, i, big if i % 2 else None) for i in range(6)] + [(7, i, 1) for i in range(3)]
+    df = spark.createDataFrame(rows, "k long, i long, big long").repartition(3)
+    found = runner.fold(df, "k", "i", Counting, lambda e: e, "n long, total long, missing boolean").collect()
+    own = sorted((r["i"], r["n"], r["total"], r["missing"]) for r in found if r["k"] is None)
+    assert own == [(i, i + 1, (i + 1) // 2 * big, i % 2 == 0) for i in range(6)]
+    assert sorted(r["n"] for r in found if r["k"] == 7) == [1, 2, 3]
+
+
 def test_exploration_pauses_after_harm():
     m = machines.Exploration()
     rows = [m.step({"key": 7, "best": "a", "scores": {"a": 1.0, "b": 1.01}, "actual_ms": 2.0, "expected_ms": 1.0}) for _ in range(400)]
