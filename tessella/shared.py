@@ -8,12 +8,22 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The folder of a local session that names none.
+_LOCAL: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where that is unset."""
+    """``spark.checkpoint.dir``; only a local session may leave it unset and gets a temporary folder.
+
+    On a cluster every machine would have another temporary folder, so that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tessella-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if not _LOCAL:
+            _LOCAL.append("file://" + tempfile.mkdtemp(prefix="tessella-"))
+        found = _LOCAL[0]
     return found.rstrip("/")
 
 

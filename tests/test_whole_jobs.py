@@ -1,15 +1,13 @@
-"""Queries do their whole job: as many rounds and epochs as the reference, and all that a stage yields."""
+"""Queries do their whole job: as many rounds and epochs as the reference."""
 
 from __future__ import annotations
 
-import zlib
 from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from tessella import plans
 from tessella.functions import statistics as st
 from tessella.operators import learning
@@ -71,12 +69,3 @@ def test_ranker_trains_as_many_epochs_as_the_reference(spark, monkeypatch):
     (pairs, (weights, history)), = trained
     assert len(history) == 120
     assert weights == pytest.approx(plain_training([(r["difference"], r["weight"]) for r in pairs], 3, 120), rel=1e-9, abs=1e-12)
-
-
-def test_pipeline_yields_the_ids_of_its_sequences(spark):
-    docs = spark.createDataFrame([(k, "some words of a text " * (40 * k + 1), "en", "src0", 0) for k in range(6)], "doc_id long, text string, lang string, source string, n_chars long")
-    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, DATA).collect()
-    assert {p["doc_id"] for p in pieces} == set(range(6))
-    for p in pieces:
-        assert len(p["ids"]) == p["length"]
-        assert zlib.crc32(np.array(p["ids"], "<u4").tobytes()) == p["ids_crc32"]
