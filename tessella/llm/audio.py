@@ -14,7 +14,9 @@ loss.  Features come from the bytes read back out of that file:
   Arrow stream whose column has the fixed-shape tensor type.
 
 A document is computed alone and in blocks of fixed size, so equal texts give
-equal bytes and a long text takes no more memory than its samples.
+equal bytes.  Resampled values and frames exist for one block of ``BLOCK``
+frames at a time; what a document holds at once is its text, its WAV file, and
+its mel energies and tensors, together about five bytes a byte of text.
 
 Nulls, empties and ties: a null or empty text is 64 zero bytes; a null
 identifier stays null; repeated rows give equal rows; an empty table gives no
@@ -46,17 +48,16 @@ DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 OUTPUTS = ", media binary, tensors binary, segments array<struct<start:double,stop:double>>"
 
 
-def padded(raw: bytes) -> bytes:
-    return raw + bytes(-len(raw) % PAD if raw else PAD)
+def wav(raw: bytes | memoryview, rate: int = RATE) -> bytes:
+    """A WAV file of the bytes, padded with zeros to a positive multiple of ``PAD``."""
+    pad = -len(raw) % PAD if len(raw) else PAD
+    size = len(raw) + pad
+    head = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + size, b"WAVE", b"fmt ", 16, 1, 1, rate, rate, 1, 8, b"data", size)
+    return b"".join((head, raw, bytes(pad)))
 
 
-def wav(samples: bytes, rate: int = RATE) -> bytes:
-    head = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(samples), b"WAVE", b"fmt ", 16, 1, 1, rate, rate, 1, 8, b"data", len(samples))
-    return head + samples
-
-
-def wav_samples(media: bytes) -> tuple[bytes, int]:
-    """(samples, rate) of an 8-bit mono WAV file; other chunks are passed over."""
+def wav_samples(media: bytes | memoryview) -> tuple[bytes | memoryview, int]:
+    """(samples, rate) of an 8-bit mono WAV file, a view if given one; other chunks are passed over."""
     if media[:4] != b"RIFF" or media[8:12] != b"WAVE":
         raise ValueError("not a WAV file")
     at, rate = 12, 0
@@ -84,18 +85,23 @@ def polyphase_filters(up: int = UP, down: int = DOWN, half: int = HALF) -> np.nd
 FILTERS = polyphase_filters()
 
 
-def resample(x: np.ndarray, up: int = UP, down: int = DOWN) -> np.ndarray:
-    """``len(x) * up / down`` values, rounded up; the signal is zero outside."""
+def resample(x: np.ndarray, first: int, last: int, up: int = UP, down: int = DOWN) -> np.ndarray:
+    """Values first to last of the ``len(x) * up / down``, rounded up, that 8-bit samples give; ``first`` is a multiple of ``up``.
+
+    The signal is zero outside.
+    """
     taps = FILTERS.shape[1]
-    total = -(-len(x) * up // down)
-    padded_x = np.zeros(len(x) + 2 * taps + down, x.dtype)
-    padded_x[taps // 2 : taps // 2 + len(x)] = x
-    out = np.zeros(total, x.dtype)
-    for first in range(min(up, total)):
-        at, phase = divmod(first * down, up)
-        count = -(-(total - first) // up)
-        view = np.lib.stride_tricks.sliding_window_view(padded_x, taps)[at + 1 :: down][:count]
-        out[first::up] = np.ascontiguousarray(view) @ FILTERS[phase][::-1].astype(x.dtype)
+    origin = first * down // up
+    begin, end = origin + 1 - taps // 2, (last - 1) * down // up + 1 + taps // 2
+    near = np.zeros(end - begin, np.float32)
+    inside = x[max(0, begin) : end]
+    near[max(0, -begin) : max(0, -begin) + len(inside)] = (inside.astype(np.float32) - 128) / 128
+    out = np.empty(last - first, np.float32)
+    view = np.lib.stride_tricks.sliding_window_view(near, taps)
+    for k in range(min(up, last - first)):
+        at, phase = divmod(k * down, up)
+        count = -(-(last - first - k) // up)
+        out[k::up] = np.ascontiguousarray(view[at::down][:count]) @ FILTERS[phase][::-1].astype(np.float32)
     return out
 
 
@@ -112,19 +118,21 @@ BANK = mel_bank(RATE * UP / DOWN)
 WINDOW = (0.5 - 0.5 * np.cos(2 * np.pi * (np.arange(FRAME) + 0.5) / FRAME)).astype(np.float32)
 
 
-def log_mel(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(log10 mel energies [frame, band], level of each frame in dB); at least one frame, the end padded with zeros."""
-    frames = max(1, -(-(len(y) - FRAME) // HOP) + 1)
-    full = np.zeros((frames - 1) * HOP + FRAME, np.float32)
-    full[: len(y)] = y[: len(full)]
-    view = np.lib.stride_tricks.sliding_window_view(full, FRAME)[::HOP]
+def log_mel(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log10 mel energies [frame, band], level of each frame in dB) of 8-bit samples; at least one frame, the end padded with zeros."""
+    total = -(-len(x) * UP // DOWN)
+    frames = max(1, -(-(total - FRAME) // HOP) + 1)
     out, level = np.empty((frames, MELS), np.float32), np.empty(frames, np.float32)
     for k in range(0, frames, BLOCK):
-        part = view[k : k + BLOCK]
-        level[k : k + BLOCK] = 10 * np.log10(np.einsum("ij,ij->i", part, part) / FRAME + 1e-9)
+        count = min(BLOCK, frames - k)
+        y = np.zeros((count - 1) * HOP + FRAME, np.float32)
+        stop = min(total, k * HOP + len(y))
+        y[: stop - k * HOP] = resample(x, k * HOP, stop)
+        part = np.lib.stride_tricks.sliding_window_view(y, FRAME)[::HOP]
+        level[k : k + count] = 10 * np.log10(np.einsum("ij,ij->i", part, part) / FRAME + 1e-9)
         spectrum = np.fft.rfft(part * WINDOW, axis=1)
         power = (spectrum.real**2 + spectrum.imag**2).astype(np.float32)
-        out[k : k + BLOCK] = np.log10(np.maximum(power @ BANK, np.float32(10**FLOOR)))
+        out[k : k + count] = np.log10(np.maximum(power @ BANK, np.float32(10**FLOOR)))
     return out, level
 
 
@@ -143,27 +151,26 @@ STREAM = pa.schema([("log_mel", TENSOR), ("start", pa.float64()), ("stop", pa.fl
 
 
 def tensor_stream(mel: np.ndarray, rate: float) -> bytes:
-    """An Arrow stream of fixed-shape tensors with their time spans in seconds."""
-    count = -(-len(mel) // TENSOR_FRAMES)
-    full = np.full((count * TENSOR_FRAMES, MELS), np.float32(FLOOR))
-    full[: len(mel)] = mel
-    storage = pa.FixedSizeListArray.from_arrays(pa.array(full.reshape(-1)), TENSOR_FRAMES * MELS)
-    first = np.arange(count) * TENSOR_FRAMES
-    frames = np.minimum(TENSOR_FRAMES, len(mel) - first)
-    start, stop = first * HOP / rate, ((first + frames - 1) * HOP + FRAME) / rate
-    batch = pa.record_batch([pa.ExtensionArray.from_storage(TENSOR, storage), pa.array(start), pa.array(stop), pa.array(frames.astype(np.int32))], schema=STREAM)
+    """An Arrow stream of fixed-shape tensors with their time spans in seconds, ``BLOCK`` frames a batch."""
     sink = io.BytesIO()
     with pa.ipc.new_stream(sink, STREAM) as writer:
-        writer.write_batch(batch)
+        for k in range(0, len(mel), BLOCK):
+            part = mel[k : k + BLOCK]
+            count = -(-len(part) // TENSOR_FRAMES)
+            full = np.full((count * TENSOR_FRAMES, MELS), np.float32(FLOOR))
+            full[: len(part)] = part
+            storage = pa.FixedSizeListArray.from_arrays(pa.array(full.reshape(-1)), TENSOR_FRAMES * MELS)
+            first = k + np.arange(count) * TENSOR_FRAMES
+            frames = np.minimum(TENSOR_FRAMES, len(mel) - first)
+            start, stop = first * HOP / rate, ((first + frames - 1) * HOP + FRAME) / rate
+            writer.write_batch(pa.record_batch([pa.ExtensionArray.from_storage(TENSOR, storage), pa.array(start), pa.array(stop), pa.array(frames.astype(np.int32))], schema=STREAM))
     return sink.getvalue()
 
 
-def features(samples: bytes, rate: int = RATE) -> tuple[bytes, np.ndarray, int, float]:
+def features(samples: bytes | memoryview, rate: int = RATE) -> tuple[bytes, np.ndarray, int, float]:
     """(tensor stream, segments in seconds, frames, seconds) of 8-bit samples."""
-    x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
     own = rate * UP / DOWN
-    y = resample(x)
-    mel, level = log_mel(y)
+    mel, level = log_mel(np.frombuffer(samples, np.uint8))
     spans = segments(level)
     return tensor_stream(mel, own), np.stack([spans[:, 0] * HOP / own, ((spans[:, 1] - 1) * HOP + FRAME) / own], axis=1), len(mel), len(samples) / rate
 
@@ -182,8 +189,8 @@ def audio_features(docs: DataFrame, with_outputs: bool = False) -> DataFrame:
             data, at = textkit.buffers(part.column("text"))
             rows = []
             for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                media = wav(padded(data[s:e].tobytes()))
-                payload, rate = wav_samples(media)
+                media = wav(memoryview(data[s:e]))
+                payload, rate = wav_samples(memoryview(media))
                 tensors, spans, frames, seconds = features(payload, rate)
                 kept = hashlib.sha256(tensors + spans.tobytes()).hexdigest()
                 row = [e - s, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), len(media), hashlib.sha256(media).hexdigest(), kept, frames, -(-frames // TENSOR_FRAMES), len(spans), seconds]
