@@ -8,9 +8,13 @@ beginning of a cut piece, whose rest returns to its tier.  So every window is
 full.  What remains when a chunk of documents runs out, less than one window,
 is cut into powers of two, so no sequence needs padding.
 
-Sequences of one tier form step groups of equal tokens; within a group the
-sequences are dealt to ranks from the costliest down, back and forth, where
-cost is the sum of squared piece lengths.
+Sequences of all sizes form step groups of exactly ``step_tokens`` tokens where
+the sizes are powers of two, as they are by default: from the largest size down
+each sequence goes to the group with the fewest tokens so far and, of these,
+with the least cost, the sum of squared piece lengths.  Within a group they are
+dealt to ranks in the same way, so ranks have equal tokens.  What does not fill
+a group waits for the next documents of the partition; only a partition's last
+group is smaller.
 
 Documents are packed where they are read, about 4 MB of text at a time: no
 shuffle, and no group can become hot.  A document longer than that is a chunk
@@ -22,6 +26,7 @@ than the identifier and the text are never read.
 from __future__ import annotations
 
 import bisect
+import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -101,60 +106,83 @@ def pack(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[tuple[int,
     return out
 
 
-def step_groups(sequences: list[tuple[int, list[tuple[int, int, int]]]], step_tokens: int, ranks: int) -> list[tuple[int, int]]:
-    """(step, rank) of each sequence."""
-    placed = [(0, 0)] * len(sequences)
-    step = 0
-    for size in sorted({s for s, _ in sequences}):
-        own = [i for i, (s, _) in enumerate(sequences) if s == size]
-        own.sort(key=lambda i: (-sum(n * n for _, _, n in sequences[i][1]), i))
-        steps = -(-len(own) * size // step_tokens)
-        for turn, i in enumerate(own):  # costly sequences are spread over the steps first, then over the ranks
-            lap, k = divmod(turn, steps)
-            k = steps - 1 - k if lap % 2 else k
-            side, r = divmod(lap, ranks)
-            placed[i] = (step + k, ranks - 1 - r if side % 2 else r)
-        step += steps
+def deal(items: list[tuple[int, int]], bins: int, room: int | None = None) -> list[int]:
+    """A bin for each (tokens, cost), -1 where none has room: the largest first, each to the bin with the fewest tokens, then the least cost."""
+    heap = [(0, 0, k) for k in range(bins)]
+    placed = [-1] * len(items)
+    for i in sorted(range(len(items)), key=lambda i: (-items[i][0], -items[i][1], i)):
+        tokens, cost, k = heap[0]
+        if room is not None and tokens + items[i][0] > room:
+            continue
+        heapq.heapreplace(heap, (tokens + items[i][0], cost + items[i][1], k))
+        placed[i] = k
     return placed
 
 
+def step_groups(items: list[tuple[int, int]], step_tokens: int, last: bool = False) -> list[list[int]]:
+    """Groups of sequences, given as (tokens, cost), with ``step_tokens`` each; with ``last`` the rest is a group, too."""
+    steps = sum(n for n, _ in items) // step_tokens
+    groups: list[list[int]] = [[] for _ in range(steps)]
+    placed = deal(items, steps, step_tokens) if steps else [-1] * len(items)
+    for i, k in enumerate(placed):
+        if k >= 0:
+            groups[k].append(i)
+    rest = [i for i, k in enumerate(placed) if k < 0]
+    return groups + [rest] * bool(last and rest)
+
+
 def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = 1, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS, ranks: int = RANKS, with_ids: bool = False) -> DataFrame:
     """One row for each piece of ``docs(doc_id, text)``; ``with_ids`` adds the ids themselves."""
     common.small_batches(docs.sparkSession)
     path = tokenizer_path or default_tokenizer()
 
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_length", "step_id", "rank"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, base = encoder(path), TaskContext.get().partitionId() << 40
-        step_base = base
+        step = base
+        # sequences that no step has yet: (size, cost, rows without step and rank, ids)
+        waiting: list[tuple[int, int, list[tuple], list[np.ndarray]]] = []
+
+        def steps(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal step, waiting
+            gone: set[int] = set()
+            for group in step_groups([w[:2] for w in waiting], step_tokens, last):
+                rows, kept = [], []
+                for i, rank in zip(group, deal([waiting[i][:2] for i in group], ranks), strict=True):
+                    rows += [(*row, step, rank) for row in waiting[i][2]]
+                    kept += waiting[i][3]
+                step += 1
+                gone.update(group)
+                columns = list(zip(*rows, strict=True))
+                arrays = [pa.array(c, pa.int32() if name == "rank" else pa.int64()) for name, c in zip(names, columns, strict=True)]
+                if with_ids:
+                    sizes = np.concatenate([[0], np.cumsum(columns[2])]).astype(np.int32)
+                    arrays.append(pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(kept).astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(arrays, names + ["ids"] * with_ids)
+            waiting = [w for i, w in enumerate(waiting) if i not in gone]
+
         for part in textkit.regrouped(batches, "text", 4 << 20, 4 << 20):
             ids, bounds = code.encode(*textkit.buffers(part.column("text")))
-            doc_ids = part.column("doc_id")
+            doc_ids = part.column("doc_id").to_pylist()
             lengths = (np.diff(bounds) + 1).tolist()
-            sequences = pack(lengths, tiers)
-            placed = step_groups(sequences, step_tokens, ranks)
-            rows, kept = [], []
             first = bounds[:-1].tolist()
-            for number, ((size, window), (step, rank)) in enumerate(zip(sequences, placed, strict=True)):
-                offset = 0
+            sequences = pack(lengths, tiers)
+            for number, (size, window) in enumerate(sequences):
+                offset, rows, kept = 0, [], []
                 for doc, start, n in window:
                     own = ids[first[doc] + start : first[doc] + min(start + n, lengths[doc] - 1)]
                     if len(own) < n:
                         own = np.append(own, np.uint32(end_id))
-                    rows.append((doc, start, n, zlib.crc32(own.astype("<u4").tobytes()), lengths[doc], base + number, offset, size, step_base + step, rank))
+                    rows.append((doc_ids[doc], start, n, zlib.crc32(own.astype("<u4").tobytes()), lengths[doc], base + number, offset, size))
                     if with_ids:
-                        kept.append(own)
+                        kept.append(own.copy())
                     offset += n
+                waiting.append((size, sum(n * n for _, _, n in window), rows, kept))
             base += len(sequences)
-            step_base += max((s for s, _ in placed), default=-1) + 1
-            columns = np.array(rows, np.int64).reshape(len(rows), 10).T
-            arrays = [doc_ids.take(pa.array(columns[0])), *(pa.array(c) for c in columns[1:9]), pa.array(columns[9].astype(np.int32))]
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_length", "step_id", "rank"]
-            if with_ids:
-                sizes = np.concatenate([[0], np.cumsum(columns[2])]).astype(np.int32)
-                flat = np.concatenate(kept).astype(np.int32) if kept else np.zeros(0, np.int32)
-                arrays.append(pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat)))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(arrays, names)
+            del ids
+            yield from steps(False)
+        yield from steps(True)
 
     wanted = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return wanted.mapInArrow(run, SCHEMA + (", ids array<int>" if with_ids else ""))
