@@ -11,9 +11,11 @@ Each leaf then reads its documents in epochs.  In epoch e they stand in the
 order of ``md5(seed / e / doc_id)``; the leaf takes the prefix of that stream
 with as many tokens as its budget, so every document comes ``copies`` times
 whole, and some come once more, the last one cut.  Only the last epoch needs an
-order.  There the documents of a leaf are dealt into ``16 ** HEX`` slots by the
-first digits of their md5; running sums over slots tell which slots lie before
-the cut, and only the one slot of each leaf that holds it is put in order.
+order.  There the documents of a leaf are dealt into slots by the first digits
+of their md5, about as many slots as the square root of their number; running
+sums over slots tell which slot holds the cut, and only that slot's documents,
+as places and sizes without their texts, are put in order to find the document
+at the cut.  All others only compare their place with it.
 
 A token is a run without space, tab, LF, VT, FF or CR.  Nulls, empties and
 ties: a null text has no tokens and is selected with 0 tokens when its place
@@ -31,7 +33,8 @@ from pyspark.sql import functions as F
 
 from tessella.llm import common
 
-HEX = 3
+#: The most hexadecimal digits that number a slot.
+MOST_DIGITS = 8
 SEED = 20240607
 MAX_EPOCHS = 2
 #: Shares of the query: a third of the sources is web text.  Paths not named have weight 1.
@@ -50,6 +53,18 @@ def token_list(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(text, " \t\n\x0b\x0c\r", " " * 6), " "), "")
 
 
+def first_tokens(text: Column, count: Column) -> Column:
+    """The text up to the end of its ``count``-th token, as it stands."""
+    words = F.split(F.translate(text, " \t\n\x0b\x0c\r", " " * 6), " ")
+    size = F.aggregate(
+        words,
+        F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).alias("size")),
+        lambda acc, w: F.when(acc["n"] >= count, acc).otherwise(F.struct((acc["n"] + (w != "").cast("long")).alias("n"), (acc["size"] + 1 + F.length(w)).alias("size"))),
+        lambda acc: acc["size"],
+    )
+    return F.substring(text, F.lit(1), F.greatest(F.lit(0), size))
+
+
 def weight_of(path: Column, weights: dict[str, int]) -> Column:
     if not weights:
         return F.lit(1).cast("long")
@@ -125,25 +140,47 @@ def mix(
         *[F.col(c).alias(f"keep_{c}") for c in keep],
     )
     leaf = ["domain", "language", "origin"]
-    supply = common.materialize(rows.groupBy(*leaf).agg(F.sum("tokens").alias("supply")), "supply")
-    budgets = leaf_budgets(supply, weights, share, max_epochs)
-    budgets = common.materialize(budgets.select(*leaf, F.when(F.col("supply") > 0, F.expr("given div supply")).otherwise(0).alias("copies"), F.when(F.col("supply") > 0, F.pmod("given", "supply")).otherwise(0).alias("rest")), "budgets")
+    supply = common.materialize(rows.groupBy(*leaf).agg(F.sum("tokens").alias("supply"), F.count("*").alias("docs")), "supply")
+    budgets = leaf_budgets(supply.select(*leaf, "supply"), weights, share, max_epochs)
+    digits = F.least(F.lit(MOST_DIGITS), F.greatest(F.lit(1), F.ceil(F.log2("docs") / 8))).cast("int")
+    budgets = budgets.join(supply.select(*leaf, digits.alias("digits")), leaf)
+    budgets = common.materialize(budgets.select(*leaf, "digits", F.when(F.col("supply") > 0, F.expr("given div supply")).otherwise(0).alias("copies"), F.when(F.col("supply") > 0, F.pmod("given", "supply")).otherwise(0).alias("rest")), "budgets")
 
     place = F.md5(F.concat_ws("/", F.lit(str(seed)), F.col("copies").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     # one row a leaf: broadcast by Spark where its size allows, else joined with skewed leaves split
-    placed = rows.join(budgets, leaf).withColumn("place", place).withColumn("slot", F.substring("place", 1, HEX))
+    placed = rows.join(budgets, leaf).withColumn("place", place).withColumn("slot", F.expr("substring(place, 1, digits)"))
     slots = placed.groupBy(*leaf, "slot", "rest").agg(F.sum("tokens").alias("held"))
     upto = F.sum("held").over(Window.partitionBy(*leaf).orderBy("slot"))
-    cuts = slots.withColumn("before", upto - F.col("held")).where("before <= rest and rest < before + held").select(*leaf, F.col("slot").alias("cut"), "before")
-    cuts = common.materialize(cuts, "cuts")
+    slots = slots.withColumn("before", upto - F.col("held")).where("before <= rest and rest < before + held").select(*leaf, F.col("slot").alias("cut"), "before")
+    slots = common.materialize(slots, "cut-slots")
+    # places in the slot at the cut; equal rows count together
+    near = placed.join(slots, leaf).where("slot = cut").groupBy(*leaf, "rest", "before", "place", "tokens", F.md5(F.col("text_").cast("binary")).alias("digest")).agg(F.count("*").alias("times"))
+    order = Window.partitionBy(*leaf).orderBy("place", "tokens", "digest")
+    near = near.withColumn("sofar", F.col("before") + F.sum(F.col("tokens") * F.col("times")).over(order) - F.col("tokens") * F.col("times"))
+    at = F.struct("place", "tokens", "digest")
+    # the first place that is not taken whole
+    cuts = near.where("sofar >= rest or sofar + tokens * times > rest").groupBy(*leaf).agg(F.min(F.struct(at.alias("at"), "sofar", "times")).alias("cut"))
+    cuts = common.materialize(cuts.select(*leaf, "cut.at", "cut.sofar", "cut.times"), "cuts")
+
+    own = F.struct("place", "tokens", F.md5(F.col("text_").cast("binary")).alias("digest"))
     known = placed.join(cuts, leaf, "left")
+    # most rows are told by their place alone; the digest of a text is needed for its own place only
+    side = F.when(F.col("at").isNull(), 1).when(F.col("place") < F.col("at.place"), -1).when(F.col("place") > F.col("at.place"), 1).when(own < F.col("at"), -1).when(own > F.col("at"), 1).otherwise(0)
+    known = known.withColumn("side", side)
     columns = [F.col("doc_id"), *[F.col(c) for c in leaf], F.col("tokens"), F.col("copies"), F.col("part"), F.col("text_"), *[F.col(f"keep_{c}") for c in keep]]
-    outside = known.where("cut is null or slot != cut").withColumn("part", F.when(F.coalesce(F.col("slot") < F.col("cut"), F.lit(False)), F.col("tokens")).otherwise(0)).withColumn("early", F.coalesce(F.col("slot") < F.col("cut"), F.lit(False)))
-    order = Window.partitionBy(*leaf).orderBy("place", "tokens", F.md5(F.col("text_").cast("binary"))).rowsBetween(Window.unboundedPreceding, -1)
-    inside = known.where("slot = cut").withColumn("sofar", F.col("before") + F.coalesce(F.sum("tokens").over(order), F.lit(0)))
-    inside = inside.withColumn("part", F.greatest(F.lit(0), F.least(F.col("tokens"), F.col("rest") - F.col("sofar")))).withColumn("early", F.col("sofar") < F.col("rest"))
-    taken = outside.where("copies > 0 or early").select(*columns).unionByName(inside.where("copies > 0 or early").select(*columns))
-    return taken.withColumnRenamed("part", "cut_tokens")
+
+    def taken(some: DataFrame, sofar: Column) -> DataFrame:
+        part = F.when(F.col("side") < 0, F.col("tokens")).when(F.col("side") > 0, 0).otherwise(F.greatest(F.lit(0), F.least(F.col("tokens"), F.col("rest") - sofar)))
+        early = (F.col("side") < 0) | ((F.col("side") == 0) & (sofar < F.col("rest")))
+        return some.withColumn("part", part).where((F.col("copies") > 0) | early).select(*columns)
+
+    if cuts.where("times > 1").limit(1).count():
+        # equal rows at the cut take their turns
+        turn = F.row_number().over(Window.partitionBy(*leaf).orderBy("place")) - 1
+        found = taken(known.where("side != 0"), F.lit(0)).unionByName(taken(known.where("side = 0").withColumn("turn", turn), F.col("sofar") + F.col("turn") * F.col("tokens")))
+    else:
+        found = taken(known, F.col("sofar"))
+    return found.withColumnRenamed("part", "cut_tokens")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
