@@ -1,8 +1,16 @@
 """A corpus pipeline: language ID, n-gram Jaccard join, suffix-array dedup, mixing, packing.
 
 Each stage takes and returns the columns of ``documents``; the last returns the
-pieces of the packed sequences with their token ids.  Stages are written as Parquet to the shared
-folder and read again.
+pieces of the packed sequences with their token ids.  Stages are written as
+Parquet to the shared folder and read again; a stage's input and what else it
+wrote there are deleted when its output is written.
+
+Nulls, empties and ties: null and empty texts and texts without a letter go in
+the first stage, which can tell no language of them; null identifiers, languages
+and sources are kept as they are by all stages but the mixing, whose output has
+the languages and sources of its input; rows that repeat an identifier are
+documents of their own; of equal texts the join keeps the one with the least
+identifier, null before all; empty tables pass through all stages.
 """
 
 from __future__ import annotations
@@ -40,9 +48,9 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture's documents, the last one of a leaf cut to the tokens that it may give."""
+    """The mixture's documents, the last one of a leaf cut behind the last token that it may give."""
     taken = mixing.mix(docs, share=SHARE, max_epochs=EPOCHS, keep=("lang", "source", "n_chars"))
-    cut = F.array_join(F.slice(mixing.token_list(F.col("text_")), 1, F.greatest(F.lit(0), F.col("cut_tokens")).cast("int")), " ")
+    cut = mixing.first_tokens(F.col("text_"), F.col("cut_tokens"))
     whole = (F.col("copies") > 0) | (F.col("cut_tokens") == F.col("tokens"))
     text = F.when(whole, F.col("text_")).otherwise(cut)
     return taken.select("doc_id", text.alias("text"), F.col("keep_lang").alias("lang"), F.col("keep_source").alias("source"), F.when(whole, F.col("keep_n_chars")).otherwise(F.length(text)).cast("long").alias("n_chars"))
@@ -65,7 +73,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.documents(spark, sf_dir)
+    docs, read = common.documents(spark, sf_dir), []
     for name, stage in STAGES[:-1]:
-        docs = common.materialize(stage(spark, docs, sf_dir), name)
+        with common.passing(spark) as kept:
+            docs = common.materialize(stage(spark, docs, sf_dir), name)
+            kept.append(docs.scratch_path)
+        common.discard(spark, *read)
+        read = [docs.scratch_path]
     return STAGES[-1][1](spark, docs, sf_dir)
