@@ -1,9 +1,8 @@
 """Connected components by alternating large and small stars.
 
 Edges stay distributed; each round is two aggregations with map-side combine
-and two joins.  A node with far more edges than a task's mean, the centre of a
-large star, takes no part in the joins: such nodes, a few a task at most, are
-broadcast with their least neighbour.  The number of rounds grows with the
+and two joins.  The centre of a large star, a node with far more edges than a
+task's mean, takes no part in a join.  The number of rounds grows with the
 logarithm of the number of nodes.
 """
 
@@ -18,24 +17,24 @@ from tessella.llm import common
 HUB = 1000
 
 
-def _with_least(edges: DataFrame, least: DataFrame, hub: int) -> DataFrame:
-    """``edges(a, b)`` with the ``m`` of ``least(a, m, n)``; those of hubs get it where they are, without a shuffle."""
-    # of E edges at most 2 E / hub nodes have more than ``hub``: about two for each task
-    hubs = F.broadcast(least.where(F.col("n") > hub).select("a", F.col("m").alias("hub_m")))
-    marked = edges.join(hubs, "a", "left")
-    rest = marked.where("hub_m is null").select("a", "b").join(least.where(F.col("n") <= hub).select("a", "m"), "a")
-    return marked.where("hub_m is not null").select("a", "b", F.col("hub_m").alias("m")).union(rest.select("a", "b", "m"))
-
-
 def _large_star(edges: DataFrame, hub: int) -> DataFrame:
+    """Each edge's greater end with the least neighbour of its smaller one (or that itself).
+
+    Nodes with more than ``hub`` edges, of which there are about two for each
+    task, hand theirs out by broadcast: their edges are not gathered.
+    """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-    return _with_least(both, least, hub).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select(F.col("a").alias("b"), F.least("a", "m").alias("m"), "n")
+    hubs = F.broadcast(least.where(F.col("n") > hub).select("b", F.col("m").alias("hub_m")))
+    marked = edges.select("a", "b").join(hubs, "b", "left")
+    rest = marked.where("hub_m is null").select("a", "b").join(least.where(F.col("n") <= hub).select("b", "m"), "b").select("a", "m")
+    return marked.where("hub_m is not null").select("a", F.col("hub_m").alias("m")).union(rest).select("a", F.col("m").alias("b")).distinct()
 
 
-def _small_star(edges: DataFrame, hub: int) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-    moved = _with_least(edges, least, hub).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+def _small_star(edges: DataFrame) -> DataFrame:
+    """All smaller neighbours of a node, and the node, with the least of them."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    moved = edges.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -57,7 +56,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if not before[0]:
             break
         hub = max(HUB, before[0] // n)
-        last, now = now, common.materialize(_small_star(_large_star(now, hub), hub), "edges")
+        last, now = now, common.materialize(_small_star(_large_star(now, hub)), "edges")
         after = _state(now)
         common.discard(now.sparkSession, last.scratch_path)
         if after == before:

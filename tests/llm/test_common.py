@@ -60,3 +60,28 @@ def test_scratch_made_inside_goes(spark):
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(gone.scratch_path)
     common.discard(spark, stays.scratch_path)
+
+
+@pytest.mark.parametrize("hub", [2, 1000])
+def test_components(spark, monkeypatch, hub):
+    """Stars, chains, loops and repeated edges, with and without hubs, against union and find."""
+    import random
+
+    from tessella.llm import components
+
+    monkeypatch.setattr(components, "HUB", hub)
+    rng = random.Random(hub)
+    edges = [(0, k) for k in range(1, 60)] + [(k, k + 1) for k in range(100, 140)] + [(200 + k * 7 % 13, 200 + k * 5 % 13) for k in range(30)] + [(k, 900 - k) for k in range(300, 330)]
+    edges += [(rng.randrange(400, 460), rng.randrange(400, 460)) for _ in range(25)] + [(5, 5), (140, 59)] + [(0, 7)] * 3
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in root if find(x) != x}
