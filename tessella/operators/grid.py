@@ -48,25 +48,32 @@ def heat(df: DataFrame, rows: int, columns: int, steps: int, value: str = "v") -
 
 
 def convolve(df: DataFrame, kernel: Sequence[Sequence[float]], scale: float = 1.0, value: str = "v") -> DataFrame:
-    """(r, c, v): correlation with a small odd kernel; cells outside the grid count as 0.
+    """(r, c, v): correlation with a small odd kernel; cells outside the grid count as 0, and there is one value a cell.
 
-    Every cell sends its value to the cells that the kernel reaches, one row a
-    cell with all of them, so there is one shuffle; terms are summed in row-major
-    order of the kernel.
+    Like the stencil: neighbours along the columns and then along the rows come
+    by windows, two shuffles, and no cell is copied.  Terms are summed in
+    row-major order of the kernel.  Cells that are missing inside the grid count
+    as 0 and have no row.
     """
     high, wide = len(kernel), len(kernel[0])
     if high % 2 == 0 or wide % 2 == 0:
         raise ValueError("the kernel must have odd sides")
-    terms = F.array(*[
-        F.struct((F.col("r") - (i - high // 2)).alias("r"), (F.col("c") - (j - wide // 2)).alias("c"), F.lit(i * wide + j).alias("k"), (F.lit(float(kernel[i][j])) * F.col(value)).alias("t"))
-        for i in range(high)
-        for j in range(wide)
-    ])
-    inside = df.agg(F.max("r").alias("_rmax"), F.max("c").alias("_cmax"))
-    sent = df.select(F.explode(terms).alias("x")).select("x.*").where("r >= 0 and c >= 0").join(F.broadcast(inside), (F.col("r") <= F.col("_rmax")) & (F.col("c") <= F.col("_cmax")))
-    summed = sent.groupBy("r", "c").agg(F.sort_array(F.collect_list(F.struct("k", "t"))).alias("own"))
-    total = F.aggregate("own", F.lit(0.0), lambda acc, x: acc + x["t"])
-    return summed.select("r", "c", (total * F.lit(float(scale))).alias(value))
+    up, left = high // 2, wide // 2
+    by_column, by_row = Window.partitionBy("c").orderBy("r"), Window.partitionBy("r").orderBy("c")
+
+    def near(window: Window, name: str, step: int) -> Column:
+        """``name`` of the cell ``step`` places further, null where there is none."""
+        return F.col(name) if step == 0 else F.first(name).over(window.rangeBetween(step, step))
+
+    column = F.array(*[near(by_column, value, i - up) for i in range(high)])
+    tall = df.select("r", "c", F.col(value).alias(value)).withColumn("_column", column)
+    rows = [near(by_row, "_column", j - left) for j in range(wide)]
+    around = tall.select("r", "c", *[x.alias(f"_k{j}") for j, x in enumerate(rows)])
+    total = F.lit(0.0)
+    for i in range(high):
+        for j in range(wide):
+            total = total + F.lit(float(kernel[i][j])) * F.coalesce(F.get(F.col(f"_k{j}"), i).cast("double"), F.lit(0.0))
+    return around.select("r", "c", (total * F.lit(float(scale))).alias(value))
 
 
 def sobel(df: DataFrame, rows: int, columns: int, value: str = "v") -> DataFrame:

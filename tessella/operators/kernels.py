@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.sequence import dense_index
 from tessella.shared import materialize
 
 #: Fixed values of the integral: decay and interval.
@@ -34,8 +34,8 @@ def particle_energy(df: DataFrame) -> DataFrame:
         r2 = dx * dx + dy * dy + dz * dz + 1.0
         return F.col("mass") * (F.sin(r2 * 0.001) + F.cos(phase)) / F.sqrt(r2)
 
-    total = F.aggregate(F.sequence(F.lit(1), F.col("work")), F.lit(0.0), lambda acc, k: acc + term(k))
-    return df.select("idx", total.alias("energy"))
+    terms = df.select("idx", "x", "y", "z", "mass", F.explode(F.sequence(F.lit(1), F.col("work"))).alias("k"))
+    return terms.groupBy("idx").agg(F.sum(term(F.col("k"))).alias("energy"))
 
 
 def escape_times(df: DataFrame, limit: int) -> DataFrame:
@@ -64,13 +64,13 @@ def quadtree(roots: DataFrame, depth: int, contrast: int = 54) -> DataFrame:
         corners = [pixel(F.col("x") + a, F.col("y") + b, F.col("frame")) for a, b in ((F.lit(0), F.lit(0)), (far, F.lit(0)), (F.lit(0), far), (far, far))]
         return df.withColumn("contrast", F.greatest(*corners) - F.least(*corners))
 
-    level = measured(roots.withColumn("level", F.lit(0)))
+    level = materialize(measured(roots.withColumn("level", F.lit(0))), "quadtree")  # each level is worked out once
     out = level
     for _ in range(depth):
         half = F.expr("size div 2")
         corner = F.explode(F.array(*[F.struct((F.col("x") + a).alias("x"), (F.col("y") + b).alias("y")) for a, b in ((F.lit(0), F.lit(0)), (half, F.lit(0)), (F.lit(0), half), (half, half))]))
         split = level.where((F.col("size") > 2) & (F.col("contrast") > contrast)).withColumn("_c", corner)
-        level = measured(split.select("frame", F.col("_c.x").alias("x"), F.col("_c.y").alias("y"), half.cast("long").alias("size"), (F.col("level") + 1).alias("level")))
+        level = materialize(measured(split.select("frame", F.col("_c.x").alias("x"), F.col("_c.y").alias("y"), half.cast("long").alias("size"), (F.col("level") + 1).alias("level"))), "quadtree")
         out = out.unionByName(level)
     return out
 
@@ -103,25 +103,31 @@ def mixed_kernels(df: DataFrame, wide: int = 25) -> DataFrame:
     return rows.select("idx", mode.alias("mode"), value.cast("long").alias("n"))
 
 
-def compress(df: DataFrame, key: str, text: str, level: int = 1) -> DataFrame:
-    """(key, n_bytes, packed_bytes, same): each text compressed, unpacked again and compared."""
+def compress(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, n_bytes, packed_bytes, same): each text as an LZ4 block, unpacked again and compared."""
+    kind = f"{key} {df.schema[key].dataType.simpleString()}, n_bytes long, packed_bytes long, same boolean"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("lz4_raw")
         for batch in batches:
-            rows = []
-            for k, t in zip(batch[key], batch[text], strict=True):
-                raw = (t or "").encode()
-                packed = zlib.compress(raw, level)
-                rows.append((k, len(raw), len(packed), zlib.decompress(packed) == raw))
-            yield pd.DataFrame(rows, columns=[key, "n_bytes", "packed_bytes", "same"])
+            sizes, packed_sizes, same = [], [], []
+            for t in batch.column(1):
+                raw = (t.as_py() or "").encode()
+                packed = codec.compress(raw) if raw else b""
+                sizes.append(len(raw))
+                packed_sizes.append(len(packed))
+                same.append((codec.decompress(packed, len(raw)).to_pybytes() if raw else b"") == raw)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(packed_sizes, pa.int64()), pa.array(same, pa.bool_())], [key, "n_bytes", "packed_bytes", "same"])
 
-    return df.select(key, text).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, n_bytes long, packed_bytes long, same boolean")
+    return df.select(key, text).mapInArrow(run, kind)
 
 
 def bounding_tree(boxes: DataFrame, levels: int) -> DataFrame:
     """(level, node, n, bounds): boxes split in halves along each node's widest axis, one level after the other.
 
     Node k has the children 2k and 2k + 1; halves are by rank, ties by id.
+    Ranks come from a range partitioning of the whole level (``dense_index``),
+    so that the root, which is one node, is not one task.
     """
     axes = ("x", "y", "z")
     rows = boxes.withColumn("node", F.lit(1).cast("long"))
@@ -129,40 +135,59 @@ def bounding_tree(boxes: DataFrame, levels: int) -> DataFrame:
         rows = rows.withColumn(f"c{a}", (F.col(f"min_{a}") + F.col(f"max_{a}")) / 2)
     out = None
     for level in range(levels):
-        bounds = rows.groupBy("node").agg(F.count("*").alias("n"), *[f(f"{m}_{a}").alias(f"{m}_{a}") for a in axes for m, f in (("min", F.min), ("max", F.max))])
-        own = bounds.withColumn("level", F.lit(level))
+        bounds = rows.groupBy("node").agg(
+            F.count("*").alias("n"),
+            *[f(f"{m}_{a}").alias(f"{m}_{a}") for a in axes for m, f in (("min", F.min), ("max", F.max))],
+            *[(F.max(f"c{a}") - F.min(f"c{a}")).alias(f"w{a}") for a in axes],
+        )
+        bounds = materialize(bounds, "bvh-bounds")  # one row a node
+        own = bounds.drop(*[f"w{a}" for a in axes]).withColumn("level", F.lit(level))
         out = own if out is None else out.unionByName(own)
         if level + 1 < levels:
             widest = F.greatest(*[F.col(f"w{a}") for a in axes])
-            spread = rows.groupBy("node").agg(*[(F.max(f"c{a}") - F.min(f"c{a}")).alias(f"w{a}") for a in axes])
             axis = F.when(F.col("wx") == widest, "x").when(F.col("wy") == widest, "y").otherwise("z")
-            placed = rows.join(spread.select("node", axis.alias("axis")), "node")
+            # where each node's run of ranks starts: 2 ** level rows
+            start = F.sum("n").over(Window.orderBy("node").rowsBetween(Window.unboundedPreceding, -1))
+            nodes = F.broadcast(bounds.select("node", axis.alias("axis"), F.col("n").alias("_n"), F.coalesce(start, F.lit(0)).alias("_start")))
+            placed = rows.join(nodes, "node")
             at = F.when(F.col("axis") == "x", F.col("cx")).when(F.col("axis") == "y", F.col("cy")).otherwise(F.col("cz"))
-            half = F.ntile(2).over(Window.partitionBy("node").orderBy("at", "id")) - 1
-            rows = materialize(placed.withColumn("at", at).withColumn("node", F.col("node") * 2 + half).drop("axis", "at"), "bvh")
+            ranked = dense_index(placed.withColumn("at", at), "node", "at", "id", name="_rank")
+            second = F.col("_rank") - F.col("_start") >= F.expr("(_n + 1) div 2")
+            rows = ranked.withColumn("node", F.col("node") * 2 + second.cast("long")).drop("axis", "at", "_n", "_start", "_rank")
     return out
 
 
-#: Fixed values of the simulation: strength, softening and the time step.
-PULL, SOFT, STEP = 0.000002, 1e-6, 1.0
+#: Fixed values of the simulation: strength, softening, time step, damping, speed kept at a wall, neighbours that count.
+PULL, SOFT, STEP, DAMPING, BOUNCE, NEIGHBORS = 0.000002, 1e-6, 1.0, 0.9995, 0.8, 96
 
 
-def simulate(particles: DataFrame, cells: int, frames: int) -> DataFrame:
-    """(id, x, y, vx, vy, mass) after ``frames`` steps of attraction among particles of neighbouring cells."""
+def simulate(particles: DataFrame, cells: int, frames: int, neighbors: int = NEIGHBORS) -> DataFrame:
+    """(id, x, y, vx, vy, mass) after ``frames`` steps of attraction among particles of neighbouring cells.
+
+    A particle is drawn by its first ``neighbors`` neighbours, in the order of
+    their cells (row by row) and identifiers; so of each cell no more than these
+    are ever joined, and a crowded cell costs no square.  Speeds are damped, and
+    a particle that crosses a wall comes back with a part of its speed.
+    """
     now = particles
     for _ in range(frames):
         side = lambda c: F.least(F.floor(F.greatest(F.lit(0.0), F.least(F.lit(0.999999999), F.col(c))) * cells), F.lit(cells - 1))
         at = now.withColumn("cx", side("x")).withColumn("cy", side("y"))
-        steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-        asking = at.withColumn("s", F.explode(steps)).select("id", "x", "y", (F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"))
-        other = at.select(F.col("id").alias("oid"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("mass").alias("om"), "cx", "cy")
+        steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for j in (-1, 0, 1) for i in (-1, 0, 1)])
+        asking = at.withColumn("s", F.explode(steps)).select("id", "x", "y", F.col("s.i").alias("i"), F.col("s.j").alias("j"), (F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"))
+        first = F.row_number().over(Window.partitionBy("cx", "cy").orderBy("id"))
+        other = at.withColumn("k", first).where(F.col("k") <= neighbors + 1).select(F.col("id").alias("oid"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("mass").alias("om"), "cx", "cy")
         dx, dy = F.col("ox") - F.col("x"), F.col("oy") - F.col("y")
         near = 1.0 / F.sqrt(dx * dx + dy * dy + SOFT)
         pull = PULL * F.col("om") * near * near
-        forces = asking.join(other, ["cx", "cy"]).where("id != oid").select("id", "oid", (dx * near * pull).alias("fx"), (dy * near * pull).alias("fy"))
-        # terms are added in the order of the neighbours, so a rerun gives the same bits
-        listed = forces.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("oid", "fx", "fy"))).alias("f"))
-        add = lambda c: F.coalesce(F.aggregate("f", F.lit(0.0), lambda acc, v: acc + v[c]), F.lit(0.0))
-        moved = now.join(listed, "id", "left").withColumn("vx", F.col("vx") + add("fx") / F.col("mass") * STEP).withColumn("vy", F.col("vy") + add("fy") / F.col("mass") * STEP)
-        now = materialize(moved.withColumn("x", F.col("x") + F.col("vx") * STEP).withColumn("y", F.col("y") + F.col("vy") * STEP).drop("f"), "frame")
+        met = asking.join(other, ["cx", "cy"]).where("id != oid").select("id", "j", "i", "oid", (dx * near * pull).alias("fx"), (dy * near * pull).alias("fy"))
+        # terms stand and are added in the order of the neighbours
+        turn = F.row_number().over(Window.partitionBy("id").orderBy("j", "i", "oid"))
+        forces = met.withColumn("k", turn).where(F.col("k") <= neighbors).groupBy("id").agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"))
+        moved = now.join(forces, "id", "left")
+        for a in ("x", "y"):
+            moved = moved.withColumn(f"v{a}", (F.col(f"v{a}") + F.coalesce(f"f{a}", F.lit(0.0)) * STEP) * DAMPING).withColumn(f"_{a}", F.col(a) + F.col(f"v{a}") * STEP)
+            out = (F.col(f"_{a}") < 0.0) | (F.col(f"_{a}") > 1.0)
+            moved = moved.withColumn(a, F.when(F.col(f"_{a}") < 0.0, -F.col(f"_{a}")).when(F.col(f"_{a}") > 1.0, 2.0 - F.col(f"_{a}")).otherwise(F.col(f"_{a}"))).withColumn(f"v{a}", F.when(out, -F.col(f"v{a}") * BOUNCE).otherwise(F.col(f"v{a}")))
+        now = materialize(moved.select(*particles.columns), "frame")
     return now

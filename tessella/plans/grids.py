@@ -9,18 +9,19 @@ from tessella.operators import grid
 from tessella.plans.registry import events, query
 
 KERNEL = ((1, 4, 6, 4, 1), (4, 16, 24, 16, 4), (6, 24, 36, 24, 6), (4, 16, 24, 16, 4), (1, 4, 6, 4, 1))
-_GRID = "SELECT (i // 51)::BIGINT AS r, (i % 51)::BIGINT AS c, CASE WHEN i // 51 IN (0, 44) OR i % 51 IN (0, 50) THEN 100.0 ELSE 10.0 + ((17 * (i // 51) + 13 * (i % 51)) % 11) END::DOUBLE AS v FROM range(0, 45 * 51) t(i)"
+_GRID = "SELECT event_id // 50 AS r, event_id % 50 AS c, CASE WHEN event_id // 50 IN (0, (SELECT max(event_id) // 50 FROM events)) OR event_id % 50 IN (0, 49) THEN 100.0 ELSE 10.0 + value END::DOUBLE AS v FROM events"
 
 
-def pilot(spark: SparkSession) -> DataFrame:
-    """45 x 51 cells: a hot border around a patterned inside."""
-    r, c = F.expr("id div 51"), F.col("id") % 51
-    border = r.isin(0, 44) | c.isin(0, 50)
-    return spark.range(45 * 51).select(r.alias("r"), c.alias("c"), F.when(border, 100.0).otherwise(10.0 + (17 * r + 13 * c) % 11).alias("v"))
+def pilot(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    """50 cells a row and a cell an event, a hot border around them; with the number of rows."""
+    rows = events(spark, d).agg(F.max("idx")).first()[0] // 50 + 1
+    r, c = F.expr("idx div 50"), F.col("idx") % 50
+    border = r.isin(0, rows - 1) | c.isin(0, 49)
+    return events(spark, d).select(r.alias("r"), c.alias("c"), F.when(border, 100.0).otherwise(10.0 + F.col("value")).alias("v")), rows
 
 
 def _step(source: str) -> str:
-    return f"""SELECT r, c, CASE WHEN r IN (0, 44) OR c IN (0, 50) THEN v ELSE 0.5 * v + 0.125 * n + 0.125 * s + 0.125 * w + 0.125 * e END AS v FROM (
+    return f"""SELECT r, c, CASE WHEN r IN (0, (SELECT max(event_id) // 50 FROM events)) OR c IN (0, 49) THEN v ELSE 0.5 * v + 0.125 * n + 0.125 * s + 0.125 * w + 0.125 * e END AS v FROM (
       SELECT r, c, v, lag(v) OVER (PARTITION BY c ORDER BY r) AS n, lead(v) OVER (PARTITION BY c ORDER BY r) AS s, lag(v) OVER (PARTITION BY r ORDER BY c) AS w, lead(v) OVER (PARTITION BY r ORDER BY c) AS e FROM {source})"""
 
 
@@ -30,12 +31,14 @@ def _heat(steps: int) -> str:
 
 @query("stencil_step", _heat(1))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return grid.stencil_2d(pilot(spark), 45, 51)
+    cells, rows = pilot(spark, d)
+    return grid.stencil_2d(cells, rows, 50)
 
 
 @query("heat_diffusion", _heat(6))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return grid.heat(pilot(spark), 45, 51, 6)
+    cells, rows = pilot(spark, d)
+    return grid.heat(cells, rows, 50, 6)
 
 
 _IMAGE = "SELECT event_id // 50 AS r, event_id % 50 AS c, CAST(floor(value) AS INT) % 256 AS v FROM events"
