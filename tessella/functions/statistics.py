@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.sequence import dense_index
 from tessella.shared import partitions
 
 #: Limits of a stable profile, and constants of the intervals.
@@ -50,6 +51,35 @@ def lower_rank(values: Column, f: float) -> Column:
     return F.get(F.sort_array(values), F.floor(F.lit(f) * (F.size(values) - 1)).cast("int"))
 
 
+def ranked(df: DataFrame, x: str, *by: str) -> DataFrame:
+    """``df`` with each value's rank ``_k`` from 0 inside its group, and the group's size ``_n``; null values are left out.
+
+    The order comes from a range partitioning of all groups together, so a
+    group of any size, or the only one, lies in as many tasks as it fills.
+    """
+    rows = dense_index(df.where(F.col(x).isNotNull()).select(*by, x), *by, x, name="_place")
+    groups = rows.groupBy(*by).agg(F.min("_place").alias("_first"), F.count("*").alias("_n")) if by else rows.agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
+    if not by:
+        return rows.join(F.broadcast(groups)).withColumn("_k", F.col("_place") - F.col("_first")).drop("_place", "_first")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
+    met = rows.alias("a").join(groups.alias("b"), same)
+    return met.select(*[F.col(f"a.{c}").alias(c) for c in by], F.col(f"a.{x}").alias(x), (F.col("a._place") - F.col("b._first")).alias("_k"), F.col("b._n").alias("_n"))
+
+
+def percentiles(df: DataFrame, x: str, fractions: dict[str, float], *by: str) -> DataFrame:
+    """(by..., one linear percentile a name) by ranks: no task holds a group's values."""
+    rows = ranked(df, x, *by)
+    found = []
+    for name, f in fractions.items():
+        place = F.lit(f) * (F.col("_n") - 1)
+        low, high = F.floor(place), F.ceil(place)
+        below = F.max(F.when(F.col("_k") == low, F.col(x)))
+        above = F.max(F.when(F.col("_k") == high, F.col(x)))
+        weight = F.max(place - low)
+        found.append(F.when(weight == 0, below).otherwise((1.0 - weight) * below + weight * above).alias(name))
+    return rows.groupBy(*by).agg(*found) if by else rows.agg(*found)
+
+
 def trimmed_mean(df: DataFrame, x: str, fraction: float, *by: str, out: str = "trimmed") -> DataFrame:
     """Mean without the floor(n * fraction) least and greatest values; with nothing left, of all values."""
     place = Window.partitionBy(*by).orderBy(x)
@@ -85,21 +115,16 @@ def regional_ratio(df: DataFrame, idx: str, x: str, total: Column, *by: str) ->
     return found.withColumn("regional_ratio", F.when(F.size(positive) >= 2, F.array_max(positive) / F.array_min(positive)).otherwise(F.lit(1.0)))
 
 
-def regret_summary(x: str) -> list[Column]:
-    """Of regrets as fractions."""
-    return [
-        F.avg(x).alias("mean"),
-        F.percentile(x, 0.5).alias("median"),
-        F.percentile(x, 0.95).alias("p95"),
-        F.percentile(x, 0.99).alias("p99"),
-        F.max(x).alias("worst"),
-        (F.count_if(F.col(x) > CATASTROPHIC) / F.count(x)).alias("catastrophic_rate"),
-    ]
+def regret_summary(df: DataFrame, x: str) -> DataFrame:
+    """One row: mean, percentiles, worst and catastrophic rate of regrets as fractions."""
+    rest = df.agg(F.avg(x).alias("mean"), F.max(x).alias("worst"), (F.count_if(F.col(x) > CATASTROPHIC) / F.count(x)).alias("catastrophic_rate"))
+    return rest.join(F.broadcast(percentiles(df, x, {"median": 0.5, "p95": 0.95, "p99": 0.99})))
 
 
-def regret_percent_summary(x: str) -> list[Column]:
-    """Of regrets in percent."""
-    return [F.percentile(x, 0.5).alias("median"), F.percentile(x, 0.9).alias("p90"), F.max(x).alias("worst"), F.count_if(F.col(x) > 10.0).alias("over_10"), F.count_if(F.col(x) > 25.0).alias("over_25")]
+def regret_percent_summary(df: DataFrame, x: str) -> DataFrame:
+    """One row: percentiles, worst and counts of regrets in percent."""
+    rest = df.agg(F.max(x).alias("worst"), F.count_if(F.col(x) > 10.0).alias("over_10"), F.count_if(F.col(x) > 25.0).alias("over_25"))
+    return rest.join(F.broadcast(percentiles(df, x, {"median": 0.5, "p90": 0.9})))
 
 
 def mad(df: DataFrame, x: str, *by: str) -> DataFrame:
@@ -281,3 +306,29 @@ def prefix_samples(total: int, samples: int) -> Sequence[int]:
         return []
     stride = max(1, total // samples)
     return [k * stride for k in range(min(samples, -(-total // stride)))]
+
+
+#: Fixed value: a choice this close to the best counts as right.
+NEAR_OPTIMAL = 0.03
+
+
+def holdout_scores(plans: DataFrame, case: str, plan: str) -> DataFrame:
+    """One row a case of ``plans(case, plan, ms, low, high, predicted)``: the plan of least predicted time against that of least measured time.
+
+    The choice is within tolerance if it takes at most ``NEAR_OPTIMAL`` longer
+    or if the intervals of both overlap.  Errors and regrets are in percent of
+    the best time, 0 where that is 0.
+    """
+    fields = F.struct("ms", plan, "low", "high", "predicted")
+    cases = plans.groupBy(case).agg(F.min(fields).alias("b"), F.min(F.struct("predicted", plan, "ms", "low", "high")).alias("c"))
+    best, chosen = (lambda n: F.col(f"b.{n}")), (lambda n: F.col(f"c.{n}"))
+    percent = lambda x: F.when(best("ms") > 0, x / best("ms") * 100).otherwise(F.lit(0.0))
+    return cases.select(
+        case,
+        best(plan).alias("best"),
+        chosen(plan).alias("chosen"),
+        (best(plan) == chosen(plan)).alias("exact_winner"),
+        ((chosen("ms") <= best("ms") * (1.0 + NEAR_OPTIMAL)) | intervals_overlap(chosen("low"), chosen("high"), best("low"), best("high"))).alias("within_tolerance"),
+        percent(F.abs(chosen("predicted") - best("ms"))).alias("prediction_error_percent"),
+        percent(chosen("ms") - best("ms")).alias("regret_percent"),
+    )

@@ -462,6 +462,42 @@ def guard(scored: DataFrame, key: str = "w", item: str = "plan") -> DataFrame:
     return named.withColumn("allowed", allowed).withColumn("chosen", F.when(F.col("allowed"), F.col("learned")).otherwise(F.col("baseline")))
 
 
+#: What the runtime model sees of a workload, and the backends and schedules that it tells apart.
+CONTEXT_FEATURES = [
+    "ln(1.0 + greatest(0.0, CAST(iterations AS DOUBLE)))",
+    flag("profiled"),
+    "ln(1.0 + greatest(0.0, CASE WHEN profiled THEN median_ms ELSE 0.0 END) * 1000000.0)",
+    "CASE WHEN profiled THEN cv ELSE 0.0 END",
+    "CASE WHEN profiled THEN tail ELSE 0.0 END",
+    "CASE WHEN profiled THEN worthiness ELSE 0.0 END",
+    "CASE WHEN profiled THEN regional ELSE 0.0 END",
+    flag("hinted"),
+    "CAST(arithmetic AS DOUBLE)",
+    "CAST(branchiness AS DOUBLE)",
+    "CAST(randomness AS DOUBLE)",
+    "CAST(vectorization AS DOUBLE)",
+    "CAST(dependency_depth AS DOUBLE)",
+    "ln(1.0 + greatest(0.0, CAST(bytes_touched AS DOUBLE)))",
+    "ln(1.0 + CAST(external_bytes AS DOUBLE))",
+    "CAST(hint_confidence AS DOUBLE)",
+]
+PLAN_FEATURES = ["ln(1.0 + jobs)", "ln(1.0 + chunk)", "ln(1.0 + greatest(1.0, CAST(iterations AS DOUBLE)) / jobs)", "ln(1.0 + greatest(1.0, CAST(iterations AS DOUBLE)) / chunk)"]
+BACKENDS = ("Sequential", "ThreadPool", "oneTBB", "OpenMP")
+SCHEDULES = ("Sequential", "DynamicChunks", "StaticChunks", "Guided")
+
+
+def runtime_features() -> Chain:
+    """Features r0, r1, ... of a workload and a plan (backend, schedule, jobs, chunk): 28 of their own, then each backend's flag times each of the 16 of the workload."""
+    flags = [flag(f"backend = '{b}'") for b in BACKENDS]
+    own = [*CONTEXT_FEATURES, *PLAN_FEATURES, *flags, *(flag(f"schedule = '{s}'") for s in SCHEDULES)]
+    first = len(CONTEXT_FEATURES) + len(PLAN_FEATURES)
+    crossed = [f"r{first + b} * r{k}" for b in range(len(BACKENDS)) for k in range(len(CONTEXT_FEATURES))]
+    return Chain(*[(f"r{k}", x) for k, x in enumerate([*own, *crossed])])
+
+
+RUNTIME_FEATURES = 28 + 64
+
+
 def utility(features: Column, weights: Column) -> Column:
     return F.aggregate(F.zip_with(features, weights, lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
 

@@ -318,19 +318,46 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return ad.curve_speedup(rows, curve, "k").select(F.col("k.w").alias("w"), "engine", "workers", micro("speedup"))
 
 
-_MEANS, _SCALES, _WEIGHTS = [10.0, 50.0, 2.0], [2.0, 5.0, 0.5], [0.1, 0.3, -0.2, 0.05]
+#: A utility model over all features of the runtime: weights of one and of each standardized feature.
+_MEANS = [(k % 5) / 2.0 for k in range(ad.RUNTIME_FEATURES)]
+_SCALES = [1.0 + k % 3 for k in range(ad.RUNTIME_FEATURES)]
+_WEIGHTS = [0.1, *((k * 37 % 23 - 11) / 64.0 for k in range(ad.RUNTIME_FEATURES))]
+
+_CONTEXT = Chain(("profiled", "w % 5 <> 4"), ("median_ms", "baseline_ms / 100.0"), ("worthiness", "(w % 9) / 9.0"))
+#: The analytical plan, the sequential one and the pool's and the other pool's; the last two only where there is something to share.
+_PLANS = Chain(
+    ("backend", "CASE WHEN k = 1 THEN 'Sequential' WHEN k = 3 THEN 'oneTBB' ELSE 'ThreadPool' END"),
+    ("schedule", "CASE WHEN k = 1 THEN 'Sequential' WHEN k = 0 AND w % 2 = 0 THEN 'StaticChunks' ELSE 'DynamicChunks' END"),
+    ("jobs", "CASE WHEN k = 1 THEN 1.0 WHEN k = 0 THEN 1.0 + w % 8 ELSE greatest(2.0, 1.0 + w % 8) END"),
+    ("chunk", "greatest(1.0, floor(CAST(iterations AS DOUBLE) / 64.0))"),
+)
+_RUNTIME = _CONTEXT + _PLANS + ad.runtime_features()
+
+
+def _score_sql() -> str:
+    terms = [f"{_WEIGHTS[0]}::DOUBLE", *(f"({_WEIGHTS[k + 1]}::DOUBLE) * greatest(-4.0::DOUBLE, least(4.0::DOUBLE, (r{k} - {_MEANS[k]}::DOUBLE) / {_SCALES[k]}::DOUBLE))" for k in range(ad.RUNTIME_FEATURES))]
+    return " + ".join(terms)
+
+
+@query("runtime_features", f"SELECT w, k, {', '.join(micro_sql(f'r{i}', f'r{i}') for i in range(ad.RUNTIME_FEATURES))} FROM {_RUNTIME.sql(f'(SELECT * FROM {workloads_sql()} w, range(0, 4) t(k) WHERE k < 2 OR iterations > 1)')}")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _candidates(spark, d).select("w", "k", *[micro(f"r{i}") for i in range(ad.RUNTIME_FEATURES)])
+
+
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    plans = workloads(spark, d).withColumn("k", F.explode(F.expr("sequence(0L, 3L)"))).where("k < 2 or iterations > 1")
+    return _RUNTIME.apply(plans)
 
 
-@query("utility_choose", f"""WITH m AS (SELECT user_id AS w, event_type AS plan, avg(value) AS ms, count(*) AS n, length(event_type) AS l FROM events GROUP BY ALL),
-u AS (SELECT w, plan, 0.1::DOUBLE + 0.3 * least(greatest((n - 10.0::DOUBLE) / 2, -4), 4) - 0.2 * least(greatest((ms - 50.0) / 5, -4), 4) + 0.05 * least(greatest((l - 2.0::DOUBLE) / 0.5, -4), 4) AS u FROM m),
-k AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY u, plan) AS k FROM u) SELECT a.w, a.plan, {micro_sql('a.u', 'utility')}, {micro_sql('1 - exp(-greatest(0, b.u - a.u))', 'confidence')} FROM k a JOIN k b ON a.w = b.w AND a.k = 1 AND b.k = 2""")
+@query("utility_choose", f"""WITH u AS (SELECT w, k, {_score_sql()} AS u FROM {_RUNTIME.sql(f'(SELECT * FROM {workloads_sql()} w, range(0, 4) t(k) WHERE k < 2 OR iterations > 1)')}),
+o AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY u, k) AS place FROM u) SELECT a.w, a.k AS plan, {micro_sql('a.u', 'utility')}, {micro_sql('1 - exp(-greatest(0, b.u - a.u))', 'confidence')} FROM o a JOIN o b ON a.w = b.w AND a.place = 1 AND b.place = 2""")
 def _(spark: SparkSession, d: str) -> DataFrame:
+    """The candidate of least utility score over all features, with the confidence that its margin gives."""
     from pyspark.sql import Window
 
-    plans = events(spark, d).groupBy(F.col("user_id").alias("w"), F.col("event_type").alias("plan")).agg(F.avg("value").alias("ms"), F.count("*").alias("n"))
-    array = lambda xs: F.array(*[F.lit(x) for x in xs])
-    raw = F.array(F.col("n").cast("double"), "ms", F.length("plan").cast("double"))
-    scored = plans.withColumn("u", ad.utility(ad.standardize(raw, array(_MEANS), array(_SCALES)), array(_WEIGHTS)))
-    order = Window.partitionBy("w").orderBy("u", "plan")
-    two = scored.withColumn("next", F.lead("u").over(order)).withColumn("k", F.row_number().over(order)).where("k = 1 and next is not null")
-    return two.select("w", "plan", F.col("u").alias("utility"), ad.margin_confidence(F.col("u"), F.col("next")).alias("confidence")).select("w", "plan", micro("utility"), micro("confidence"))
+    array = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
+    raw = F.array(*[F.col(f"r{i}").cast("double") for i in range(ad.RUNTIME_FEATURES)])
+    scored = _candidates(spark, d).select("w", "k", ad.utility(ad.standardize(raw, array(_MEANS), array(_SCALES)), array(_WEIGHTS)).alias("u"))
+    order = Window.partitionBy("w").orderBy("u", "k")
+    two = scored.withColumn("next", F.lead("u").over(order)).withColumn("place", F.row_number().over(order)).where("place = 1 and next is not null")
+    return two.select("w", F.col("k").alias("plan"), F.col("u").alias("utility"), ad.margin_confidence(F.col("u"), F.col("next")).alias("confidence")).select("w", "plan", micro("utility"), micro("confidence"))

@@ -26,7 +26,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("stats_percentiles", f"SELECT event_type, {micro_sql('quantile_cont(value, 0.5)', 'p50')}, {micro_sql('quantile_cont(value, 0.95)', 'p95')}, {micro_sql('quantile_cont(value, 0.99)', 'p99')} FROM events GROUP BY event_type")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    found = events(spark, d).groupBy("event_type").agg(*[st.percentile_linear("value", f).alias(n) for f, n in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"))])
+    found = st.percentiles(events(spark, d), "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, "event_type")
     return found.select("event_type", micro("p50"), micro("p95"), micro("p99"))
 
 
@@ -64,13 +64,13 @@ def regrets(spark: SparkSession, d: str) -> DataFrame:
 
 @query("regret_summary", f"SELECT {micro_sql('avg(regret)', 'mean')}, {micro_sql('quantile_cont(regret, 0.5)', 'median')}, {micro_sql('quantile_cont(regret, 0.95)', 'p95')}, {micro_sql('quantile_cont(regret, 0.99)', 'p99')}, {micro_sql('max(regret)', 'worst')}, {micro_sql('count(*) FILTER (WHERE regret > 0.2) / count(*)', 'catastrophic_rate')} FROM ({_BEST})")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    found = regrets(spark, d).agg(*st.regret_summary("regret"))
+    found = st.regret_summary(regrets(spark, d), "regret")
     return found.select(*[micro(c) for c in found.columns])
 
 
 @query("regret_percent", f"SELECT {micro_sql('quantile_cont(r, 0.5)', 'median')}, {micro_sql('quantile_cont(r, 0.9)', 'p90')}, {micro_sql('max(r)', 'worst')}, count(*) FILTER (WHERE r > 10) AS over_10, count(*) FILTER (WHERE r > 25) AS over_25 FROM (SELECT regret * 100 AS r FROM ({_BEST}))")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    found = regrets(spark, d).select((F.col("regret") * 100).alias("r")).agg(*st.regret_percent_summary("r"))
+    found = st.regret_percent_summary(regrets(spark, d).select((F.col("regret") * 100).alias("r")), "r")
     return found.select(micro("median"), micro("p90"), micro("worst"), "over_10", "over_25")
 
 
@@ -223,12 +223,16 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(F.broadcast(places), "idx").select("idx", "value")
 
 
-@query("holdout_scoring", f"""WITH m AS ({_REGRET}), s AS (SELECT user_id, min_by(event_type, (ms, event_type)) AS best, min(ms) AS best_ms, min_by(event_type, event_type) AS chosen FROM m GROUP BY user_id),
-c AS (SELECT s.*, m.ms AS chosen_ms FROM s JOIN m ON m.user_id = s.user_id AND m.event_type = s.chosen)
-SELECT user_id, best, chosen, best = chosen AS exact_winner, chosen_ms <= best_ms * 1.03 AS within_tolerance, {micro_sql('(chosen_ms - best_ms) / best_ms * 100', 'regret_percent')} FROM c""")
+_TIMED = """SELECT user_id, event_type, avg(value) AS ms, avg(value) - 1.96::DOUBLE * coalesce(stddev_samp(value), 0) / sqrt(count(*)) AS low, avg(value) + 1.96::DOUBLE * coalesce(stddev_samp(value), 0) / sqrt(count(*)) AS high, length(event_type) * 8.0::DOUBLE AS predicted FROM events GROUP BY ALL"""
+
+
+@query("holdout_scoring", f"""WITH m AS ({_TIMED}), b AS (SELECT user_id, unnest(min_by(m, (ms, event_type))) FROM m GROUP BY user_id), c AS (SELECT user_id, unnest(min_by(m, (predicted, event_type))) FROM m GROUP BY user_id)
+SELECT b.user_id, b.event_type AS best, c.event_type AS chosen, b.event_type = c.event_type AS exact_winner, c.ms <= b.ms * 1.03 OR (c.low <= b.high AND b.low <= c.high) AS within_tolerance,
+  {micro_sql('CASE WHEN b.ms > 0 THEN abs(c.predicted - b.ms) / b.ms * 100 ELSE 0 END', 'prediction_error_percent')}, {micro_sql('CASE WHEN b.ms > 0 THEN (c.ms - b.ms) / b.ms * 100 ELSE 0 END', 'regret_percent')} FROM b JOIN c USING (user_id)""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    means = events(spark, d).groupBy("user_id", "event_type").agg(F.avg("value").alias("ms"))
-    cases = means.groupBy("user_id").agg(F.min_by("event_type", F.struct("ms", "event_type")).alias("best"), F.min("ms").alias("best_ms"), F.min(F.struct("event_type", "ms")).alias("c"))
-    chosen, ms = F.col("c.event_type"), F.col("c.ms")
-    regret = (ms - F.col("best_ms")) / F.col("best_ms") * 100
-    return cases.select("user_id", "best", chosen.alias("chosen"), (F.col("best") == chosen).alias("exact_winner"), (ms <= F.col("best_ms") * 1.03).alias("within_tolerance"), regret.alias("regret_percent")).withColumn("regret_percent", micro("regret_percent"))
+    """The plan with the least predicted time against the measured best one of each workload."""
+    half = 1.96 * F.coalesce(F.stddev_samp("value"), F.lit(0.0)) / F.sqrt(F.count("*"))
+    means = events(spark, d).groupBy("user_id", "event_type").agg(F.avg("value").alias("ms"), (F.avg("value") - half).alias("low"), (F.avg("value") + half).alias("high"))
+    means = means.withColumn("predicted", F.length("event_type") * 8.0)
+    found = st.holdout_scores(means, "user_id", "event_type")
+    return found.select("user_id", "best", "chosen", "exact_winner", "within_tolerance", micro("prediction_error_percent"), micro("regret_percent"))

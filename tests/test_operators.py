@@ -87,7 +87,7 @@ def test_percentile_rules_differ(spark):
 
 def test_regret_fixture(spark):
     rows = spark.createDataFrame([(x,) for x in (0.0, 0.0, 0.10, 0.50)], "r double")
-    got = rows.agg(*st.regret_summary("r")).first()
+    got = st.regret_summary(rows, "r").first()
     assert (got["mean"], got["median"], got["worst"], got["catastrophic_rate"]) == (pytest.approx(0.15), pytest.approx(0.05), 0.5, 0.25)
 
 
