@@ -129,8 +129,13 @@ def regret_percent_summary(df: DataFrame, x: str) -> DataFrame:
 
 def mad(df: DataFrame, x: str, *by: str) -> DataFrame:
     """(by..., n, median, mad, stddev, mean) with linear percentiles."""
+    if not by:  # one group of all values: by ranks, so that no task holds them
+        middle = percentiles(df, x, {"median": 0.5})
+        apart = df.join(F.broadcast(middle)).withColumn("_away", F.abs(F.col(x) - F.col("median")))
+        rest = apart.groupBy("median").agg(F.count(x).alias("n"), sample_stddev(x).alias("stddev"), F.avg(x).alias("mean"))
+        return rest.join(F.broadcast(percentiles(apart, "_away", {"mad": 0.5}))).select("median", "n", "mad", "stddev", "mean")
     middle = df.groupBy(*by).agg(F.percentile(x, 0.5).alias("median"))
-    joined = df.join(middle, list(by)) if by else df.join(F.broadcast(middle))
+    joined = df.join(middle, list(by))
     away = F.abs(F.col(x) - F.col("median"))
     return joined.groupBy(*by, "median").agg(F.count(x).alias("n"), F.percentile(away, 0.5).alias("mad"), sample_stddev(x).alias("stddev"), F.avg(x).alias("mean"))
 

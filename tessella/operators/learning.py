@@ -1,14 +1,16 @@
 """Ridge regression and pairwise ranking, by sums over the rows.
 
-The only things that come to the driver are matrices whose size is the number
-of features, and the ranker's distinct differences where they are few.
+Models of groups are solved in tasks and joined to the rows that they predict.
+The only things that come to the driver are the models that are asked for there,
+and the ranker's distinct differences where they are few.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,52 +23,58 @@ NEAR_TIE, MOST_WEIGHT, RATE, L2, NORM, COOL = 0.005, 3.0, 0.03, 1e-4, 5.0, 0.99
 GATHERED = 100_000
 
 
-def ridge(df: DataFrame, features: Sequence[str], target: str, by: Sequence[str] = (), weight: Column | None = None, ridge_lambda: float = LAMBDA) -> dict[tuple, dict]:
-    """Coefficients and residual variance for each group, from weighted normal equations.
+def ridge_table(df: DataFrame, features: Sequence[str], target: str, by: Sequence[str] = (), weight: Column | None = None, ridge_lambda: float = LAMBDA) -> DataFrame:
+    """(by..., beta, variance, n): coefficients and residual variance for each group, from weighted normal equations.
 
+    Groups are summed and solved where they are; nothing comes to the driver.
     ``weight`` can hold a decay, so that the result is that of updates one by one.
     """
-    w = weight if weight is not None else F.lit(1.0)
-    rows = df.withColumn("_w", w)
     n = len(features)
+    rows = df.withColumn("_w", weight if weight is not None else F.lit(1.0))
     cells = [(i, j) for i in range(n) for j in range(i, n)]
-    sums = [F.sum(F.col("_w") * F.col(features[i]) * F.col(features[j])).alias(f"a{i}_{j}") for i, j in cells]
-    sums += [F.sum(F.col("_w") * F.col(features[i]) * F.col(target)).alias(f"b{i}") for i in range(n)]
-    sums += [F.sum(F.col("_w") * F.col(target) * F.col(target)).alias("yy"), F.sum("_w").alias("n")]
-    out = {}
-    for row in rows.groupBy(*by).agg(*sums).collect():  # one row a group
-        a = np.zeros((n, n))
-        for i, j in cells:
-            a[i, j] = a[j, i] = row[f"a{i}_{j}"] or 0.0
-        b = np.array([row[f"b{i}"] or 0.0 for i in range(n)])
-        beta = np.linalg.solve(a + ridge_lambda * np.eye(n), b)
-        spread = max(0.0, (row["yy"] or 0.0) - 2 * float(beta @ b) + float(beta @ a @ beta))
-        out[tuple(row[k] for k in by)] = {"beta": beta.tolist(), "variance": spread / max(row["n"] or 0.0, 1e-12), "n": row["n"] or 0.0, "gram": a}
-    return out
-
-
-def predict(features: Sequence[str], models: dict[tuple, dict], by: Sequence[str] = ()) -> Column:
-    """The fitted value; groups without a model give 0."""
-    value = lambda m: sum((F.lit(float(c)) * F.col(f) for c, f in zip(m["beta"], features, strict=True)), F.lit(0.0))
-    if not by:
-        return value(models[()]) if models else F.lit(0.0)
-    out = F.lit(0.0)
-    for key, m in models.items():
-        same = F.lit(True)
-        for k, v in zip(by, key, strict=True):
-            same = same & F.col(k).eqNullSafe(F.lit(v))
-        out = F.when(same, value(m)).otherwise(out)
-    return out
+    total = lambda x: F.coalesce(F.sum(F.col("_w") * x), F.lit(0.0)).cast("double")
+    gram = F.array(*[total(F.col(features[i]) * F.col(features[j])) for i, j in cells]).alias("_a")
+    right = F.array(*[total(F.col(f) * F.col(target)) for f in features]).alias("_b")
+    sums = rows.groupBy(*by).agg(gram, right, total(F.col(target) * F.col(target)).alias("_yy"), F.coalesce(F.sum("_w"), F.lit(0.0)).cast("double").alias("n"))
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            betas, variances = [], []
+            for cell, b, yy, count in zip(*(batch.column(c).to_pylist() for c in ("_a", "_b", "_yy", "n")), strict=True):
+                a = np.zeros((n, n))
+                for (i, j), v in zip(cells, cell, strict=True):
+                    a[i, j] = a[j, i] = v
+                beta = np.linalg.solve(a + ridge_lambda * np.eye(n), np.array(b))
+                betas.append(beta.tolist())
+                variances.append(max(0.0, yy - 2 * float(beta @ b) + float(beta @ a @ beta)) / max(count, 1e-12))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in by), pa.array(betas, pa.list_(pa.float64())), pa.array(variances, pa.float64()), batch.column("n")], [*by, "beta", "variance", "n"])
+
+    kinds = ", ".join([*(f"`{c}` {sums.schema[c].dataType.simpleString()}" for c in by), "beta array<double>, variance double, n double"])
+    return sums.mapInArrow(solve, kinds)
+
+
+def ridge(df: DataFrame, features: Sequence[str], target: str, by: Sequence[str] = (), weight: Column | None = None, ridge_lambda: float = LAMBDA) -> dict[tuple, dict]:
+    """``ridge_table`` as a dictionary, for a few groups whose models are to be saved or looked at."""
+    rows = ridge_table(df, features, target, by, weight, ridge_lambda).collect()
+    return {tuple(r[k] for k in by): {"beta": list(r["beta"]), "variance": r["variance"], "n": r["n"]} for r in rows}
+
+
+def with_prediction(df: DataFrame, features: Sequence[str], models: DataFrame, by: Sequence[str], name: str) -> DataFrame:
+    """``df`` with the fitted value of its group's model, by a join; groups without a model give 0."""
+    found = models.select(*[F.col(k).alias(f"_m_{k}") for k in by], F.col("beta").alias("_beta"))
+    same = [F.col(k).eqNullSafe(F.col(f"_m_{k}")) for k in by]
+    met = df.join(found, same, "left") if by else df.join(F.broadcast(found))  # without groups there is one model
+    value = sum((F.get("_beta", i) * F.col(f) for i, f in enumerate(features)), F.lit(0.0))
+    return met.withColumn(name, F.coalesce(value, F.lit(0.0))).drop("_beta", *[f"_m_{k}" for k in by])
 
 
 def hierarchical(df: DataFrame, features: Sequence[str], target: str, backend: str, family: str) -> DataFrame:
     """A shared fit, then a backend's on what is left, then one of family and backend; adds each part and their sum."""
-    shared = ridge(df, features, target)
-    rows = df.withColumn("shared", predict(features, shared)).withColumn("_left", F.col(target) - F.col("shared"))
-    second = ridge(rows, features, "_left", [backend])
-    rows = rows.withColumn("backend_part", predict(features, second, [backend])).withColumn("_left", F.col("_left") - F.col("backend_part"))
-    third = ridge(rows, features, "_left", [family, backend])
-    rows = rows.withColumn("family_part", predict(features, third, [family, backend]))
+    rows = df.withColumn("_left", F.col(target))
+    parts = {"shared": [], "backend_part": [backend], "family_part": [family, backend]}
+    for name, by in parts.items():
+        models = materialize(ridge_table(rows, features, "_left", by), "ridge")
+        rows = with_prediction(rows, features, models, by, name).withColumn("_left", F.col("_left") - F.col(name))
     return rows.withColumn("fitted", F.col("shared") + F.col("backend_part") + F.col("family_part")).drop("_left")
 
 

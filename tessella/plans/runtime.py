@@ -103,9 +103,8 @@ def _training(spark: SparkSession, d: str) -> DataFrame:
 @query("ridge_fit", f"""WITH t AS (SELECT event_type, (user_id % 10) / 10.0::DOUBLE AS f1, ln(value / 40) AS y FROM events WHERE value > 0),
 s AS (SELECT event_type, count(*) + 2.0::DOUBLE AS a, sum(f1) AS b, sum(f1 * f1) + 2 AS c, sum(y) AS u, sum(f1 * y) AS v FROM t GROUP BY event_type) SELECT event_type, {micro_sql('(c * u - b * v) / (a * c - b * b)', 'intercept')}, {micro_sql('(a * v - b * u) / (a * c - b * b)', 'slope')} FROM s""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    models = learning.ridge(_training(spark, d), ["f0", "f1"], "y", ["event_type"])
-    rows = [(k[0], m["beta"][0], m["beta"][1]) for k, m in models.items()]
-    return spark.createDataFrame(rows, "event_type string, intercept double, slope double").select("event_type", micro("intercept"), micro("slope"))
+    models = learning.ridge_table(_training(spark, d), ["f0", "f1"], "y", ["event_type"])
+    return models.select("event_type", F.get("beta", 0).alias("intercept"), F.get("beta", 1).alias("slope")).select("event_type", micro("intercept"), micro("slope"))
 
 
 @query("hierarchical_fit")
