@@ -10,14 +10,39 @@ from tessella.plans.statistics import micro, micro_sql
 from tessella.streaming import machines, runner
 
 
-@query("dispatch_state")
+#: One event of each user after the other: what the machines fold, as recursion.
+_TURNS = "SELECT user_id, event_id AS idx, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events"
+_FASTER = "CASE WHEN {q} = 0 OR ({a} > 0 AND {b} / {a} >= 1.12) THEN 'scheduled' ELSE 'sequential' END"
+_AGAIN = "(r.uses + 1 >= 64 AND (r.stable = 'sequential' OR r.a <= 5))"
+
+
+@query("dispatch_state", f"""WITH RECURSIVE e AS ({_TURNS}),
+r AS (SELECT DISTINCT user_id, 0::BIGINT AS k, -1::BIGINT AS idx, '' AS route, false AS probe, '' AS stable, 0.0::DOUBLE AS elapsed_ms, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0 AS s, 0 AS q, 0 AS uses FROM events
+  UNION ALL SELECT user_id, k, idx, route, probe, CASE WHEN probe AND s > 0 AND q > 0 THEN {_FASTER.format(a='a', b='b', q='q')} ELSE kept END, ms, a, b, s, q, CASE WHEN probe AND s > 0 AND q > 0 THEN 0 ELSE uses END FROM (
+    SELECT user_id, k, idx, route, probe, kept, uses, ms, CASE WHEN route <> 'scheduled' THEN a0 WHEN s0 = 0 THEN ms ELSE a0 * 0.75::DOUBLE + ms * 0.25::DOUBLE END AS a, CASE WHEN route = 'scheduled' THEN b0 WHEN q0 = 0 THEN ms ELSE b0 * 0.75::DOUBLE + ms * 0.25::DOUBLE END AS b,
+      s0 + CASE WHEN route = 'scheduled' THEN 1 ELSE 0 END AS s, q0 + CASE WHEN route = 'scheduled' THEN 0 ELSE 1 END AS q FROM (
+      SELECT *, CASE WHEN route = 'scheduled' THEN value / 100.0::DOUBLE ELSE value / 100.0::DOUBLE * (0.7::DOUBLE + (user_id % 7) / 10.0::DOUBLE) END AS ms FROM (
+        SELECT e.user_id, e.k, e.idx, e.value, r.a AS a0, r.b AS b0, r.s AS s0, r.q AS q0,
+          CASE WHEN r.stable = '' THEN CASE WHEN r.s = 0 THEN 'scheduled' WHEN r.q = 0 AND r.a <= 5 THEN 'sequential' ELSE {_FASTER.format(a='r.a', b='r.b', q='r.q')} END WHEN {_AGAIN} THEN CASE WHEN r.stable = 'sequential' THEN 'scheduled' ELSE 'sequential' END ELSE r.stable END AS route,
+          CASE WHEN r.stable = '' THEN r.s = 0 OR (r.q = 0 AND r.a <= 5) ELSE {_AGAIN} END AS probe,
+          CASE WHEN r.stable <> '' THEN r.stable WHEN r.s = 0 OR (r.q = 0 AND r.a <= 5) THEN '' ELSE {_FASTER.format(a='r.a', b='r.b', q='r.q')} END AS kept,
+          CASE WHEN r.stable = '' OR r.uses + 1 >= 64 THEN 0 ELSE r.uses + 1 END AS uses
+        FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1))))
+SELECT user_id, idx, route, probe, stable, elapsed_ms FROM r WHERE k > 0""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     rows = events(spark, d).select("user_id", "idx", "value")
     event = lambda e: {"scheduled_ms": e["value"] / 100, "sequential_ms": e["value"] / 100 * (0.7 + (e["user_id"] % 7) / 10)}
     return runner.fold(rows, "user_id", "idx", machines.HotDispatch, event, "route string, probe boolean, stable string, elapsed_ms double")
 
 
-@query("profile_cache_state")
+_FLIPS = "((r.worth >= 1.1) <> (e.value / 20.0::DOUBLE >= 1.1))"
+
+
+@query("profile_cache_state", f"""WITH RECURSIVE e AS ({_TURNS}),
+r AS (SELECT user_id, k, idx, value AS cost, value / 20.0::DOUBLE AS worth, 1::BIGINT AS observations, 1::BIGINT AS generation, false AS stale FROM e WHERE k = 1
+  UNION ALL SELECT e.user_id, e.k, e.idx, CASE WHEN {_FLIPS} THEN e.value ELSE r.cost * 0.75::DOUBLE + e.value * 0.25::DOUBLE END, e.value / 20.0::DOUBLE, CASE WHEN {_FLIPS} THEN 1 ELSE r.observations + 1 END, r.generation + 1, (e.idx - r.idx) * 2000 >= 300000
+  FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
+SELECT user_id, idx, cost, observations, generation, stale, CASE WHEN observations >= 3 THEN 'High' ELSE 'Medium' END AS confidence FROM r""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     rows = events(spark, d).select("user_id", "idx", "value")
     event = lambda e: {"cost": e["value"], "worth": e["value"] / 20, "ms": e["idx"] * 2000}
@@ -45,7 +70,23 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return last.select("user_id", "winner", micro("pool_ms"), micro("tbb_ms"))
 
 
-@query("exploration")
+def _mixed_sql(x: str, shift: int, factor: int) -> str:
+    return f"(xor({x}, {x} >> {shift})::UHUGEINT * {factor}::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT"
+
+
+#: The hashed number of each user's k-th turn, and the rule by which plan b is near enough.
+_UNIT = f"""SELECT user_id, k, (xor(z, z >> 31) >> 11)::DOUBLE / 9007199254740992.0::DOUBLE AS unit FROM (SELECT user_id, k, {_mixed_sql('y', 27, 0x94D049BB133111EB)} AS z FROM (
+  SELECT user_id, k, {_mixed_sql('x', 30, 0xBF58476D1CE4E5B9)} AS y FROM (SELECT user_id, k, xor(user_id::UBIGINT, (k::UHUGEINT * {0x9E3779B97F4A7C15}::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT) AS x FROM e)))"""
+_NEARBY = "(r.pause = 0 AND 1.02::DOUBLE + (e.user_id % 5) / 50.0::DOUBLE <= 1.08::DOUBLE)"
+_TRIED = f"({_NEARBY} AND h.unit < 0.05)"
+_HARM = f"({_TRIED} AND (e.value / 50.0::DOUBLE - 1) * 100 > 10)"
+
+
+@query("exploration", f"""WITH RECURSIVE e AS ({_TURNS}), h AS ({_UNIT}),
+r AS (SELECT DISTINCT user_id, 0::BIGINT AS k, -1::BIGINT AS idx, 'a' AS plan, false AS explored, 0::BIGINT AS pause, 0::BIGINT AS harmful, 0::BIGINT AS turns FROM events
+  UNION ALL SELECT e.user_id, e.k, e.idx, CASE WHEN {_TRIED} THEN 'b' ELSE 'a' END, {_TRIED}, CASE WHEN {_HARM} THEN 32 WHEN r.pause > 0 THEN r.pause - 1 ELSE 0 END, r.harmful + CASE WHEN {_HARM} THEN 1 ELSE 0 END, r.turns + CASE WHEN {_NEARBY} THEN 1 ELSE 0 END
+  FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1 JOIN h ON h.user_id = r.user_id AND h.k = r.turns + 1)
+SELECT user_id, idx, plan, explored, pause, harmful FROM r WHERE k > 0""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     rows = events(spark, d).select("user_id", "idx", "value")
 
