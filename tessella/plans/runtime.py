@@ -12,7 +12,7 @@ from tessella.operators.reduce import Policy
 from tessella.plans.registry import events, query
 from tessella.plans.statistics import micro, micro_sql
 from tessella.shared import scratch
-from tessella.sources import profiles
+from tessella.sources import experience, profiles
 from tessella.streaming import runner
 
 
@@ -95,6 +95,21 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+@query("experience_text", f"""SELECT user_id AS fingerprint, length(event_type)::INT AS engine, ascii(event_type)::INT AS strategy, count(*) AS samples, min(value) AS best, {micro_sql('avg(value)', 'mean')}, 0.5::DOUBLE AS success FROM events GROUP BY user_id, event_type""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Records written as text and read again; what they do not have comes back with its default."""
+    value = F.col("value")
+    spread = F.coalesce(F.stddev_samp("value"), F.lit(0.0))
+    records = events(spark, d).groupBy(F.col("user_id").alias("fingerprint"), F.length("event_type").alias("engine"), F.ascii("event_type").alias("strategy")).agg(
+        F.lit(4).alias("job_count"), F.min(value).alias("best_elapsed_ms"), F.avg(value).alias("average_elapsed_ms"), F.max_by(value, "idx").alias("last_elapsed_ms"),
+        (spread * spread).alias("variance_ms"), spread.alias("standard_deviation_ms"), F.count("*").alias("sample_count"), F.lit(0.5).alias("confidence"),
+    )
+    path = scratch(spark, "experience-text")
+    experience.write_experience(records, path)
+    found = experience.read_experience(spark, path)
+    return found.select(F.col("fingerprint").cast("long").alias("fingerprint"), "engine", "strategy", F.col("sample_count").alias("samples"), F.col("best_elapsed_ms").alias("best"), F.col("average_elapsed_ms").alias("mean"), F.col("decayed_success_rate").alias("success")).withColumn("mean", micro("mean"))
+
+
 def _training(spark: SparkSession, d: str) -> DataFrame:
     rows = events(spark, d).where("value > 0")
     return rows.select("event_type", (F.col("user_id") % 3).alias("family"), F.lit(1.0).alias("f0"), ((F.col("user_id") % 10) / 10).alias("f1"), ((F.col("idx") % 24) / 24).alias("f2"), F.log(F.col("value") / 40).alias("y"))
