@@ -459,7 +459,8 @@ def similarity_classes(docs: DataFrame, words: int = WORDS, threshold: Fraction
             yield shared_parts(held)
         textkit.release()
 
-    blobs = rows.join(chosen.select("rep.doc_id", "rep.dup"), ["doc_id", "dup"], "left_semi").mapInArrow(parts, BLOBS)
+    # both joins of whole texts sort and merge at every size: neither side's size is bounded
+    blobs = rows.join(chosen.select("rep.doc_id", "rep.dup").hint("merge"), ["doc_id", "dup"], "left_semi").mapInArrow(parts, BLOBS)
     shared = common.materialize(blobs.repartition(n_parts, "shard").sortWithinPartitions("shard").mapInArrow(count, SHARED), "shared-parts")
     # where no identifier comes twice, it alone is the node of the graph: a number, not a pair
     alone = not every.where("dup != 0").limit(1).count()
@@ -482,7 +483,7 @@ def similarity_classes(docs: DataFrame, words: int = WORDS, threshold: Fraction
         """(a, b) of the links found in the tasks that ``asked(node, bucket, side, base)`` lists."""
         doc, dup = parts_of("node")
         listed = asked.select(doc.alias("doc_id"), dup.alias("dup"), F.struct("bucket", "side", "base").alias("task")).groupBy("doc_id", "dup").agg(F.collect_list("task").alias("tasks"))
-        found = rows.join(listed, ["doc_id", "dup"]).select("doc_id", "dup", "text", "tasks").mapInArrow(members, MEMBERS).repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(join, LINKS)
+        found = rows.join(listed.hint("merge"), ["doc_id", "dup"]).select("doc_id", "dup", "text", "tasks").mapInArrow(members, MEMBERS).repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(join, LINKS)
         return found.select(node("a_doc", "a_dup").alias("a"), node("b_doc", "b_dup").alias("b"))
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
