@@ -171,6 +171,12 @@ def paired_log_ratio(df: DataFrame, a: str, b: str, *by: str, z: float = Z90) ->
     return wide.select(*by, "n", F.exp("median").alias("ratio"), F.exp(F.col("median") - half).alias("low"), F.exp(F.col("median") + half).alias("high"))
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """a / b of doubles as IEEE has it: by zero it is infinite or NaN, and no error."""
+    infinite = F.when((a == 0) | F.isnan(a), F.lit(float("nan"))).otherwise(F.signum(a) * float("inf"))
+    return F.when(b == 0, infinite).otherwise(F.try_divide(a, b))
+
+
 def gate(low: Column, high: Column, limit: float = 1.05) -> Column:
     """PASS when all of the interval lies below the limit, FAIL when all of it lies above."""
     return F.when(high <= limit, "PASS").when(low > limit, "FAIL").otherwise("INCONCLUSIVE")

@@ -131,9 +131,10 @@ SELECT user_id, count(*) AS pairs, """ + micro_sql("quantile_cont(x, 0.5)", "rat
 def _(spark: SparkSession, d: str) -> DataFrame:
     middle = lambda kind: F.percentile(F.when(F.col("event_type") == kind, F.col("value")), 0.5)
     pairs = events(spark, d).groupBy("user_id", F.expr("idx div 100").alias("rep")).agg(middle("click").alias("a"), middle("view").alias("b"))
-    ratios = pairs.where("a is not null and b is not null").withColumn("x", F.col("a") / F.col("b"))
+    ratios = pairs.where("a is not null and b is not null").withColumn("x", st.ratio(F.col("a"), F.col("b")))
     found = ratios.groupBy("user_id").agg(F.count("*").alias("pairs"), F.percentile("x", 0.5).alias("ratio"), F.percentile("x", 0.025).alias("low"), F.percentile("x", 0.975).alias("high"))
-    return found.select("user_id", "pairs", micro("ratio"), st.gate(F.col("low"), F.col("high")).alias("gate"))
+    finite = found.withColumn("ratio", F.when(F.abs("ratio") < float("inf"), F.col("ratio")))  # others have no whole millionths
+    return finite.select("user_id", "pairs", micro("ratio"), st.gate(F.col("low"), F.col("high")).alias("gate"))
 
 
 @query("bootstrap_ci")
