@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.operators.sequence import dense_index
 from tessella.shared import partitions
@@ -250,8 +251,35 @@ def welford(x: str) -> list[Column]:
 
 
 def running_moments(df: DataFrame, key: str, order: str, x: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("n", F.count(x).over(w)).withColumn("mean", F.avg(x).over(w)).withColumn("var_pop", F.var_pop(x).over(w))
+    """``df`` with n, mean and population variance of a key's values up to each row, by Welford's recurrence; nulls are not counted.
+
+    Spark's own ``var_pop`` multiplies other differences, and rounds otherwise
+    where a variance stands at the edge of two results.
+    """
+    rows = df.repartition(key).sortWithinPartitions(key, order)
+    kinds = T.StructType([*rows.schema.fields, T.StructField("n", T.LongType()), T.StructField("mean", T.DoubleType()), T.StructField("var_pop", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, total, mean, squares = None, 0, 0.0, 0.0, 0.0
+        for batch in batches:
+            counts, means, variances = [], [], []
+            for own, v in zip(batch.column(key).to_pylist(), batch.column(x).to_pylist(), strict=True):
+                if own != held:
+                    held, n, total, mean, squares = own, 0, 0.0, 0.0, 0.0
+                if v is not None:
+                    v = float(v)
+                    n += 1
+                    total += v
+                    before = mean
+                    mean += (v - before) / n
+                    squares += (v - before) * (v - mean)
+                counts.append(n)
+                means.append(total / n if n else None)
+                variances.append((squares / n if n > 1 else 0.0) if n else None)
+            added = {"n": pa.array(counts, pa.int64()), "mean": pa.array(means, pa.float64()), "var_pop": pa.array(variances, pa.float64())}
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added.values()], names=[*batch.schema.names, *added])
+
+    return rows.mapInArrow(run, kinds)
 
 
 def ordered(df: DataFrame, key: str, order: str, x: str) -> DataFrame:

@@ -154,7 +154,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("running_moments", f"SELECT event_id AS idx, count(*) OVER w AS n, {micro_sql('avg(value) OVER w', 'mean')}, CAST(floor((var_pop(value) OVER w) * 100 + 0.4) AS BIGINT) AS var_pop FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return st.running_moments(events(spark, d), "user_id", "idx", "value").select("idx", "n", micro("mean"), F.floor(F.col("var_pop") * 100 + 0.4).cast("long").alias("var_pop"))
+    return st.running_moments(events(spark, d).select("user_id", "idx", "value"), "user_id", "idx", "value").select("idx", "n", micro("mean"), F.floor(F.col("var_pop") * 100 + 0.4).cast("long").alias("var_pop"))
 
 
 _LISTS = "SELECT user_id, list(value ORDER BY event_id) AS xs FROM events GROUP BY user_id"

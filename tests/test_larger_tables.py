@@ -42,3 +42,16 @@ def test_repetitions_with_a_median_of_zero(spark, tmp_path):
 def test_ratio(spark, a, b, want):
     found = spark.createDataFrame([(a, b)], "a double, b double").select(st.ratio(F.col("a"), F.col("b"))).first()[0]
     assert found is want is None or repr(found) == repr(want)
+
+
+def test_running_variance_at_the_edge_of_two_results(spark, tmp_path):
+    """The variance of these eleven values is a whole number of hundredths less 0.4, where the last bit decides."""
+    values = [45.95, 56.4, 77.2, 19.98, 4.78, 4.77, 104.63, 35.24, 112.87, 41.22, 10.88]
+    d = made_events(tmp_path, [(k, 7, "view", v) for k, v in enumerate(values)] + [(50, 8, "view", 3.0), (51, 8, "view", 5.0)])
+    assert by_spark(spark, d, "running_moments", "idx", "n", "mean", "var_pop") == by_sql(d, "running_moments")
+
+
+def test_running_moments_count_no_nulls(spark):
+    rows = spark.createDataFrame([(None, 1, 4.0), (None, 2, 6.0), (1, 1, None), (1, 2, 3.0)], "k long, o long, v double")
+    found = {(r["k"], r["o"]): (r["n"], r["mean"], r["var_pop"]) for r in st.running_moments(rows, "k", "o", "v").collect()}
+    assert found == {(None, 1): (1, 4.0, 0.0), (None, 2): (2, 5.0, 1.0), (1, 1): (0, None, None), (1, 2): (1, 3.0, 0.0)}
