@@ -2,28 +2,74 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.shared import materialize
+
+
+#: Neighbours that a point of average surroundings has within the reach of the finest cells, for each one that is kept.
+CROWD = 2.0
+
 
 def grid_neighbors(df: DataFrame, cells: int, radius: float, cap: int | None = None, key: str = "id") -> DataFrame:
     """(id, other, d2): pairs of points in the unit square within ``radius``, found in the 3 x 3 cells around each.
 
     An equi-join on the cell; with a ``cap`` the nearest ones are kept, ties by
-    key.  ``radius`` must not exceed a cell's side.
+    key.  ``radius`` must not exceed a cell's side.  Of many points with a cap,
+    finer cells are asked first: who has ``cap`` neighbours within their reach
+    has all of its nearest there, and only the others ask coarser cells.
     """
     if radius > 1.0 / cells:
         raise ValueError("the radius reaches beyond the neighbouring cells")
+    points = df.select(F.col(key).alias("id"), "x", "y")
+    asking, out = points, None
+    fine = math.isqrt(int(points.count() * math.pi / (CROWD * cap))) if cap else 0
+    while fine >= 2 * cells:
+        tried = materialize(_nearest_in_lists(asking, points, fine, min(radius, 0.999 / fine), cap), "near")
+        enough = F.size("best") >= cap
+        own = tried.where(enough).select("id", F.explode("best").alias("b")).select("id", F.col("b.other").alias("other"), F.col("b.d2").alias("d2"))
+        out = own if out is None else out.unionByName(own)
+        asking, fine = tried.where(~enough).select("id", "x", "y"), fine // 2
+    rest = _all_within(asking, points, cells, radius)
+    if cap is not None:
+        rest = rest.withColumn("_k", F.row_number().over(Window.partitionBy("id").orderBy("d2", "other"))).where(F.col("_k") <= cap)
+    rest = rest.select("id", "other", "d2")
+    return rest if out is None else out.unionByName(rest)
+
+
+def _placed(points: DataFrame, cells: int) -> DataFrame:
     side = lambda x: F.least(F.floor(F.col(x) * cells), F.lit(cells - 1))
-    points = df.select(F.col(key).alias("id"), "x", "y").withColumn("cx", side("x")).withColumn("cy", side("y"))
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    asking = points.withColumn("step", F.explode(steps)).select("id", "x", "y", (F.col("cx") + F.col("step.i")).alias("cx"), (F.col("cy") + F.col("step.j")).alias("cy"))
-    other = points.select(F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), "cx", "cy")
+    return points.withColumn("cx", side("x")).withColumn("cy", side("y"))
+
+
+_AROUND = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+
+
+def _around(cells: DataFrame, *columns: str) -> DataFrame:
+    """Each row once for each of the 3 x 3 cells around its own."""
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in _AROUND])
+    return cells.withColumn("step", F.explode(steps)).select(*columns, (F.col("cx") + F.col("step.i")).alias("cx"), (F.col("cy") + F.col("step.j")).alias("cy"))
+
+
+def _all_within(asking: DataFrame, points: DataFrame, cells: int, radius: float) -> DataFrame:
+    """(id, other, d2): every pair within the radius."""
+    other = _placed(points, cells).select(F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), "cx", "cy")
     d2 = (F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy"))
-    near = asking.join(other, ["cx", "cy"]).where("id != other").withColumn("d2", d2).where(F.col("d2") <= radius * radius)
-    if cap is not None:
-        near = near.withColumn("_k", F.row_number().over(Window.partitionBy("id").orderBy("d2", "other"))).where(F.col("_k") <= cap)
-    return near.select("id", "other", "d2")
+    return _around(_placed(asking, cells), "id", "x", "y").join(other, ["cx", "cy"]).where("id != other").withColumn("d2", d2).where(F.col("d2") <= radius * radius)
+
+
+def _nearest_in_lists(asking: DataFrame, points: DataFrame, cells: int, radius: float, cap: int) -> DataFrame:
+    """(id, x, y, best): up to ``cap`` (d2, other) within the radius, nearest first; a point meets one list, and no pair is shuffled."""
+    own = _placed(points, cells).groupBy("cx", "cy").agg(F.collect_list(F.struct("id", "x", "y")).alias("near"))
+    lists = _around(own, "near").groupBy("cx", "cy").agg(F.flatten(F.collect_list("near")).alias("near"))
+    listed = _placed(asking, cells).join(lists, ["cx", "cy"])
+    d2 = lambda o: (F.col("x") - o["x"]) * (F.col("x") - o["x"]) + (F.col("y") - o["y"]) * (F.col("y") - o["y"])
+    close = F.filter("near", lambda o: (d2(o) <= radius * radius) & (o["id"] != F.col("id")))
+    best = F.sort_array(F.transform(close, lambda o: F.struct(d2(o).alias("d2"), o["id"].alias("other"))))
+    return listed.select("id", "x", "y", F.slice(best, 1, cap).alias("best"))
 
 
 def box_overlap(boxes: DataFrame, queries: DataFrame, axes: tuple[str, ...] = ("x", "y", "z"), cell: float = 0.125) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella import plans
 from tessella.functions import statistics as st
-from tessella.operators import kernels
+from tessella.operators import joins, kernels
 
 
 def made_events(folder, rows: list[tuple]) -> str:
@@ -87,3 +87,24 @@ def test_crowded_cells_give_one_short_list(spark):
     found = sorted(map(tuple, kernels.simulate(frame, 4, 2, 9).collect()))
     for got, want in zip(found, plain_frame(plain_frame(rows, 4, 9), 4, 9), strict=True):
         assert got == pytest.approx(want, rel=1e-12, abs=1e-15)
+
+
+def test_many_points_ask_finer_cells_first(spark, monkeypatch):
+    """The nearest of all, with ties, copies, a sparse corner and a crowd; few points are left for pairs within the whole radius."""
+    at = [((k * 37 % 101) / 101, (k * 53 % 103) / 103) for k in range(2500)] + [(0.5 + (k % 20) / 4000, 0.5 + (k // 20) / 4000) for k in range(400)] + [(0.25, 0.75)] * 30
+    at = [(x, y) for x, y in at if not (x < 0.25 and y < 0.25)] + [(0.1, 0.1), (0.12, 0.1), (0.0, 0.0), (1.0, 1.0)]
+    rows = [(k, *p) for k, p in enumerate(at)]
+    left, within = [], joins._all_within
+
+    def seen(asking, *a):
+        left.append(asking.count())
+        return within(asking, *a)
+
+    monkeypatch.setattr(joins, "_all_within", seen)
+    found = {}
+    for r in joins.grid_neighbors(spark.createDataFrame(rows, "id long, x double, y double"), 4, 0.2, 5).collect():
+        found.setdefault(r["id"], []).append((r["d2"], r["other"]))
+    assert left[0] < len(rows) / 50
+    for i, x, y in rows:
+        want = sorted((d2, o) for o, ox, oy in rows if o != i and (d2 := (x - ox) * (x - ox) + (y - oy) * (y - oy)) <= 0.2 * 0.2)[:5]
+        assert sorted(found.get(i, [])) == want
