@@ -129,8 +129,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 def _(spark: SparkSession, d: str) -> DataFrame:
     """The governor's own snapshot after the last event of each tenant."""
     schema = f"active long, available long, peak long, leases long, queued long, oldest_ms long, shutting_down boolean, {_COUNTERS}"
-    folded = runner.fold(_requests(spark, d), "tenant", "idx", lambda: machines.Governor(8), _lease_event, schema)
-    return folded.groupBy("tenant").agg(F.max(F.struct(*[c for c in folded.columns if c != "tenant"])).alias("last")).select("tenant", "last.*")
+    return runner.fold(_requests(spark, d), "tenant", "idx", lambda: machines.Governor(8), _lease_event, schema, last=True)
 
 
 _LEASE = """SELECT event_id AS idx, 1 + CAST(floor(value) AS BIGINT) % 20 AS requested, CAST(floor(value * 3) AS BIGINT) % 14 AS minimum, event_id % 3 = 0 AS exact, event_id % 9 AS free,

@@ -7,7 +7,8 @@ over a finished table or over a stream.
 
 from __future__ import annotations
 
-from collections import deque
+from collections import OrderedDict
+from heapq import heappop, heappush
 from statistics import median
 
 from pyspark.sql import Column
@@ -291,6 +292,56 @@ class RouteSelector:
         return {"phase": kind, "route": route, "stable": self.stable, "interval": self.interval, "switches": self.switches}
 
 
+class Waiting:
+    """Requests in the order of their arrival, found by place, identifier, deadline and least permits without a look at the others."""
+
+    def __init__(self):
+        self.turn = 0
+        self.rows: OrderedDict[int, dict] = OrderedDict()
+        self.by_id: dict[int, dict[int, None]] = {}
+        self.by_need: dict[int, OrderedDict[int, None]] = {}
+        self.due: list[tuple[int, int]] = []  # requests that are gone stay until their time
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def add(self, r: dict) -> None:
+        """An admissible request: it can be served from ``minimum`` permits on, an exact one, too."""
+        self.turn += 1
+        self.rows[self.turn] = r | {"turn": self.turn}
+        self.by_id.setdefault(r["id"], {})[self.turn] = None
+        self.by_need.setdefault(r["minimum"], OrderedDict())[self.turn] = None
+        if r["policy"] == "deadline":
+            heappush(self.due, (r["deadline"], self.turn))
+
+    def remove(self, r: dict) -> None:
+        turn = r["turn"]
+        del self.rows[turn]
+        for index, k in ((self.by_id, r["id"]), (self.by_need, r["minimum"])):
+            del index[k][turn]
+            if not index[k]:
+                del index[k]
+
+    def head(self) -> dict:
+        return self.rows[next(iter(self.rows))]
+
+    def all(self) -> list[dict]:
+        return list(self.rows.values())
+
+    def of(self, identifier: int) -> list[dict]:
+        return [self.rows[t] for t in self.by_id.get(identifier, ())]
+
+    def first_fit(self, free: int) -> dict | None:
+        turns = [next(iter(turns)) for need, turns in self.by_need.items() if need <= free]
+        return self.rows[min(turns)] if turns else None
+
+    def expired(self, now: int) -> list[dict]:
+        turns = []
+        while self.due and self.due[0][0] <= now:
+            turns.append(heappop(self.due)[1])
+        return [self.rows[t] for t in sorted(turns) if t in self.rows]
+
+
 class Governor:
     """Leases of a fixed budget: first come first served, with a bounded number of smaller requests let past the first.
 
@@ -305,7 +356,7 @@ class Governor:
     def __init__(self, budget: int):
         self.budget = budget
         self.active = self.peak = 0
-        self.waiting: deque[dict] = deque()
+        self.waiting = Waiting()
         self.leases: dict[int, int] = {}
         self.closed = False
         self.counts = dict.fromkeys(("grants", "releases", "waits", "cancellations", "deadlines", "bypasses", "reservations"), 0)
@@ -332,14 +383,14 @@ class Governor:
         return [{"id": r["id"], "status": status} for r in gone]
 
     def _expired(self, now: int) -> list[dict]:
-        return self._drop([r for r in self.waiting if r["policy"] == "deadline" and now >= r["deadline"]], "DeadlineExpired", "deadlines")
+        return self._drop(self.waiting.expired(now), "DeadlineExpired", "deadlines")
 
     def _serve(self, now: int) -> list[dict]:
         served = []
         while self.waiting and self.active < self.budget and not self.closed:
-            head = self.waiting[0]
+            head = self.waiting.head()
             if n := self._fit(head):
-                self.waiting.popleft()
+                self.waiting.remove(head)
                 self._grant(head, n)
                 served.append({"id": head["id"], "status": "Granted"})
                 continue
@@ -348,7 +399,7 @@ class Governor:
                 head["reserved"] = True
             if head["reserved"]:
                 break
-            other = next((r for r in list(self.waiting)[1:] if self._fit(r)), None)
+            other = self.waiting.first_fit(self.budget - self.active)
             if other is None:
                 break
             self.waiting.remove(other)
@@ -367,21 +418,21 @@ class Governor:
                 self.counts["releases"] += 1
             status = "Released"
         elif op == "cancel":
-            outcomes += self._drop([r for r in self.waiting if r["id"] == event["id"]], "Cancelled", "cancellations")
+            outcomes += self._drop(self.waiting.of(event["id"]), "Cancelled", "cancellations")
             status = "Cancelled"
         elif op == "shutdown":
             self.closed = True
-            outcomes += self._drop(list(self.waiting), "GovernorShuttingDown")
+            outcomes += self._drop(self.waiting.all(), "GovernorShuttingDown")
             status = "GovernorShuttingDown"
         elif (verdict := lease_verdict(event, self.budget)) != "Admissible":
             status = verdict
         elif self.closed:
             status = "GovernorShuttingDown"
         else:
-            self.waiting.append(event | {"passed": 0, "reserved": False})
+            self.waiting.add(event | {"passed": 0, "reserved": False})
         served = self._serve(now)
         if op == "acquire" and not status:
-            mine = [r for r in self.waiting if r["id"] == event["id"]]
+            mine = self.waiting.of(event["id"])
             if any(x["id"] == event["id"] for x in served):
                 status = "Granted"
             elif event["policy"] == "fail":
@@ -403,7 +454,7 @@ class Governor:
             "leases": len(self.leases),
             "queued": len(self.waiting),
             "served": len(served),
-            "oldest_ms": now - self.waiting[0]["ms"] if self.waiting else 0,
+            "oldest_ms": now - self.waiting.head()["ms"] if self.waiting else 0,
             "outcomes": outcomes,
             "shutting_down": self.closed,
             **self.counts,

@@ -13,28 +13,39 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
-def fold(df: DataFrame, key: str, order: str, machine: Callable[[], object], event: Callable[[dict], dict], schema: str) -> DataFrame:
+def fold(df: DataFrame, key: str, order: str, machine: Callable[[], object], event: Callable[[dict], dict], schema: str, *, last: bool = False) -> DataFrame:
     """One output row for each input row: key, order and the machine's answer.
 
     Rows are dealt by key and sorted, then read through in batches, so that a
     key with very many events needs no more memory than its machine's state.
     Events have Python values: whole numbers stay whole and null is ``None``.
     Rows whose key is null are one key, too.  ``schema`` names the answer's columns.
+    With ``last`` a key has one output row, that of its last input row.
     """
     rows = df.repartition(key).sortWithinPartitions(key, order)
     kinds = T.StructType([T.StructField(c, df.schema[c].dataType) for c in (key, order)] + list(T.StructType.fromDDL(schema)))
     arrow, names = to_arrow_schema(kinds), kinds.names[2:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, own = None, None
+        held, own, row, answer = None, None, None, None
+
+        def named() -> dict:
+            return {key: row[key], order: row[order]} | {n: answer[n] for n in names}
+
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
-                if own is None or row[key] != held:
-                    held, own = row[key], machine()
+            for following in batch.to_pylist():
+                if own is None or following[key] != held:
+                    if last and own is not None:
+                        out.append(named())
+                    held, own = following[key], machine()
+                row = following
                 answer = own.step(event(row))
-                out.append({key: row[key], order: row[order]} | {n: answer[n] for n in names})
+                if not last:
+                    out.append(named())
             yield pa.RecordBatch.from_pylist(out, schema=arrow)
+        if last and own is not None:
+            yield pa.RecordBatch.from_pylist([named()], schema=arrow)
 
     return rows.mapInArrow(run, kinds)
 

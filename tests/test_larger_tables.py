@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessella import plans
 from tessella.functions import statistics as st
 from tessella.operators import joins, kernels
+from tessella.streaming import machines, runner
 
 
 def made_events(folder, rows: list[tuple]) -> str:
@@ -108,3 +109,60 @@ def test_many_points_ask_finer_cells_first(spark, monkeypatch):
     for i, x, y in rows:
         want = sorted((d2, o) for o, ox, oy in rows if o != i and (d2 := (x - ox) * (x - ox) + (y - oy) * (y - oy)) <= 0.2 * 0.2)[:5]
         assert sorted(found.get(i, [])) == want
+
+
+class PlainQueue(list):
+    """Waiting requests, looked through each time."""
+
+    add = list.append
+    head = lambda self: self[0]
+    all = list.copy
+
+    def of(self, identifier: int) -> list[dict]:
+        return [r for r in self if r["id"] == identifier]
+
+    def first_fit(self, free: int) -> dict | None:
+        return next((r for r in self if (r["requested"] if r["exact"] else r["minimum"]) <= free), None)
+
+    def expired(self, now: int) -> list[dict]:
+        return [r for r in self if r["policy"] == "deadline" and now >= r["deadline"]]
+
+
+def test_indexed_queue_answers_as_a_list_does():
+    import random
+
+    for seed in range(20):
+        draw, governors = random.Random(seed), [machines.Governor(6), machines.Governor(6)]
+        governors[1].waiting = PlainQueue()
+        for ms in range(600):
+            op = draw.choices(["acquire", "release", "cancel", "shutdown"], [60, 30, 10, 0.1])[0]
+            least = draw.randint(0, 7)
+            exact = draw.random() < 0.4
+            # identifiers are never used twice, but a cancel or a release may name any
+            e = {"op": op, "id": ms if op == "acquire" else draw.randrange(ms + 1), "ms": ms, "requested": least if exact else least + draw.randint(0, 3), "minimum": least, "exact": exact, "policy": draw.choice(["wait", "fail", "deadline"]), "deadline": ms + draw.randint(-1, 80)}
+            assert governors[0].step(dict(e)) == governors[1].step(dict(e))
+
+
+def test_long_queues_are_not_looked_through():
+    """A queue of 60,000 requests behind a full budget: a minute and more if each event looks at all."""
+    import time
+
+    g, began = machines.Governor(8), time.process_time()
+    for ms in range(60_000):
+        out = g.step({"op": "acquire", "id": ms, "ms": ms, "requested": 8, "minimum": 8, "exact": True, "policy": "wait" if ms % 2 else "deadline", "deadline": 10**9})
+        assert time.process_time() - began < 30
+    assert (out["queued"], out["grants"], out["oldest_ms"]) == (59_999, 1, 59_998)
+
+
+def test_fold_gives_the_last_row_of_a_key(spark):
+    class Sum:
+        total = 0
+
+        def step(self, e: dict) -> dict:
+            self.total += e["v"]
+            return {"total": self.total}
+
+    rows = spark.createDataFrame([(k if k else None, o, o) for k in range(3) for o in range(k + 2)], "k long, o long, v long")
+    every, last = (runner.fold(rows, "k", "o", Sum, lambda e: e, "total long", last=x).collect() for x in (False, True))
+    assert sorted((r["k"] or 0, r["o"], r["total"]) for r in last) == [(0, 1, 1), (1, 2, 3), (2, 3, 6)]
+    assert len(every) == 9 and set(last) <= set(every)
