@@ -7,10 +7,13 @@ projection, so it runs where the rows lie.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.formulas import Chain, clamp, flag, unit, weighted_sum
+from tessella.functions.formulas import Chain, clamp, doubles, flag, unit, weighted_sum
+from tessella.shared import materialize, partitions
 
 #: Cache sizes taken where the hardware does not tell, and limits of the workload description.
 L1, L2, L3, PAGE, LINE = 32768, 524288, 33554432, 4096, 64
@@ -317,6 +320,7 @@ SIMILARITY = {
     "topology": (0.04, "equal", 0.35),
     "profile": (0.06, "equal", 0.25),
 }
+_LOG2 = {"size": "log2(CAST(greatest({0}, 1) AS DOUBLE))", "real": "(floor({0} / 16.0) - 2048.0 + log2((CAST({0} % 16 AS DOUBLE) + 0.5) / 16.0))"}
 
 
 def similarity_chain() -> Chain:
@@ -332,11 +336,7 @@ def similarity_chain() -> Chain:
             steps.append((f"s_{name}", f"CASE WHEN {a} = {b} THEN 1.0 ELSE {scale} END"))
             steps.append((f"v_{name}", f"CASE WHEN {a} <> 0 OR {b} <> 0 THEN 1.0 ELSE 0.0 END"))
             continue
-        if kind == "size":
-            value = "log2(CAST(greatest({0}, 1) AS DOUBLE))"
-        else:
-            value = "(floor({0} / 16.0) - 2048.0 + log2((CAST({0} % 16 AS DOUBLE) + 0.5) / 16.0))"
-        away = f"abs({value.format(a)} - {value.format(b)})"
+        away = f"abs({_LOG2[kind].format(a)} - {_LOG2[kind].format(b)})"
         steps.append((f"v_{name}", f"CASE WHEN {a} > 0 AND {b} > 0 THEN 1.0 WHEN {a} > 0 OR {b} > 0 THEN 0.50 ELSE 0.0 END"))
         steps.append((f"s_{name}", f"CASE WHEN {a} > 0 AND {b} > 0 THEN exp(-{away} / {scale}) WHEN {a} > 0 OR {b} > 0 THEN 0.20 ELSE 0.0 END"))
     coverage = " + ".join(f"{w} * v_{n}" for n, (w, _, _) in SIMILARITY.items())
@@ -348,12 +348,72 @@ def similarity_chain() -> Chain:
 BUCKETS = ["kind", *SIMILARITY]
 
 
+#: Rows of a cell's side, as far as the number of cells allows, and members of a list.
+CELL, LIST = 512, 16
+
+
+def _side(rows: DataFrame, side: str) -> DataFrame:
+    """The rows' columns as ``side``_*, with what each term needs of one side: p_* is 1 with evidence, x_* its logarithm."""
+    terms = []
+    for name, (_, kind, _) in SIMILARITY.items():
+        terms.append(F.expr(f"CASE WHEN {name} {'<>' if kind == 'equal' else '>'} 0 THEN 1e0 ELSE 0e0 END").alias(f"{side}_p_{name}"))
+        if kind != "equal":
+            terms.append(F.expr(doubles(_LOG2[kind].format(name))).alias(f"{side}_x_{name}"))
+    return rows.select(*[F.col(c).alias(f"{side}_{c}") for c in rows.columns], *terms)
+
+
+def _prepared_chain() -> Chain:
+    """``similarity_chain`` on what ``_side`` prepares: the same values, bit by bit."""
+    steps: list[tuple[str, str]] = []
+    for name, (_, kind, scale) in SIMILARITY.items():
+        if kind == "equal":
+            steps.append((f"v_{name}", f"greatest(a_p_{name}, b_p_{name})"))
+            steps.append((f"s_{name}", f"CASE WHEN a_{name} = b_{name} THEN 1.0 ELSE {scale} END"))
+        else:
+            steps.append((f"v_{name}", f"(a_p_{name} + b_p_{name}) * 0.5"))
+            steps.append((f"s_{name}", f"CASE WHEN v_{name} = 1.0 THEN exp(-abs(a_x_{name} - b_x_{name}) / {scale}) ELSE 0.4 * v_{name} END"))
+    return Chain(*steps, *similarity_chain().steps[-2:])
+
+
+def similar_rows(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a_*, b_*, similarity, coverage) of all pairs of rows of one kind; a row has the buckets and whatever else is wanted.
+
+    Both sides are dealt into blocks, and each pair of blocks is a cell, so that
+    a few kinds still make many tasks.  Both tables are read twice.
+    """
+    rows = max(left.count(), right.count())
+    blocks = max(1, min(math.ceil(rows / CELL), max(16, math.isqrt(4 * partitions(left.sparkSession)))))
+
+    def dealt(side: DataFrame, name: str, own: str, other: str) -> DataFrame:
+        block = F.pmod(F.xxhash64(*side.columns), F.lit(blocks)).cast("int")
+        placed = _side(side.withColumn("own", block).where("kind is not null"), name)
+        cells = placed.withColumnRenamed(f"{name}_own", f"{name}_{own}").withColumn(f"{name}_{other}", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        return cells.repartition(blocks * blocks, *[f"{name}_{c}" for c in ("kind", "i", "j")])
+
+    a, b = dealt(left, "a", "i", "j"), dealt(right, "b", "j", "i")
+    met = a.join(b.hint("merge"), (F.col("a_kind") == F.col("b_kind")) & (F.col("a_i") == F.col("b_i")) & (F.col("a_j") == F.col("b_j")))
+    return _prepared_chain().apply(met).select(*[f"a_{c}" for c in left.columns], *[f"b_{c}" for c in right.columns], "similarity", "coverage")
+
+
+def _lists(prints: DataFrame, key: str) -> DataFrame:
+    """One row for up to ``LIST`` keys of equal fingerprints."""
+    place = F.row_number().over(Window.partitionBy(*BUCKETS).orderBy(key))
+    keys = F.collect_list(F.struct(F.col(key).alias("k")))  # as structs, so that a null is kept
+    listed = prints.where("kind is not null").withColumn("_part", F.floor((place - 1) / LIST))
+    return listed.groupBy(*BUCKETS, "_part").agg(F.transform(keys, lambda x: x["k"]).alias("keys")).drop("_part")
+
+
 def similar_pairs(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """(key, other, similarity, coverage) of fingerprints of one kind: an equi-join on the kind."""
-    a = left.select(F.col(key), *[F.col(b).alias(f"a_{b}") for b in BUCKETS])
-    b = right.select(F.col(key).alias("other"), *[F.col(b).alias(f"b_{b}") for b in BUCKETS])
-    pairs = a.join(b, F.col("a_kind") == F.col("b_kind"))
-    return similarity_chain().apply(pairs).select(key, "other", "similarity", "coverage")
+    """(key, other, similarity, coverage) of fingerprints of one kind.
+
+    Equal fingerprints are compared once, by lists of their keys, and the pairs
+    of two lists are written out from the one result.
+    """
+    a = materialize(_lists(left, key), "prints")
+    b = a if right is left else materialize(_lists(right, key), "prints")
+    pairs = similar_rows(a, b).select("a_keys", "b_keys", "similarity", "coverage")
+    asked = pairs.select(F.explode("a_keys").alias(key), "b_keys", "similarity", "coverage")
+    return asked.select(key, F.explode("b_keys").alias("other"), "similarity", "coverage")
 
 
 def worker_counts(most: int, least: int = 2) -> list[int]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella import plans
 from tessella.functions import statistics as st
+from tessella.operators import adaptive as ad
 from tessella.operators import joins, kernels
 from tessella.streaming import machines, runner
 
@@ -166,3 +167,34 @@ def test_fold_gives_the_last_row_of_a_key(spark):
     every, last = (runner.fold(rows, "k", "o", Sum, lambda e: e, "total long", last=x).collect() for x in (False, True))
     assert sorted((r["k"] or 0, r["o"], r["total"]) for r in last) == [(0, 1, 1), (1, 2, 3), (2, 3, 6)]
     assert len(every) == 9 and set(last) <= set(every)
+
+
+def made_prints(spark, n: int, different: int):
+    """Fingerprints of ``n`` workloads with few different ones, with zeros, nulls and workloads without a name or kind."""
+    of = lambda k: [k % 2, 2 ** (k % 7), 2 ** (k % 5) if k % 4 else 0, 8, (2050 + k % 3 << 4) + k % 16 if k % 5 else 0, (2049 << 4) + 8 if k % 3 else None, k % 4, 64 * (k % 3), (2049 << 4) + k % 7, 1 + k % 2, k % 3 if k % 7 else None]
+    rows = [(k, *of(k % different)) for k in range(n)] + [(None, *of(3)), (n, None, *of(3)[1:]), (n + 1, 7, *[None] * 10)]
+    return spark.createDataFrame(rows, "w long, " + ", ".join(f"{b} long" for b in ad.BUCKETS))
+
+
+def plain_pairs(left, right):
+    a = left.select("w", *[F.col(b).alias(f"a_{b}") for b in ad.BUCKETS])
+    b = right.select(F.col("w").alias("other"), *[F.col(b).alias(f"b_{b}") for b in ad.BUCKETS])
+    return ad.similarity_chain().apply(a.join(b, F.col("a_kind") == F.col("b_kind"))).select("w", "other", "similarity", "coverage")
+
+
+def test_equal_fingerprints_are_compared_once(spark, monkeypatch):
+    """Every pair and the same values bit by bit, from few comparisons in many tasks."""
+    monkeypatch.setattr(ad, "CELL", 4)
+    compared, similar_rows = [], ad.similar_rows
+
+    def seen(left, right):
+        found = similar_rows(left, right)
+        compared.append((found.count(), found.rdd.getNumPartitions()))
+        return found
+
+    monkeypatch.setattr(ad, "similar_rows", seen)
+    order = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    some, others = made_prints(spark, 160, 8), made_prints(spark, 45, 11).where("w is null or w > 4")
+    assert order(ad.similar_pairs(some, some, "w")) == order(plain_pairs(some, some))
+    assert order(ad.similar_pairs(some, others, "w")) == order(plain_pairs(some, others))
+    assert compared[0][0] < 161 * 161 / 100 and compared[0][1] >= 16
