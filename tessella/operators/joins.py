@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.adaptive import BUCKETS, similar_rows
 from tessella.shared import materialize
 
 
@@ -121,13 +122,47 @@ def keep_latest(df: DataFrame, epoch: str, tie: str, limit: int, *by: str) -> Da
     return df.orderBy(F.col(epoch).desc(), F.col(tie)).limit(limit)
 
 
-def weighted_neighbors(pairs: DataFrame, entries: DataFrame, key: str, least: float = 0.55) -> DataFrame:
+_MEANS = ("elapsed_ms", "regret_percent", "success_rate", "confidence")
+
+
+def weighted_neighbors(prints: DataFrame, entries: DataFrame, key: str, least: float = 0.55) -> DataFrame:
     """Similarity-weighted means over the other workloads' entries.
 
-    ``pairs`` (key, other, similarity); ``entries`` (other, elapsed_ms,
-    regret_percent, success_rate, confidence, sample_weight, samples).
+    ``prints`` (key, buckets), one row a workload; ``entries`` (other,
+    elapsed_ms, regret_percent, success_rate, confidence, sample_weight,
+    samples).  Workloads of equal fingerprints are equally similar to any other,
+    so fingerprints are compared once and weigh their entries' sums.  A
+    workload's own entry is left out by adding what stands before and behind
+    it; nothing is subtracted.
     """
-    used = pairs.where((F.col("similarity") >= least) & (F.col(key) != F.col("other"))).join(entries.where("samples > 0"), "other")
-    w = F.col("similarity") * F.col("similarity") * F.greatest(F.lit(0.01), F.col("confidence")) * F.greatest(F.lit(1.0), F.col("sample_weight"))
-    mean = lambda c: (F.sum(F.col(c) * F.col("_weight")) / F.sum("_weight")).alias(c)
-    return used.withColumn("_weight", w).groupBy(key).agg(mean("elapsed_ms"), mean("regret_percent"), mean("success_rate"), mean("confidence"), mean("similarity"), F.sum("_weight").alias("effective_weight"), F.count("*").alias("entries"))
+    weight = F.greatest(F.lit(0.01), F.col("confidence")) * F.greatest(F.lit(1.0), F.col("sample_weight"))
+    sums = ("n", "weight", *_MEANS)
+    weighed = entries.where("samples > 0").select(F.col("other").alias(key), F.lit(1).alias("n"), weight.alias("weight"), *[(F.col(c) * weight).alias(c) for c in _MEANS])
+    known = weighed.groupBy(key).agg(*[F.sum(c).alias(c) for c in sums])
+    rows = prints.where(F.col("kind").isNotNull() & F.col(key).isNotNull()).join(known, key, "left")
+
+    alike = Window.partitionBy(*BUCKETS)
+    before, behind = (alike.orderBy(order).rowsBetween(Window.unboundedPreceding, -1) for order in (F.asc(key), F.desc(key)))
+    either = lambda x, y: F.coalesce(x + y, x, y)
+    others = [either(F.sum(c).over(before), F.sum(c).over(behind)).alias(f"o_{c}") for c in sums]
+    rows = materialize(rows.select(key, *BUCKETS, *sums, F.min(key).over(alike).alias("print"), *others), "workloads")
+    prints = materialize(rows.groupBy("print", *BUCKETS).agg(*[F.sum(c).alias(c) for c in sums]), "prints")
+
+    # no filter by similarity: it would be pushed into the join and the formula worked out twice
+    near = similar_rows(prints.select("print", *BUCKETS), prints.where("n > 0")).withColumn("s", F.when(F.col("similarity") >= least, F.col("similarity")))
+    same = F.col("a_print") == F.col("b_print")
+    near = near.withColumn("k", F.when(~same, F.col("s") * F.col("s")))
+    total = near.groupBy(F.col("a_print").alias("print")).agg(
+        F.max(F.when(same, F.col("s"))).alias("own"),
+        F.sum(F.when(F.col("k").isNotNull(), F.col("b_n"))).alias("t_n"),
+        *[F.sum(F.col("k") * F.col(f"b_{c}")).alias(f"t_{c}") for c in sums[1:]],
+        F.sum(F.col("k") * F.col("b_weight") * F.col("s")).alias("t_similarity"),
+    )
+    own = F.col("own")
+    found = rows.select(key, "print", *[f"o_{c}" for c in sums]).join(total, "print").select(
+        key,
+        either(F.col("t_n"), F.when(own.isNotNull(), F.col("o_n"))).alias("entries"),
+        *[either(F.col(f"t_{c}"), own * own * F.col(f"o_{c}")).alias(c) for c in sums[1:]],
+        either(F.col("t_similarity"), own * own * F.col("o_weight") * own).alias("similarity"),
+    )
+    return found.where("entries > 0").select(key, *[(F.col(c) / F.col("weight")).alias(c) for c in (*_MEANS, "similarity")], F.col("weight").alias("effective_weight"), "entries")

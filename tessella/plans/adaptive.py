@@ -239,11 +239,9 @@ _ENTRIES = f"SELECT w AS other, h_mean AS elapsed_ms, h_regret AS regret_percent
 @query("neighbor_weighted", f"""WITH e AS ({_ENTRIES}), p AS (SELECT w, other, similarity FROM {_pairs_sql()} WHERE similarity >= 0.55 AND w <> other), u AS (SELECT p.w, p.similarity, e.*, similarity * similarity * greatest(0.01, confidence) * greatest(1.0, sample_weight) AS k FROM p JOIN e USING (other))
 SELECT w, count(*) AS entries, {', '.join(micro_sql(f'sum({c} * k) / sum(k)', c) for c in ('elapsed_ms', 'regret_percent', 'success_rate', 'confidence', 'similarity'))} FROM u GROUP BY w""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    prints = fingerprints(spark, d)
-    pairs = ad.similar_pairs(prints, prints, "w")
     h = history(spark, d).where("plan = 'click'")
     entries = h.select(F.col("w").alias("other"), F.col("h_mean").alias("elapsed_ms"), F.col("h_regret").alias("regret_percent"), F.col("h_success").alias("success_rate"), "confidence", F.col("h_weight").alias("sample_weight"), "samples")
-    found = joins.weighted_neighbors(pairs, entries, "w")
+    found = joins.weighted_neighbors(fingerprints(spark, d), entries, "w")
     return found.select("w", "entries", *[micro(c) for c in ("elapsed_ms", "regret_percent", "success_rate", "confidence", "similarity")])
 
 

@@ -198,3 +198,37 @@ def test_equal_fingerprints_are_compared_once(spark, monkeypatch):
     assert order(ad.similar_pairs(some, some, "w")) == order(plain_pairs(some, some))
     assert order(ad.similar_pairs(some, others, "w")) == order(plain_pairs(some, others))
     assert compared[0][0] < 161 * 161 / 100 and compared[0][1] >= 16
+
+
+def test_neighbors_weigh_sums_of_equal_fingerprints(spark, monkeypatch):
+    """The means of every pair with an entry, though fingerprints are compared once; a vast or infinite own entry leaves no trace in its own mean."""
+    monkeypatch.setattr(ad, "CELL", 4)
+    compared = []
+
+    def seen(left, right):
+        found = ad.similar_rows(left, right)
+        compared.append(found.count())
+        return found
+
+    monkeypatch.setattr(joins, "similar_rows", seen)
+    prints = made_prints(spark, 160, 8)
+    vast = {8: 1e300, 17: math.inf, 26: None}
+    of = lambda k: (k, vast.get(k, 1.0 + k % 9), float(k % 5), (k % 4) / 3.0, None if k % 13 == 0 else (k % 11) / 11.0, 0.5 + k % 6, k % 10)
+    rows = [of(k) for k in range(160) if k % 8 != 5] + [(k, 2.0, 1.0, 0.5, 0.5, 3.0, 2) for k in (3, 21, None)] + [(5, 4.0, 1.0, 1.0, 0.9, 2.0, 1)]  # the sixth fingerprint has one entry, and some workloads have two
+    entries = spark.createDataFrame(rows, "other long, elapsed_ms double, regret_percent double, success_rate double, confidence double, sample_weight double, samples long")
+    means = ("elapsed_ms", "regret_percent", "success_rate", "confidence", "similarity")
+    for least in (0.55, 0.97):
+        found = {r["w"]: r for r in joins.weighted_neighbors(prints, entries, "w", least).collect()}
+        want: dict[int, list] = {}
+        known = [r.asDict() for r in entries.where("samples > 0").collect()]
+        for p in plain_pairs(prints, prints).where((F.col("similarity") >= least) & (F.col("w") != F.col("other"))).collect():
+            for e in known:
+                if e["other"] == p["other"]:
+                    confidence = 0.01 if e["confidence"] is None else max(0.01, e["confidence"])
+                    want.setdefault(p["w"], []).append((p["similarity"] ** 2 * confidence * max(1.0, e["sample_weight"]), e | {"similarity": p["similarity"]}))
+        assert found.keys() == want.keys()
+        for w, used in want.items():
+            assert found[w]["entries"] == len(used)
+            for c in means:
+                assert found[w][c] == pytest.approx(sum(k * e[c] for k, e in used if e[c] is not None) / sum(k for k, _ in used), rel=1e-12, nan_ok=True)
+    assert max(compared) <= 11 * 11
